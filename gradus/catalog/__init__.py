@@ -1,7 +1,7 @@
 """Named queries over the given tables."""
 from importlib import import_module
 
-MODULES = ("results",)
+MODULES = ("results", "preparation", "scoring")
 
 
 def load():

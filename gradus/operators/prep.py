@@ -17,7 +17,7 @@ from gradus.functions.scalar import bit, safe_div
 from gradus.plans.folds import N_FOLDS, all_folds, assign_parts, part_of, train_weights, weight_fold
 from gradus.plans.moments import fold_moments
 from gradus.plans.ordering import (
-    exact_quantiles, hash_row_index, hash_uniform, melt, quantile_grid, row_index, sorted_codes,
+    hash_row_index, hash_uniform, melt, quantile_grid, row_index, sorted_codes,
 )
 
 BROADCAST_ROWS = 100_000
@@ -555,8 +555,7 @@ def fit_bins(df: DataFrame, col: str, bins: int = 32) -> list[float]:
     """Edges of equal-frequency bins, duplicates dropped: at most bins + 1 numbers."""
     counts = df.select(F.lit(col).alias("feature"), F.col(col).cast("double").alias("value")).filter("value IS NOT NULL")
     counts = counts.groupBy("feature", "value").agg(F.count("*").alias("n_rows"))
-    probs = {str(i): i / bins for i in range(bins + 1)}
-    got = exact_quantiles(counts, ["feature"], "value", ["n_rows"], probs).collect()
+    got = quantile_grid(counts, ["feature"], "value", ["n_rows"], bins + 1, shrink=False).collect()
     return sorted({r["value"] for r in got})
 
 
@@ -640,11 +639,11 @@ def preprocess(df: DataFrame, y: str, categorical: Sequence[str], row_id: str =
     """Raw labelled table to folds, coded target and coded categories, with metadata."""
     features = [c for c in df.columns if c not in (row_id, y)]
     kind, classes = infer_target(df, y)
-    out = encode_target(stratified_kfold(df, row_id, y), y)
-    out, dims = encode_categoricals(out, categorical)
+    out, dims = encode_categoricals(encode_target(df, y), categorical)
     meta = {
         "target": y, "target_type": kind, "num_classes": classes, "num_features": len(features),
         "num_instances": df.count(), "cat_idx": [features.index(c) for c in categorical],
         "cat_dims": [dims[c] for c in categorical], "split_source": "stratified",
     }
-    return out, validate_dataset(meta, out)
+    validate_dataset(meta, df)
+    return stratified_kfold(out, row_id, y), meta

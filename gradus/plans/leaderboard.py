@@ -8,6 +8,7 @@ holds one row per algorithm.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -40,21 +41,21 @@ def _best(metric: str, payload: Sequence[str]) -> Column:
 def tuned_metrics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """One row per (algorithm, fold) with the best trial of each metric.
 
-    Keeps the groups that have a best trial for every metric. The columns of
-    the first metric's trial stay as they are; the others add their test
-    metric and runtime.
+    The columns of the first metric's trial stay as they are; each metric adds
+    its test value and runtime, null where it has no validated trial.
     """
-    keys = ["alg_name", "dataset_fold_id"]
+    keys = [c for c in ("alg_name", "alg_type", "dataset_fold_id", "dataset_name") if c in df.columns]
     own = [c for c in df.columns if c not in keys]
     aggs = [
         _best(m, own if i == 0 else [f"{m}__test", RUNTIME]).alias(f"_b_{m}") for i, m in enumerate(metrics)
     ]
-    best = df.groupBy(*keys).agg(*aggs).na.drop(subset=[f"_b_{m}" for m in metrics])
+    best = df.groupBy(*keys).agg(*aggs)
     first = metrics[0]
     cols = [F.col(f"_b_{first}.{c}").alias(c) for c in own]
     # under another metric's name, as the first metric's own columns stay
     cols += [F.col(f"_b_{m}.{m}__test").alias(f"_test_{m}") for m in metrics]
     cols += [F.col(f"_b_{m}.{RUNTIME}").alias(f"_run_{m}") for m in metrics]
+    cols += [F.col(f"_b_{m}").isNotNull().alias(f"_has_{m}") for m in metrics]
     return best.select(*keys, *cols)
 
 
@@ -79,8 +80,13 @@ def merged_folds(df: DataFrame, metrics: Sequence[str] = names.RESULT_METRICS) -
     placed: dict[str, Column] = {}
     for m in metrics:
         placed |= _place(tuned, "dataset_fold_id", f"_test_{m}", f"{m}__test", f"{m}_rank", m)
-    out = tuned.withColumns(placed)
-    return out.drop(*[f"_test_{m}" for m in metrics], *[f"_run_{m}" for m in metrics])
+    out = tuned.withColumns(placed).filter(_all_true(metrics))
+    return out.drop(*[f"{p}_{m}" for m in metrics for p in ("_test", "_run", "_has")])
+
+
+def _all_true(metrics: Sequence[str]) -> Column:
+    """Inner-join semantics: the row exists for every metric."""
+    return reduce(lambda a, b: a & b, [F.col(f"_has_{m}") for m in metrics])
 
 
 def merged_datasets(df: DataFrame, metrics: Sequence[str] = names.RESULT_METRICS) -> DataFrame:
@@ -90,25 +96,25 @@ def merged_datasets(df: DataFrame, metrics: Sequence[str] = names.RESULT_METRICS
     range of the dataset means, since the bounds are constants per dataset.
     """
     tuned = tuned_metrics(df, metrics)
-    aggs = [F.first("alg_type").alias("alg_type"), F.median("time__train").alias("time__train_median"),
-            F.avg("time__train").alias("time__train_mean")]
+    aggs = [F.median("time__train").alias("time__train_median"), F.avg("time__train").alias("time__train_mean")]
     for m in metrics:
         aggs += [
             F.median(f"_test_{m}").alias(f"{m}__test_median"),
             F.round(F.avg(f"_test_{m}"), 9).alias(f"{m}__test_mean"),
             F.stddev_samp(f"_test_{m}").alias(f"_sd_{m}"),
             F.median(f"_run_{m}").alias(f"{RUNTIME}_median_{m}"),
-            F.avg(f"_run_{m}").alias(f"{RUNTIME}_mean_{m}"),
+            F.avg(f"_run_{m}").alias(f"{RUNTIME}_mean_{m}"), F.max(f"_has_{m}").alias(f"_has_{m}"),
         ]
-    out = tuned.groupBy("alg_name", "dataset_name").agg(*aggs)
+    keys = [c for c in ("alg_name", "alg_type", "dataset_name") if c in df.columns]
+    out = tuned.groupBy(*keys).agg(*aggs)
     placed: dict[str, Column] = {}
     for m in metrics:
         placed |= _place(out, "dataset_name", f"{m}__test_mean", f"{m}__test_mean", f"{m}_rank_mean", m)
-    out = out.withColumns(placed)
+    out = out.withColumns(placed).filter(_all_true(metrics))
     return out.withColumns({
         f"normalized_{m}__test_std": safe_div(F.col(f"_sd_{m}"), F.col(f"{m}__test_mean_max") - F.col(f"{m}__test_mean_min"))
         for m in metrics
-    }).drop(*[f"_sd_{m}" for m in metrics])
+    }).drop(*[f"{p}_{m}" for m in metrics for p in ("_sd", "_has")])
 
 
 def leaderboard(results: DataFrame, mf: DataFrame, metric: str = "accuracy", with_default: bool = False) -> DataFrame:

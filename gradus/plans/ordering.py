@@ -61,11 +61,11 @@ def prefix_sums(
     offsets = totals.select(*part, *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in cols])
     # materialised first, so the summed expressions see the source columns
     scanned = df.withColumns({f"_s_{n}": F.sum(c).over(inside) for n, c in cols.items()})
-    out = scanned.join(offsets, part)
     zero = F.lit(0)
-    return out.withColumns(
-        {n: F.coalesce(F.col(f"_s_{n}"), zero) + F.coalesce(F.col(f"_o_{n}"), zero) for n in cols}
-    ).drop(*[f"_s_{n}" for n in cols], *[f"_o_{n}" for n in cols])
+    kept = [c for c in df.columns if c not in cols]
+    return scanned.join(offsets, part).select(
+        *kept, *[(F.coalesce(F.col(f"_s_{n}"), zero) + F.coalesce(F.col(f"_o_{n}"), zero)).alias(n) for n in cols]
+    )
 
 
 def hash_row_index(
@@ -212,12 +212,23 @@ def text_buckets(df: DataFrame, col: str, out: str = BUCKET) -> DataFrame:
     return value_buckets(tagged, "_tb", out=out).drop("_tb")
 
 
+SMALL_ROWS = 100_000
+
+
 def sorted_codes(values: DataFrame, keys: Sequence[str], col: str, out: str = "code") -> DataFrame:
-    """Zero-based code of each distinct string in byte order, per key; nulls last."""
-    known = values.select(*keys, col).filter(F.col(col).isNotNull()).distinct()
+    """Zero-based code of each distinct string in byte order, per key; nulls last.
+
+    The distinct values are counted first (stopping at the limit): few are
+    numbered by one window per key, many through ordered buckets.
+    """
+    pairs = values.select(*keys, col).distinct()
+    if pairs.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(col).asc_nulls_last())
+        return pairs.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+    known = pairs.filter(F.col(col).isNotNull())
     coded = prefix_sums(text_buckets(known, col), keys, [col], {out: F.lit(1)}, inclusive=False).drop(BUCKET)
     coded = coded.withColumn(out, F.col(out).cast("int"))
-    missing = values.filter(F.col(col).isNull()).select(*keys, col).distinct()
+    missing = pairs.filter(F.col(col).isNull())
     if keys:
         sizes = known.groupBy(*keys).agg(F.count("*").cast("int").alias(out))
         last = missing.join(sizes, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0)))
@@ -227,9 +238,11 @@ def sorted_codes(values: DataFrame, keys: Sequence[str], col: str, out: str = "c
 
 
 def quantile_grid(
-    counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], points: int
+    counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str], points: int, shrink: bool = True
 ) -> DataFrame:
-    """`points` evenly spaced quantiles per key and weight (fewer when rows are fewer).
+    """`points` evenly spaced quantiles per key and weight.
+
+    With `shrink`, a key with fewer rows than points gets one per row.
 
     One prefix-sum pass; each value then emits the grid positions that fall
     into its rank interval, in integer arithmetic. Returns (keys, weight, k,
@@ -247,19 +260,19 @@ def quantile_grid(
     rows = (
         cum.select(*keys, F.col(value).alias("_x"), per.alias("e")).select(*keys, "_x", "e.*").filter("c > 0")
         .withColumn("a", F.col("b") - F.col("c"))
-        .withColumn("m", F.least(F.col("n"), F.lit(points).cast("bigint")))
+        .withColumn("m", F.least(F.col("n"), F.lit(points).cast("bigint")) if shrink else F.lit(points).cast("bigint"))
     )
-    # position of k is k * (n - 1) / (m - 1); a single row has one position
-    up = lambda z: F.expr(f"-((-({z})) div (n - 1))")
+    # position of k is k * (n - 1) / (m - 1); a single row holds every position
+    up = lambda z: F.expr(f"({z} + n - 2) div (n - 1)")
     down = lambda z: F.expr(f"({z}) div (n - 1)")
-    many = F.col("m") > 1
+    many = (F.col("m") > 1) & (F.col("n") > 1)
+    last = F.col("m") - 1
     rows = rows.withColumns({
         "lo_from": F.when(many, up("a * (m - 1)")).otherwise(F.lit(0)),
-        "lo_to": F.when(many, up("b * (m - 1)") - 1).otherwise(F.lit(0)),
+        "lo_to": F.when(many, up("b * (m - 1)") - 1).otherwise(last),
         "hi_from": F.when(many & (F.col("a") > 0), down("(a - 1) * (m - 1)") + 1).otherwise(F.lit(0)),
-        "hi_to": F.when(many, down("(b - 1) * (m - 1)")).otherwise(F.lit(0)),
+        "hi_to": F.when(many, down("(b - 1) * (m - 1)")).otherwise(last),
     })
-    last = F.col("m") - 1
 
     def emit(lo: str, hi: str, side: str) -> DataFrame:
         top = F.least(F.col(hi), last)
