@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradus.functions.scalar import bit, safe_div
-from gradus.plans.folds import N_FOLDS, all_folds, assign_parts, part_of, train_weights, weight_fold
+from gradus.plans.folds import N_FOLDS, assign_parts, part_of, train_weights, weight_fold
 from gradus.plans.moments import fold_moments
 from gradus.plans.ordering import (
     hash_row_index, hash_uniform, melt, quantile_grid, row_index, sorted_codes,
@@ -375,13 +375,42 @@ def _per_fold(df: DataFrame, stats: DataFrame, values: dict[str, Column], cols:
     return df.join(F.broadcast(wide), "fold")
 
 
-def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def fixed_stats(stats: DataFrame) -> DataFrame:
+    """Fitted parameters as a literal table: folds x columns rows.
+
+    Sums of doubles differ in the last digit from run to run; what is fitted
+    once must be applied with exactly the same values.
+    """
+    return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
+
+
+def fill_values(stats: DataFrame) -> DataFrame:
+    """(fold, feature, mean, n, n_null): zero is the mean of a column with no training value."""
+    return stats.select(
+        "fold", "feature", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("mean")).alias("mean"), "n", "n_null")
+
+
+def imputed_value_counts(df: DataFrame, cols: Sequence[str], stats: DataFrame) -> DataFrame:
+    """(feature, value, w0..w9) of the imputed training rows of each fold.
+
+    Nulls enter as one row per fold at that fold's mean, so no row is copied
+    per fold.
+    """
+    weights = [f"w{i}" for i in range(N_FOLDS)]
+    at_mean = fill_values(stats).filter("n_null > 0").select(
+        "feature", F.col("mean").alias("value"),
+        *[F.when(F.col("fold") == i, F.col("n_null")).otherwise(F.lit(0)).cast("bigint").alias(f"w{i}") for i in range(N_FOLDS)])
+    both = fold_value_counts(df, cols).unionByName(at_mean)
+    return both.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in weights])
+
+
+def impute_mean(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """Every row in every fold, numeric nulls filled with that fold's training mean.
 
     A column with no training value in a fold becomes zero in all parts.
     Column order is kept.
     """
-    stats = fold_moments(df, cols)
+    stats = fold_moments(df, cols) if stats is None else stats
     order = [*df.columns, "fold", "part"]
     out = _per_fold(df, stats, {"mean": F.col("mean"), "n": F.col("n")}, cols)
     filled = {
@@ -450,10 +479,10 @@ def fold_value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.groupBy("feature", "value").agg(*train_weights(df))
 
 
-def quantile_references(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000) -> DataFrame:
-    """(feature, fold, refs): evenly spaced training quantiles as one array."""
+def quantile_references(counts: DataFrame, n_quantiles: int = 1000) -> DataFrame:
+    """(feature, fold, refs): evenly spaced training quantiles as one array, from value counts."""
     weights = [f"w{i}" for i in range(N_FOLDS)]
-    grid = quantile_grid(fold_value_counts(df, cols), ["feature"], "value", weights, n_quantiles)
+    grid = quantile_grid(counts, ["feature"], "value", weights, n_quantiles)
     return grid.groupBy("feature", weight_fold(F.col("weight")).alias("fold")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("refs")
     )
@@ -484,22 +513,25 @@ def quantile_scale(
     if noise:
         spread = {c: F.col(c) + F.lit(noise) * hash_normal("row_id", f"{seed}-{c}") for c in cols}
         fit = df.withColumns(spread)
-    refs = {
-        (r["fold"], r["feature"]): np.asarray(r["refs"], dtype=float)
-        for r in quantile_references(fit, cols, n_quantiles).collect()
-    }
     rows = df if "fold" in df.columns else assign_parts(df)
+    return apply_quantiles(rows, cols, quantile_references(fold_value_counts(fit, cols), n_quantiles), output)
+
+
+def apply_quantiles(rows: DataFrame, cols: Sequence[str], references: DataFrame, output: str = "uniform") -> DataFrame:
+    """Scale rows that carry `fold` by collected references, folds x columns arrays."""
+    refs = {(r["fold"], r["feature"]): np.asarray(r["refs"], dtype=float) for r in references.collect()}
 
     def scaler(name: str):
+        mine = {f: r for (f, c), r in refs.items() if c == name}
+
         @F.pandas_udf("double")
         def scale(fold: pd.Series, x: pd.Series) -> pd.Series:
             out = np.full(len(x), np.nan)
             xs = x.to_numpy(dtype=float, na_value=np.nan)
             for f in fold.unique():
-                r = refs.get((int(f), name))
-                if r is not None:
+                if int(f) in mine:
                     here = (fold == f).to_numpy()
-                    out[here] = _interpolate(xs[here], r)
+                    out[here] = _interpolate(xs[here], mine[int(f)])
             if output == "normal":
                 from statistics import NormalDist
 
@@ -526,14 +558,15 @@ def one_hot_domains(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.groupBy("feature", "value").agg(*train_weights(df))
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], limit: int = 10_000) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None, limit: int = 10_000) -> DataFrame:
     """One 0/1 array per categorical column over the categories of the table.
 
     A category the fold's training part has not seen gives all zeros, as does
     a null. The domain is a table of categories; more than `limit` of them
     make an error, as the output itself would have that many cells per row.
+    `fit` gives the rows to fit on where `df` holds each row once per fold.
     """
-    domains = one_hot_domains(df, cols)
+    domains = one_hot_domains(df if fit is None else fit, cols)
     rows = domains.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} categories; one-hot output would be that wide")
@@ -595,46 +628,17 @@ def process_data(
     Scaling is fitted on the imputed training values: a null stands at the
     training mean, which the fitted statistics take into account.
     """
-    out = impute_mean(df, numeric)
+    stats = fixed_stats(fold_moments(df, numeric))
+    out = impute_mean(df, numeric, stats)
     if scaler == "quantile":
-        refs_from = out.filter("part = 'train'")
-        out = _quantile_scale_folds(out, refs_from, numeric, n_quantiles)
+        out = apply_quantiles(out, numeric, quantile_references(imputed_value_counts(df, numeric, stats), n_quantiles))
     elif scaler is not None:
         raise ValueError(f"unknown scaler: {scaler}")
     if one_hot_encode and categorical:
-        domains = one_hot(df.select("row_id", "test_fold", *categorical), categorical)
-        keep = ["row_id", "fold", *[f"{c}_onehot" for c in categorical]]
-        out = out.join(domains.select(*keep), ["row_id", "fold"])
+        out = one_hot(out, categorical, fit=df)
     return out
 
 
-def _quantile_scale_folds(rows: DataFrame, train: DataFrame, cols: Sequence[str], n_quantiles: int) -> DataFrame:
-    """Quantile scaling when each fold has its own (imputed) values."""
-    long = melt(train, ["fold"], cols).filter("value IS NOT NULL")
-    counts = long.groupBy("fold", "feature", "value").agg(F.count("*").alias("n_rows"))
-    grid = quantile_grid(counts, ["fold", "feature"], "value", ["n_rows"], n_quantiles)
-    got = grid.groupBy("feature", "fold").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("refs")
-    ).collect()
-    refs = {(r["fold"], r["feature"]): np.asarray(r["refs"], dtype=float) for r in got}
-
-    def scaler(name: str):
-        @F.pandas_udf("double")
-        def scale(fold: pd.Series, x: pd.Series) -> pd.Series:
-            out = np.full(len(x), np.nan)
-            xs = x.to_numpy(dtype=float, na_value=np.nan)
-            for f in fold.unique():
-                r = refs.get((int(f), name))
-                if r is not None:
-                    here = (fold == f).to_numpy()
-                    out[here] = _interpolate(xs[here], r)
-            return pd.Series(out)
-
-        return scale
-
-    return rows.withColumns({c: scaler(c)("fold", F.col(c)) for c in cols})
-
-
 def preprocess(df: DataFrame, y: str, categorical: Sequence[str], row_id: str = "row_id") -> tuple[DataFrame, dict]:
     """Raw labelled table to folds, coded target and coded categories, with metadata."""
     features = [c for c in df.columns if c not in (row_id, y)]

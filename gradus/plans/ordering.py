@@ -274,17 +274,14 @@ def quantile_grid(
         "hi_to": F.when(many, down("(b - 1) * (m - 1)")).otherwise(last),
     })
 
-    def emit(lo: str, hi: str, side: str) -> DataFrame:
-        top = F.least(F.col(hi), last)
-        return rows.filter(F.col(lo) <= top).select(
-            *keys, "weight", "n", "m", "_x", F.explode(F.sequence(F.col(lo), top)).alias("k"), F.lit(side).alias("side")
-        )
-
-    both = emit("lo_from", "lo_to", "lo").unionByName(emit("hi_from", "hi_to", "hi"))
-    agg = both.groupBy(*keys, "weight", "n", "m", "k").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("_x"))).alias("lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("_x"))).alias("hi"),
-    )
+    first = F.least("lo_from", "hi_from")
+    final = F.least(F.greatest("lo_to", "hi_to"), last)
+    ks = rows.filter(first <= final).withColumn("k", F.explode(F.sequence(first, final)))
+
+    def hit(side: str) -> Column:
+        return F.max(F.when(F.col("k").between(F.col(f"{side}_from"), F.col(f"{side}_to")), F.col("_x")))
+
+    agg = ks.groupBy(*keys, "weight", "n", "m", "k").agg(hit("lo").alias("lo"), hit("hi").alias("hi"))
     frac = F.when(many, F.expr("(k * (n - 1)) % (m - 1)") / (F.col("m") - 1)).otherwise(F.lit(0.0))
     return agg.select(
         *keys, "weight", F.col("k").cast("int").alias("k"), F.col("m").cast("int").alias("m"),
