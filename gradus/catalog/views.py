@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradus.functions import names
+from gradus.session import written
 
 TABLES = {
     "region": "r_regionkey INT, r_name STRING",
@@ -160,6 +161,7 @@ def datasets_sql(source: str, m: str) -> str:
  ON g.alg_name = s.alg_name AND g.dataset_name = s.dataset_name"""
 
 
+_FOLDS: dict[tuple[str, str], DataFrame] = {}
 _WORD = re.compile(r"\bv_[a-z_]+\b")
 
 
@@ -220,10 +222,13 @@ class Tables:
 
     @property
     def folds(self) -> DataFrame:
-        """Features with their stratified test fold, from the distributed index."""
+        """Features with their stratified test fold, prepared once per session and folder."""
         from gradus.operators.prep import stratified_kfold
 
-        return stratified_kfold(self.features, "row_id", "y_multi")
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _FOLDS:
+            _FOLDS[key] = written(stratified_kfold(self.features, "row_id", "y_multi"), "folds")
+        return _FOLDS[key]
 
     @property
     def preds(self) -> DataFrame:

@@ -20,6 +20,7 @@ from gradus.operators.prep import fill_values, fixed_stats, imputed_value_counts
 from gradus.plans.folds import N_FOLDS, sum_over_train, to_train_folds, train_weights, weight_fold
 from gradus.plans.moments import fold_moments, kurtosis, skewness
 from gradus.plans.ordering import exact_quantiles, hash_order, melt, prefix_sums, value_buckets
+from gradus.session import written
 
 WEIGHTS = [f"w{i}" for i in range(N_FOLDS)]
 NULL_CATEGORY = "\u0000null"
@@ -31,6 +32,7 @@ class Input:
     def __init__(self, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str):
         self.df, self.numeric, self.categorical, self.y = df, list(numeric), list(categorical), y
         self._stats: DataFrame | None = None
+        self._counts: DataFrame | None = None
 
     @property
     def moments(self) -> DataFrame:
@@ -48,7 +50,10 @@ class Input:
 
     @property
     def value_counts(self) -> DataFrame:
-        return imputed_value_counts(self.df, self.numeric, self.moments)
+        """(feature, value, w0..w9) of the numeric columns, written once for its several readers."""
+        if self._counts is None:
+            self._counts = written(imputed_value_counts(self.df, self.numeric, self.moments), "value-counts")
+        return self._counts
 
     @property
     def category_counts(self) -> DataFrame:
@@ -521,7 +526,7 @@ def stumps(x: Input, seed: int = 0) -> DataFrame:
     labels = sorted(r["y"] for r in x.class_counts.select("y").limit(1001).collect())
     if len(labels) > 1000:
         raise ValueError("more than 1000 classes")
-    counts = _imputed_class_counts(x)
+    counts = written(_imputed_class_counts(x), "class-value-counts")
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(w).alias("c")) for i, w in enumerate(WEIGHTS)]))
     cell = counts.select("feature", "value", "y", per.alias("e")).select("feature", "value", "y", "e.*").filter("c > 0")
     n = [f"n{i}" for i in range(len(labels))]

@@ -147,23 +147,19 @@ def exact_quantiles(
     key_cols = keys or [F.lit(0)]
     before = W.partitionBy(*key_cols).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*key_cols)
-    entries = []
-    for w in weights:
-        n = F.sum(w).over(whole)
-        off = F.coalesce(F.sum(w).over(before), F.lit(0))
-        for q, p in probs.items():
-            entries.append(
-                F.struct(
-                    F.lit(w).alias("weight"), F.lit(q).alias("q"),
-                    (F.lit(float(p)) * (n - 1)).alias("pos"), off.alias("off"), F.col(w).alias("size"), n.alias("n"),
-                )
-            )
+    placed = totals.withColumns({f"_n_{w}": F.sum(w).over(whole) for w in weights}).withColumns(
+        {f"_o_{w}": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights})
+    # the wanted positions of a weight that fall into this bucket
+    per = F.explode(F.array(*[
+        F.struct(F.lit(w).alias("weight"), F.col(w).alias("size"), F.col(f"_n_{w}").alias("n"), F.col(f"_o_{w}").alias("off"))
+        for w in weights]))
+    q = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), F.lit(float(p)).alias("p")) for k, p in probs.items()]))
     wanted = (
-        totals.select(*part, F.array(*entries).alias("e"))
-        .select(*part, F.explode("e").alias("e"))
-        .select(*part, "e.*")
+        placed.select(*part, per.alias("e")).select(*part, "e.*").filter("size > 0")
+        .select("*", q.alias("e")).select(*part, "weight", "size", "n", "off", "e.*")
+        .withColumn("pos", F.col("p") * (F.col("n") - 1))
         .withColumns({"lo": F.floor("pos"), "hi": F.ceil("pos")})
-        .filter((F.col("n") > 0) & (F.col("off") <= F.col("hi")) & (F.col("off") + F.col("size") > F.col("lo")))
+        .filter((F.col("off") <= F.col("hi")) & (F.col("off") + F.col("size") > F.col("lo")))
     )
     picked = vals.select(
         *part, F.col(value).alias("_x"),

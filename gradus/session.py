@@ -5,7 +5,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -49,3 +49,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a parquet table in the shared folder, written once.
+
+    For derived tables that several passes read: later passes scan only the
+    columns they need, and a lost executor costs no recomputation.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
