@@ -1,7 +1,7 @@
 """Named queries over the given tables."""
 from importlib import import_module
 
-MODULES = ("results", "preparation", "scoring", "metafeatures", "ingestion")
+MODULES = ("results", "preparation", "scoring", "metafeatures", "ingestion", "learning")
 
 
 def load():
