@@ -131,13 +131,13 @@ _DATA: dict = {}
 
 
 def data(t, y: str):
-    """Imputed, one-hot encoded rows of all folds with one target, written once per session."""
+    """Imputed, scaled, one-hot encoded rows of all folds with one target, written once per session."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir, y)
     if key not in _DATA:
         src = t.folds.select("row_id", "test_fold", *XS, "k0", "k1", F.col(y).alias("y"))
         if y == "y_multi":
             src = P.encode_target(src, "y")
-        out = P.process_data(src, XS, ["k0", "k1"], scaler=None)
+        out = P.process_data(src, XS, ["k0", "k1"])
         _DATA[key] = written(L.assemble(out, XS, ["k0", "k1"], "y"), "model-rows")
     return _DATA[key]
 
@@ -242,18 +242,21 @@ def _(t):
     return t.results.select("alg_name").distinct().withColumn("has_learner", F.col("alg_name").isin(*known))
 
 
+def fold_trees(t) -> dict:
+    """One tree per fold on its training part."""
+    rows = data(t, "y_multi")
+    return {
+        fold: L.make_tree({"max_depth": 5}, "classification").fit(rows.filter((F.col("fold") == fold) & (F.col("part") == "train")))
+        for fold in range(10)}
+
+
 @query("k21_tree_shape")
 def _(t):
-    """Shape of the tree trained on every fold's training part."""
-    rows = data(t, "y_multi")
-    frames = []
-    for fold in range(10):
-        train = rows.filter((F.col("fold") == fold) & (F.col("part") == "train"))
-        model = L.make_tree({"max_depth": 5}, "classification").fit(train)
-        n = int(train.count())
-        shape = L.tree_metafeatures(L.tree_nodes(t.spark, model), n, model.numFeatures, model.numClasses)
-        frames.append(shape.withColumn("fold", F.lit(fold)))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    models = fold_trees(t)
+    one = models[0]
+    return L.tree_metafeatures(L.tree_nodes(t.spark, models), one.numFeatures, one.numClasses)
+
+
+@query("k21_tree_importance")
+def _(t):
+    return L.tree_importance(L.tree_nodes(t.spark, fold_trees(t)))

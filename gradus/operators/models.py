@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradus.functions.scalar import argmax
 from gradus.plans.ordering import hash_uniform
-from gradus.session import work_dir
+from gradus.session import work_dir, written
 
 ESTIMATORS: dict[str, Callable] = {}
 
@@ -279,60 +279,63 @@ def meta_knn(train: DataFrame, query: DataFrame, xs: Sequence[str], y: str, row_
 
 
 # --- tree shape ---------------------------------------------------------------------------
-TREE_FEATURES = (
-    "leaves", "nodes", "tree_depth", "leaves_per_class", "nodes_per_attr", "nodes_per_inst", "leaves_corrob", "leaves_branch",
-    "leaves_homo", "tree_shape", "tree_imbalance", "nodes_per_level", "nodes_repeated", "var_importance")
+def tree_nodes(spark: SparkSession, models: dict[int, object]) -> DataFrame:
+    """Node tables of the trees of several folds: fold, id, feature, children, rows, depth.
 
-
-def tree_nodes(spark: SparkSession, model) -> DataFrame:
-    """The saved node table of a tree: id, split feature, children, counts, depth.
-
-    Levels come from one join per level, at most the depth of the tree.
+    Levels come from one join per level for all trees together, at most the
+    depth of the deepest tree.
     """
-    path = work_dir(spark, "tree")
-    model.write().save(path)
-    raw = spark.read.parquet(f"{path}/data")
-    nodes = raw.select(
-        "id", "prediction", "impurity", "gain", F.col("rawCount").cast("double").alias("rows"), F.col("leftChild").alias("l"),
-        F.col("rightChild").alias("r"), F.col("split.featureIndex").alias("feature"))
-    level = nodes.filter("id = 0").select("id").withColumn("depth", F.lit(0))
+    raw = None
+    for fold, model in models.items():
+        path = work_dir(spark, f"tree-{fold}")
+        model.write().save(path)
+        one = spark.read.parquet(f"{path}/data").select(
+            F.lit(fold).alias("fold"), "id", "gain", F.col("rawCount").cast("double").alias("rows"), F.col("leftChild").alias("l"),
+            F.col("rightChild").alias("r"), F.col("split.featureIndex").alias("feature"))
+        raw = one if raw is None else raw.unionByName(one)
+    nodes = written(raw, "tree-nodes")
+    level = nodes.filter("id = 0").select("fold", "id").withColumn("depth", F.lit(0))
     out = level
-    for depth in range(1, model.depth + 1):
-        kids = nodes.join(level.select("id"), "id").filter("l >= 0").select(F.explode(F.array("l", "r")).alias("id"))
+    for depth in range(1, max(m.depth for m in models.values()) + 1):
+        kids = nodes.join(level.select("fold", "id"), ["fold", "id"]).filter("l >= 0").select("fold", F.explode(F.array("l", "r")).alias("id"))
         level = kids.withColumn("depth", F.lit(depth))
         out = out.unionByName(level)
-    return nodes.join(out, "id")
+    return nodes.join(out, ["fold", "id"])
 
 
-def tree_metafeatures(nodes: DataFrame, n_rows: int, n_features: int, n_classes: int) -> DataFrame:
-    """Shape measures of one decision tree, averaged where they are vectors.
+def tree_metafeatures(nodes: DataFrame, n_features: int, n_classes: int) -> DataFrame:
+    """Shape measures of one decision tree per fold, averaged where they are vectors.
 
     leaves_branch: depth of each leaf. leaves_corrob: share of rows per leaf.
-    leaves_homo: leaves over tree shape of each leaf. tree_shape: -p log2 p
-    with p = 2 ** -depth. tree_imbalance: the same over equal-probability
-    groups. nodes_repeated: inner nodes per used feature. var_importance:
-    summed impurity decrease per feature, as a share.
+    tree_shape: -p log2 p of each leaf with p = 2 ** -depth. leaves_homo:
+    leaves over tree shape of each leaf. tree_imbalance: entropy over groups
+    of equally probable leaves. nodes_per_level and nodes_repeated: inner
+    nodes per level and per used feature.
     """
     leaf = F.col("l") < 0
     p = F.pow(F.lit(2.0), -F.col("depth"))
     shape = -p * F.log2(p)
-    base = nodes.agg(
+    n_rows = F.max(F.when(F.col("id") == 0, F.col("rows")))
+    base = nodes.groupBy("fold").agg(
         F.count_if(leaf).cast("double").alias("leaves"), F.count_if(~leaf).cast("double").alias("nodes"),
         F.max("depth").cast("double").alias("tree_depth"), F.avg(F.when(leaf, F.col("depth").cast("double"))).alias("leaves_branch"),
-        F.avg(F.when(leaf, F.col("rows") / n_rows)).alias("leaves_corrob"), F.avg(F.when(leaf, shape)).alias("tree_shape"),
-        F.count_if(leaf).alias("_n"), F.avg(F.when(leaf & (F.col("depth") > 0), F.lit(1.0) / shape)).alias("_inv"))
-    groups = nodes.filter(leaf).groupBy("depth").agg((F.count("*") * F.first(p)).alias("q"))
-    imb = groups.agg((-F.sum(F.col("q") * F.log2("q"))).alias("tree_imbalance"))
+        (F.avg(F.when(leaf, F.col("rows"))) / n_rows).alias("leaves_corrob"), F.avg(F.when(leaf, shape)).alias("tree_shape"),
+        F.avg(F.when(leaf & (F.col("depth") > 0), F.lit(1.0) / shape)).alias("_inv"), n_rows.alias("_rows"))
+    groups = nodes.filter(leaf).groupBy("fold", "depth").agg((F.count("*") * F.first(p)).alias("q"))
+    imb = groups.groupBy("fold").agg((-F.sum(F.col("q") * F.log2("q"))).alias("tree_imbalance"))
     inner = nodes.filter(~leaf)
-    per_level = inner.groupBy("depth").agg(F.count("*").alias("c")).agg(F.avg("c").alias("nodes_per_level"))
-    rep = inner.groupBy("feature").agg(F.count("*").alias("c"), F.sum(F.col("gain") * F.col("rows")).alias("g"))
-    used = rep.agg(F.avg("c").alias("nodes_repeated"), F.sum("g").alias("_g"), F.count("*").alias("_f"))
-    one = [x.withColumn("_k", F.lit(0)) for x in (base, imb, per_level, used)]
-    j = one[0].join(one[1], "_k", "left").join(one[2], "_k", "left").join(one[3], "_k", "left")
+    per_level = inner.groupBy("fold", "depth").agg(F.count("*").alias("c")).groupBy("fold").agg(F.avg("c").alias("nodes_per_level"))
+    repeated = inner.groupBy("fold", "feature").agg(F.count("*").alias("c")).groupBy("fold").agg(F.avg("c").alias("nodes_repeated"))
+    j = base.join(imb, "fold", "left").join(per_level, "fold", "left").join(repeated, "fold", "left")
     return j.select(
-        "leaves", "nodes", "tree_depth", (F.col("leaves") / n_classes).alias("leaves_per_class"), (F.col("nodes") / n_features).alias("nodes_per_attr"),
-        (F.col("nodes") / n_rows).alias("nodes_per_inst"), "leaves_corrob", "leaves_branch", (F.col("leaves") * F.col("_inv")).alias("leaves_homo"),
-        "tree_shape", "tree_imbalance", F.coalesce("nodes_per_level", F.lit(0.0)).alias("nodes_per_level"),
-        F.coalesce("nodes_repeated", F.lit(0.0)).alias("nodes_repeated"),
-        # shares of the used features sum to one, over all features
-        F.when(F.col("_g") > 0, F.lit(1.0) / n_features).otherwise(F.lit(0.0)).alias("var_importance"))
+        "fold", "leaves", "nodes", "tree_depth", (F.col("leaves") / n_classes).alias("leaves_per_class"),
+        (F.col("nodes") / n_features).alias("nodes_per_attr"), (F.col("nodes") / F.col("_rows")).alias("nodes_per_inst"),
+        "leaves_corrob", "leaves_branch", (F.col("leaves") * F.col("_inv")).alias("leaves_homo"), "tree_shape", "tree_imbalance",
+        F.coalesce("nodes_per_level", F.lit(0.0)).alias("nodes_per_level"), F.coalesce("nodes_repeated", F.lit(0.0)).alias("nodes_repeated"))
+
+
+def tree_importance(nodes: DataFrame) -> DataFrame:
+    """(fold, feature, var_importance): each used feature's share of the weighted impurity decrease."""
+    per = nodes.filter("l >= 0").groupBy("fold", "feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("g"))
+    total = per.groupBy("fold").agg(F.sum("g").alias("t"))
+    return per.join(total, "fold").select("fold", "feature", F.try_divide(F.col("g"), F.col("t")).alias("var_importance"))

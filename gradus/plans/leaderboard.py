@@ -38,14 +38,14 @@ def _best(metric: str, payload: Sequence[str]) -> Column:
     return F.min(F.when(val.isNotNull(), row))
 
 
-def tuned_metrics(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def tuned_metrics(df: DataFrame, metrics: Sequence[str], payload: Sequence[str] | None = None) -> DataFrame:
     """One row per (algorithm, fold) with the best trial of each metric.
 
-    The columns of the first metric's trial stay as they are; each metric adds
+    `payload` limits the columns carried along. The columns of the first metric's trial stay as they are; each metric adds
     its test value and runtime, null where it has no validated trial.
     """
     keys = [c for c in ("alg_name", "alg_type", "dataset_fold_id", "dataset_name") if c in df.columns]
-    own = [c for c in df.columns if c not in keys]
+    own = [c for c in df.columns if c not in keys] if payload is None else list(payload)
     aggs = [
         _best(m, own if i == 0 else [f"{m}__test", RUNTIME]).alias(f"_b_{m}") for i, m in enumerate(metrics)
     ]
@@ -95,7 +95,7 @@ def merged_datasets(df: DataFrame, metrics: Sequence[str] = names.RESULT_METRICS
     The spread of the normalised metric is the standard deviation over the
     range of the dataset means, since the bounds are constants per dataset.
     """
-    tuned = tuned_metrics(df, metrics)
+    tuned = tuned_metrics(df, metrics, [f"{metrics[0]}__test", RUNTIME, "time__train"])
     aggs = [F.median("time__train").alias("time__train_median"), F.avg("time__train").alias("time__train_mean")]
     for m in metrics:
         aggs += [
