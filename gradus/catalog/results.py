@@ -528,9 +528,9 @@ def _(t):
 @query("f05_prefix_sum_keyed", """SELECT e, row_id, sum(risk) OVER (PARTITION BY e ORDER BY t, row_id ROWS UNBOUNDED PRECEDING) AS cum
  FROM v_survival""", r="cum")
 def _(t):
-    from gradus.plans.ordering import prefix_sums, value_buckets
+    from gradus.plans.ordering import order_buckets, prefix_sums
 
-    return prefix_sums(value_buckets(t.survival, "t"), ["e"], ["t", "row_id"], {"cum": "risk"}).select("e", "row_id", "cum")
+    return prefix_sums(order_buckets(t.survival, "t", "row_id"), ["e"], ["t", "row_id"], {"cum": "risk"}).select("e", "row_id", "cum")
 
 
 @query("f05_prefix_sum_global", """SELECT event_id, sum(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cum FROM events""", r="cum")

@@ -19,7 +19,7 @@ from gradus.functions.scalar import safe_div
 from gradus.operators.prep import fill_values, fixed_stats, imputed_value_counts
 from gradus.plans.folds import N_FOLDS, sum_over_train, to_train_folds, train_weights, weight_fold
 from gradus.plans.moments import fold_moments, kurtosis, skewness
-from gradus.plans.ordering import exact_quantiles, hash_order, melt, prefix_sums, value_buckets
+from gradus.plans.ordering import cut_points, exact_quantiles, hash_order, melt, prefix_sums, value_buckets
 from gradus.session import written
 
 WEIGHTS = [f"w{i}" for i in range(N_FOLDS)]
@@ -132,10 +132,11 @@ def mf_mad(x: Input, quartiles: DataFrame) -> DataFrame:
     """
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(w).alias("n_rows")) for i, w in enumerate(WEIGHTS)]))
     long = x.value_counts.select("feature", "value", per.alias("e")).select("feature", "value", "e.*").filter("n_rows > 0")
-    dev = long.join(F.broadcast(quartiles.select("fold", "feature", "q50")), ["fold", "feature"])
-    counts = dev.groupBy("fold", "feature", F.abs(F.col("value") - F.col("q50")).alias("dev")).agg(F.sum("n_rows").alias("n_rows"))
+    dev = long.join(F.broadcast(quartiles.select("fold", "feature", "q50")), ["fold", "feature"]).withColumn(
+        "dev", F.abs(F.col("value") - F.col("q50")))
+    counts = dev.groupBy("fold", "feature", "dev").agg(F.sum("n_rows").alias("n_rows"))
     # fixed value: scale that makes the MAD of a normal sample its standard deviation
-    return exact_quantiles(counts, ["fold", "feature"], "dev", ["n_rows"], {"m": 0.5}).select(
+    return exact_quantiles(counts, ["fold", "feature"], "dev", ["n_rows"], {"m": 0.5}, cut_points(dev, "dev")).select(
         "fold", "feature", (F.lit(1.4826) * F.col("value")).alias("mad"))
 
 
@@ -534,7 +535,7 @@ def stumps(x: Input, seed: int = 0) -> DataFrame:
         *[F.sum(F.when(F.col("y") == lab, F.col("c")).otherwise(0)).alias(a) for a, lab in zip(n, labels)])
     keys = ["fold", "feature"]
     left = [f"l{i}" for i in range(len(labels))]
-    cum = prefix_sums(value_buckets(wide, "value"), keys, ["value"], dict(zip(left, n)))
+    cum = prefix_sums(value_buckets(wide, "value", cut_points(counts, "value")), keys, ["value"], dict(zip(left, n)))
     total = wide.groupBy(*keys).agg(*[F.sum(a).alias(f"t{i}") for i, a in enumerate(n)])
     j = cum.join(F.broadcast(total), keys)
 

@@ -11,7 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradus.functions.scalar import argmax, array_sum, at, clip, mean_abs_diff, safe_div
-from gradus.plans.ordering import prefix_sums, value_buckets
+from gradus.plans.ordering import cut_points, order_buckets, prefix_sums, value_buckets
+from gradus.session import written
 
 # fixed value: machine epsilon of a double, the clipping bound of log loss
 EPS = 2.220446049250313e-16
@@ -150,7 +151,8 @@ def roc_auc(df: DataFrame, keys: Sequence[str], y: str, s: str) -> DataFrame:
     """Binary AUC with ties at their average rank; null when a class is absent."""
     per = df.filter(F.col(s).isNotNull()).groupBy(*keys, F.col(s).cast("double").alias("_s")).agg(
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) != 1).alias("_neg"))
-    cum = prefix_sums(value_buckets(per, "_s"), keys, ["_s"], {"_below": "_neg"}, inclusive=False)
+    # the cuts only balance the buckets, so they come from the unshuffled rows
+    cum = prefix_sums(value_buckets(per, "_s", cut_points(df, s)), keys, ["_s"], {"_below": "_neg"}, inclusive=False)
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0)))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return cum.groupBy(*keys).agg(safe_div(wins.cast("double"), pairs).alias("auc"))
@@ -168,7 +170,7 @@ def roc_auc_ovo(df: DataFrame, keys: Sequence[str], y: str, proba: str, n_classe
         F.struct(F.lit(a).alias("a"), F.element_at(F.col(proba), a + 1).cast("double").alias("s")) for a in c]))
     long = df.select(*keys, F.col(y).alias("_y"), cells.alias("e")).select(*keys, "_y", "e.a", "e.s")
     per = long.groupBy(*keys, "a", "s").agg(*[F.count_if(F.col("_y") == b).alias(f"n{b}") for b in c])
-    cum = prefix_sums(value_buckets(per, "s"), [*keys, "a"], ["s"], {f"below{b}": f"n{b}" for b in c}, inclusive=False)
+    cum = prefix_sums(value_buckets(per, "s", cut_points(long, "s")), [*keys, "a"], ["s"], {f"below{b}": f"n{b}" for b in c}, inclusive=False)
     pos = F.element_at(F.array(*[F.col(f"n{b}") for b in c]), F.col("a") + 1)
     tot = cum.groupBy(*keys, "a").agg(
         F.sum(pos).cast("double").alias("P"),
@@ -233,7 +235,7 @@ def eval_metrics(df: DataFrame, keys: Sequence[str], task: str, y: str, s: str)
 def cox_partial_loss(df: DataFrame, t: str, e: str, risk: str, row_id: str) -> DataFrame:
     """Negative partial log-likelihood per event, later times first, no tie handling."""
     src = df.select(row_id, F.col(e).alias("_e"), F.col(risk).alias("_r"), (-F.col(t)).alias("_t"))
-    cum = prefix_sums(value_buckets(src, "_t"), [], ["_t", row_id], {"_h": F.exp("_r")})
+    cum = prefix_sums(order_buckets(src, "_t", row_id), [], ["_t", row_id], {"_h": F.exp("_r")})
     return cum.agg(
         safe_div(-F.sum(F.col("_e") * (F.col("_r") - F.ln("_h"))), F.sum("_e").cast("double")).alias("neg_log_likelihood"),
         F.sum("_e").alias("n_events"),
@@ -254,7 +256,7 @@ def concordance_index(df: DataFrame, t: str, e: str, risk: str) -> DataFrame:
     emitted once per digit, so the work is rows x log(rows).
     """
     rows = df.select(F.col(t).alias("_t"), F.col(e).alias("_e"), F.col(risk).cast("double").alias("_r")).na.drop()
-    per = rows.groupBy("_t").agg(F.count_if(F.col("_e") == 1).alias("_x"), F.count_if(F.col("_e") != 1).alias("_z"))
+    per = written(rows.select("_t").distinct(), "times")
     # events and censorings of one time get two adjacent positions
     pos = prefix_sums(value_buckets(per, "_t"), [], ["_t"], {"_pos": F.lit(2).cast("bigint")}, inclusive=False)
     top = per.count() * 2
@@ -271,7 +273,7 @@ def concordance_index(df: DataFrame, t: str, e: str, risk: str) -> DataFrame:
         F.sum(F.when(F.col("side") == 0, F.col("_ev")).otherwise(0)).alias("early"),
         F.sum(F.when(F.col("side") == 1, F.col("_all")).otherwise(0)).alias("late"),
     )
-    run = prefix_sums(value_buckets(cell, "_r"), ["digit", "high"], ["_r"], {"below": "late"}, inclusive=False)
+    run = prefix_sums(value_buckets(cell, "_r", cut_points(rows, "_r")), ["digit", "high"], ["_r"], {"below": "late"}, inclusive=False)
     w = run.groupBy("digit", "high").agg(
         F.sum(F.col("early") * F.col("below")).alias("c"), F.sum(F.col("early") * F.col("late")).alias("t"),
         (F.sum("early") * F.sum("late")).alias("p"))

@@ -19,6 +19,7 @@ from gradus.plans.moments import fold_moments
 from gradus.plans.ordering import (
     hash_row_index, hash_uniform, melt, quantile_grid, row_index, sorted_codes,
 )
+from gradus.session import written
 
 BROADCAST_ROWS = 100_000
 
@@ -35,10 +36,15 @@ def kfold(df: DataFrame, row_id: str, n: int = N_FOLDS, seed: int = 0) -> DataFr
     return out.withColumn("test_fold", (F.col("_i") % n).cast("int")).drop("_i")
 
 
+def _stratum(df: DataFrame, y: str) -> DataFrame:
+    """The class as a key without nulls: rows with no label are a class of their own."""
+    return df.withColumn("_y", F.coalesce(F.col(y).cast("string"), F.lit("\u0000null")))
+
+
 def stratified_kfold(df: DataFrame, row_id: str, y: str, n: int = N_FOLDS, seed: int = 0) -> DataFrame:
     """Shuffled folds that deal out each class in turn."""
-    out = hash_row_index(df, row_id, seed, [y], out="_i")
-    return out.withColumn("test_fold", (F.col("_i") % n).cast("int")).drop("_i")
+    out = hash_row_index(_stratum(df, y), row_id, seed, ["_y"], out="_i")
+    return out.withColumn("test_fold", (F.col("_i") % n).cast("int")).drop("_i", "_y")
 
 
 def splits_table(df: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -87,10 +93,11 @@ def frac_split(df: DataFrame, row_id: str, frac: float, seed: int = 0) -> DataFr
 
 def stratified_holdout(df: DataFrame, row_id: str, y: str, frac: float, seed: int = 0) -> DataFrame:
     """Validation takes round(frac * class size) rows of each class."""
-    sizes = df.groupBy(y).agg(F.count("*").alias("_n"))
-    out = hash_row_index(df, row_id, seed, [y], out="_i").join(sizes, y)
+    rows = _stratum(df, y)
+    sizes = rows.groupBy("_y").agg(F.count("*").alias("_n"))
+    out = hash_row_index(rows, row_id, seed, ["_y"], out="_i").join(sizes, "_y")
     cut = F.round(F.col("_n") * F.lit(float(frac)), 0)
-    return out.withColumn("part", F.when(F.col("_i") < cut, "val").otherwise("train")).drop("_i", "_n")
+    return out.withColumn("part", F.when(F.col("_i") < cut, "val").otherwise("train")).drop("_i", "_n", "_y")
 
 
 def splits_from_indicators(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
@@ -514,7 +521,8 @@ def quantile_scale(
         spread = {c: F.col(c) + F.lit(noise) * hash_normal("row_id", f"{seed}-{c}") for c in cols}
         fit = df.withColumns(spread)
     rows = df if "fold" in df.columns else assign_parts(df)
-    return apply_quantiles(rows, cols, quantile_references(fold_value_counts(fit, cols), n_quantiles), output)
+    counts = written(fold_value_counts(fit, cols), "value-counts")
+    return apply_quantiles(rows, cols, quantile_references(counts, n_quantiles), output)
 
 
 def apply_quantiles(rows: DataFrame, cols: Sequence[str], references: DataFrame, output: str = "uniform") -> DataFrame:
@@ -538,11 +546,13 @@ def apply_quantiles(rows: DataFrame, cols: Sequence[str], references: DataFrame,
                 inv = NormalDist().inv_cdf
                 lo = 1e-7
                 out = np.array([np.nan if np.isnan(v) else inv(min(max(v, lo), 1 - lo)) for v in out])
-            return pd.Series(out).astype("object").where(~np.isnan(out), None)
+            return pd.Series(out)
 
         return scale
 
-    return rows.withColumns({c: scaler(c)("fold", F.col(c).cast("double")) for c in cols})
+    # missing values travel as NaN and come back as null
+    null = F.lit(None).cast("double")
+    return rows.withColumns({c: F.nanvl(scaler(c)("fold", F.col(c).cast("double")), null) for c in cols})
 
 
 def hash_normal(row_id: str, seed: int | str) -> Column:
@@ -631,7 +641,8 @@ def process_data(
     stats = fixed_stats(fold_moments(df, numeric))
     out = impute_mean(df, numeric, stats)
     if scaler == "quantile":
-        out = apply_quantiles(out, numeric, quantile_references(imputed_value_counts(df, numeric, stats), n_quantiles))
+        out = apply_quantiles(out, numeric, quantile_references(
+            written(imputed_value_counts(df, numeric, stats), "value-counts"), n_quantiles))
     elif scaler is not None:
         raise ValueError(f"unknown scaler: {scaler}")
     if one_hot_encode and categorical:

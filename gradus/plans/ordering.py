@@ -8,6 +8,7 @@ spread over as many tasks as it has buckets.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -84,20 +85,27 @@ def hash_row_index(
     return ranked.drop("_h", BUCKET)
 
 
+def _sketch(df: DataFrame, col: str, n: int | None) -> list[float]:
+    n = n or min(MAX_CUTS, max(16, 4 * shuffle_partitions(df.sparkSession)))
+    probs = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(10000, 4 * n)).alias("c")).first()["c"]
+    return [c for c in (cuts or []) if c == c and abs(c) != float("inf")]
+
+
 def cut_points(df: DataFrame, col: str, n: int | None = None) -> list[float]:
     """At most `n` distinct cut values from a mergeable quantile sketch.
 
     The cuts only balance the buckets; every result built on them is exact
     whatever the sketch's error.
     """
-    n = n or min(MAX_CUTS, max(16, 4 * shuffle_partitions(df.sparkSession)))
-    probs = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(10000, 4 * n)).alias("c")).first()["c"]
-    return sorted({c for c in (cuts or []) if c == c and abs(c) != float("inf")})
+    return sorted(set(_sketch(df, col, n)))
 
 
 def value_buckets(df: DataFrame, col: str, cuts: list[float] | None = None, out: str = BUCKET) -> DataFrame:
-    """Number the bucket of each non-null value, increasing with the value."""
+    """Number the bucket of each non-null value, increasing with the value.
+
+    Equal values share a bucket: count them first, or use order_buckets.
+    """
     cuts = cut_points(df, col) if cuts is None else cuts
     if not cuts:
         return df.withColumn(out, F.lit(0.0))
@@ -106,6 +114,24 @@ def value_buckets(df: DataFrame, col: str, cuts: list[float] | None = None, out:
     return Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(tagged).drop("_v")
 
 
+def order_buckets(df: DataFrame, col: str, tie: str, out: str = BUCKET) -> DataFrame:
+    """Buckets along (col, tie), both numeric, that also split a value held by many rows.
+
+    A value the sketch meets twice gets a bucket of its own, which is cut
+    again by `tie`.
+    """
+    raw = _sketch(df, col, None)
+    hot = sorted(v for v in set(raw) if raw.count(v) > 1)
+    cuts = sorted(set(raw) | {math.nextafter(v, math.inf) for v in hot})
+    tagged = value_buckets(df, col, cuts, out)
+    if not hot:
+        return tagged
+    is_hot = F.col(col).cast("double").isin(hot)
+    ties = cut_points(df.filter(is_hot), tie)
+    both = value_buckets(tagged, tie, ties, "_tie")
+    return both.withColumn(out, F.col(out) * (len(ties) + 2) + F.when(is_hot, F.col("_tie")).otherwise(0.0)).drop("_tie")
+
+
 def row_index(
     df: DataFrame,
     order: str,
@@ -115,12 +141,12 @@ def row_index(
 ) -> DataFrame:
     """Zero-based position in ascending order of a numeric column, then `tie`.
 
-    Use hash_row_index when the wanted order is a shuffle. Equal values of
-    `order` share a bucket, so give a column without huge groups of ties.
+    Use hash_row_index when the wanted order is a shuffle. A numeric `tie`
+    also splits values that many rows share.
     """
-    ranked = prefix_sums(
-        value_buckets(df, order), keys, [order, *tie], {out: F.lit(1).cast("bigint")}, inclusive=False
-    )
+    numeric = tie and dict(df.dtypes)[tie[0]] not in ("string", "boolean", "binary")
+    tagged = order_buckets(df, order, tie[0]) if numeric else value_buckets(df, order)
+    ranked = prefix_sums(tagged, keys, [order, *tie], {out: F.lit(1).cast("bigint")}, inclusive=False)
     return ranked.drop(BUCKET)
 
 

@@ -144,6 +144,19 @@ def test_stratified_folds_with_a_hot_class_do_not_depend_on_partitions(spark):
     assert A.check_disjoint(P.splits_table(a)).isEmpty()
 
 
+def test_unlabelled_rows_keep_a_fold(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(40)], "row_id bigint, y string")
+    assert P.stratified_kfold(df, "row_id", "y").count() == 40
+
+
+def test_row_index_splits_a_hot_value(spark):
+    rows = [(i, 1.0 if i % 3 else float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id bigint, v double")
+    assert O.order_buckets(df, "v", "row_id").filter("v = 1.0").select(O.BUCKET).distinct().count() > 5
+    got = {r.row_id: r.row_index for r in O.row_index(df, "v", ["row_id"]).collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+
+
 def test_fewer_rows_than_folds(spark):
     df = spark.createDataFrame([(i, "a") for i in range(4)], "row_id bigint, y string")
     assert sorted(r.test_fold for r in P.stratified_kfold(df, "row_id", "y").collect()) == [0, 1, 2, 3]
