@@ -483,8 +483,7 @@ GAINS = """SELECT l_suppkey % 6 AS tree_group, CAST(l_linenumber AS INT) AS feat
  FROM (SELECT DISTINCT tree_group FROM g) AS x CROSS JOIN (SELECT unnest(range(1, 5)) AS pos) AS p
  LEFT JOIN r ON r.tree_group = x.tree_group AND r.pos = p.pos""")
 def _(t):
-    t.table("lineitem").createOrReplaceTempView("lineitem")
-    return A.top_gain_features(t.spark.sql(GAINS), 4)
+    return A.top_gain_features(t.sql(GAINS), 4)
 
 
 @query("d21_failure_report", f"""SELECT dataset_name, alg_name, n_ok, n_failed, n_failed * 1e0 / (n_ok + n_failed) AS error_rate FROM (
@@ -618,8 +617,7 @@ def _(t):
 @query("g07_top_gain", f"""SELECT tree_group, feature, gain FROM (SELECT *, row_number() OVER (PARTITION BY tree_group ORDER BY gain DESC, feature) AS rn
  FROM (SELECT tree_group, feature, sum(gain) AS gain FROM ({GAINS}) AS g GROUP BY 1, 2) AS s) AS r WHERE rn <= 1""")
 def _(t):
-    t.table("lineitem").createOrReplaceTempView("lineitem")
-    return A.top_gain_features(t.spark.sql(GAINS), 1).drop("pos")
+    return A.top_gain_features(t.sql(GAINS), 1).drop("pos")
 
 
 # --- H -------------------------------------------------------------------------

@@ -162,6 +162,7 @@ def datasets_sql(source: str, m: str) -> str:
 
 
 _FOLDS: dict[tuple[str, str], DataFrame] = {}
+_TABLE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
 _WORD = re.compile(r"\bv_[a-z_]+\b")
 
 
@@ -198,11 +199,19 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def sql(self, text: str) -> DataFrame:
+        """Run portable SQL over the tables and views it names, leaving no temporary view behind."""
+        used: set[str] = set()
+
+        def slot(m: re.Match) -> str:
+            used.add(m.group(2))
+            return f"{m.group(1)} {{{m.group(2)}}}"
+
+        body = _TABLE.sub(slot, with_views(text))
+        return self.spark.sql(body, **{n: self.table(n) for n in used})
+
     def _view(self, name: str) -> DataFrame:
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", with_views(f"SELECT * FROM {name}")):
-                self.table(t).createOrReplaceTempView(t)
-        return self.spark.sql(with_views(f"SELECT * FROM {name}"))
+        return self.sql(f"SELECT * FROM {name}")
 
     @property
     def algs(self) -> DataFrame:

@@ -143,7 +143,7 @@ def cross_validate(
     """
     frames, report = [], []
     for fold in folds:
-        t0 = time.process_time(), time.time()
+        start = time.time()
         rows = data.filter(F.col("fold") == fold)
         try:
             est = get_model(name)(params, objective)
@@ -151,7 +151,7 @@ def cross_validate(
             fit_on = rows.filter("part <> 'test'" if uses_val else "part = 'train'")
             model = est.fit(fit_on)
             frames.append(_predictions(model.transform(rows), name, trial, fold))
-            report.append({"alg_name": name, "trial_number": trial, "fold": fold, "seconds": time.time() - t0[1], "exception": "None"})
+            report.append({"alg_name": name, "trial_number": trial, "fold": fold, "seconds": time.time() - start, "exception": "None"})
         except Exception:
             report.append({"alg_name": name, "trial_number": trial, "fold": fold, "seconds": None, "exception": traceback.format_exc(limit=3)})
     out = None

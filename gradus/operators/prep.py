@@ -248,7 +248,7 @@ def encode_categoricals(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame,
 
 def infer_target(df: DataFrame, y: str, declared: int | None = None) -> tuple[str, int]:
     """(target type, number of classes); binary has one output, not two."""
-    n = df.select(y).filter(F.col(y).isNotNull()).distinct().limit(100_001).count()
+    n = df.select(y).filter(F.col(y).isNotNull()).distinct().count()
     if declared is not None and declared != n:
         raise ValueError(f"declared {declared} classes, found {n}")
     if n == 2:
