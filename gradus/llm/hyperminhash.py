@@ -6,9 +6,9 @@ similarity of two such sets as it was, so that about four or more values fall in
 depends on the set's size only; a text whose partner may have the next number of seeds gets a sketch for both.
 
 Registers are banded six by six. A text at similarity 0.8 shares a given band with probability 0.26 and none of 42
-with 3e-6. In a band's group every member is held against the group's smallest id; only groups that then still hold
-several components are compared further, in blocks, by registers. A pair whose corrected estimate is within five
-standard deviations of the threshold is confirmed on the full sets.
+with 3e-6. In a band's group every member is held against the group's smallest id. Texts that bands connect are a family;
+families that then still hold several components are compared further, in blocks, across components only. A pair whose
+corrected estimate is not five standard deviations below the threshold is confirmed on the full sets.
 """
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradus.llm.components import components
-from gradus.llm.text import chunks, mix, shingle_sets
+from gradus.llm.text import buffers, chunks, mix, shingle_sets
 from gradus.session import written
 
 REGISTERS, ROWS, MANTISSA, VALUE_BITS = 256, 6, 9, 52
@@ -42,13 +42,16 @@ def seeds_for(n: np.ndarray) -> np.ndarray:
 def registers(hashes: np.ndarray, row: np.ndarray, n_rows: int, seeds: np.ndarray) -> np.ndarray:
     """Registers of each row's set: leading zeros above the mantissa, EMPTY without a value."""
     low = np.full(n_rows * REGISTERS, np.uint64(1 << VALUE_BITS), np.uint64)
-    for k in range(int(seeds.max(initial=0))):
-        take = seeds[row] > k
-        if not take.any():
-            break
-        v = mix(hashes[take], 1000 + k)
-        slot = row[take] * REGISTERS + (v >> np.uint64(56)).astype(np.int64)
-        np.minimum.at(low, slot, v & np.uint64((1 << VALUE_BITS) - 1))
+    own = seeds[row]
+    for count in np.unique(own):
+        take = np.flatnonzero(own == count)
+        salt = mix(np.arange(count, dtype=np.uint64), 1000)
+        step = max(1, (1 << 18) // int(count))
+        for at in range(0, len(take), step):
+            part = take[at : at + step]
+            v = mix(hashes[part][:, None] ^ salt)
+            slot = (row[part] * REGISTERS)[:, None] + (v >> np.uint64(56)).astype(np.int64)
+            np.minimum.at(low, slot.ravel(), (v & np.uint64((1 << VALUE_BITS) - 1)).ravel())
     bits = np.frexp(low.astype(np.float64))[1]
     shift = bits - 1 - MANTISSA
     up, down = np.maximum(-shift, 0).astype(np.uint64), np.maximum(shift, 0).astype(np.uint64)
@@ -142,7 +145,7 @@ def _verifier(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in chunks(batch, "text_b"):
-                other, other_off = _bytes(part, "text_a")
+                other, other_off = buffers(part.column(part.schema.get_field_index("text_a")))
                 ha, da = shingle_sets(other, other_off, size)
                 hb, db = shingle_sets(data, off, size)
                 na, nb = np.bincount(da, minlength=part.num_rows), np.bincount(db, minlength=part.num_rows)
@@ -157,12 +160,6 @@ def _verifier(size: int, percent: int):
     return run
 
 
-def _bytes(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    from gradus.llm.text import buffers
-
-    return buffers(part.column(part.schema.get_field_index(name)))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets reach the threshold."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("id is not null and text is not null")
@@ -171,25 +168,97 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a bigint, b bigint")
 
 
-def _blocks(percent: int):
+def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key of a partition that is sorted by its first columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(n_keys)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            now = tuple(keys[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linker(size: int, percent: int):
+    """Links between components within each group of two sides; a link that joins nothing new is not looked for."""
     least = least_estimate(percent)
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        x = x.sort_values("doc_id")
-        left, right = x[x["block"] == i], x[x["block"] == j]
-        a = np.frombuffer(b"".join(left["sketch"]), np.uint16).reshape(len(left), REGISTERS)
-        b = np.frombuffer(b"".join(right["sketch"]), np.uint16).reshape(len(right), REGISTERS)
-        out = []
-        for k in range(len(a)):
-            near = (estimate(a[k][None, :], b) >= least) & (right["component"].to_numpy() != left["component"].iloc[k])
-            ids = right["doc_id"].to_numpy()[near]
-            out += [(min(left["doc_id"].iloc[k], o), max(left["doc_id"].iloc[k], o)) for o in ids]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _grouped(batches, 3):
+            side, ids, component = (group.column(n).to_numpy() for n in ("side", "doc_id", "component"))
+            reg = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            alone = group.column("alone")[0].as_py()
+            left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            pairs: list[tuple[float, int, int]] = []
+            for x in left:
+                near = estimate(reg[x][None, :], reg[right])
+                for y in np.flatnonzero((near >= least) & (component[right] != component[x])):
+                    if not alone or right[y] > x:
+                        pairs.append((-near[y], int(x), int(right[y])))
+            if not pairs:
+                continue
+            used = np.unique([p[1:] for p in pairs])
+            data, off = buffers(group.column("text").take(pa.array(used)))
+            h, d = shingle_sets(data, off, size)
+            ends = np.searchsorted(d, np.arange(len(used) + 1))
+            sets = {int(u): h[ends[k] : ends[k + 1]] for k, u in enumerate(used)}
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for _, x, y in sorted(pairs):
+                a, b = find(int(component[x])), find(int(component[y]))
+                if a == b:
+                    continue
+                n, m = len(sets[x]), len(sets[y])
+                if 100 * min(n, m) < percent * max(n, m):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (n + m - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[x]), int(ids[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _open_groups(families: DataFrame, labels: DataFrame) -> DataFrame:
+    """(family, i, j, side, alone, doc_id, component): which texts of a family are still to be held against each other.
+
+    Only texts of different components are. The largest component of a family is dealt into blocks, each of which
+    meets the blocks of all other texts; the blocks of the others meet each other. Families of one component, and of
+    two texts, are done.
+    """
+    placed = families.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    most = parts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("components"))
+    most = most.filter("components > 1 and all > 2").select(
+        "family", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("main_blocks"),
+        F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("other_blocks"))
+    rows = placed.join(most, "family").withColumn("is_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    meets = lambda c, side, key: F.transform(upto(c), lambda k: F.struct(*key(k), F.lit(side).alias("side"), F.lit(False).alias("alone")))
+    main = meets("other_blocks", 0, lambda k: (F.col("block").alias("i"), k.alias("j")))
+    other = meets("main_blocks", 1, lambda k: (k.alias("i"), F.col("block").alias("j")))
+    among = F.transform(upto("other_blocks"), lambda k: F.struct(
+        (-1 - F.least("block", k)).alias("i"), F.greatest("block", k).alias("j"), (F.col("block") > k).cast("int").alias("side"), (F.col("block") == k).alias("alone")))
+    return rows.withColumn("to", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(other, among)))).select("family", "to.*", "doc_id", "component")
+
+
 def classes(docs: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) of the class representatives that are linked with another.
 
@@ -212,21 +281,18 @@ def classes(docs: DataFrame, sketch: DataFrame, size: int, percent: int) -> Data
         .select("a", "b", "sketch_a", "sketch_b").mapInPandas(_close(percent), "a bigint, b bigint").distinct()
     )
     first = written(verified(close, docs, size, percent), "verified")
-    labels = components(first)
-    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = placed.filter("doc_id <> center")
-    open_groups = rest.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.approx_count_distinct("doc_id").alias("members"))
-    open_groups = open_groups.filter("lo < hi").select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.select("band", "doc_id", "component").distinct().join(open_groups, "band")
-    rest = written(rest, "open")
-    if rest.isEmpty():
+    labels = written(components(first), "components")
+    near = components(members.filter("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")))
+    groups = written(_open_groups(near.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), labels), "open")
+    if groups.isEmpty():
         return labels
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    dealt = rest.join(heads.groupBy("doc_id").agg(F.max(F.struct("own", "seeds", "sketch")).alias("s")).select("doc_id", "s.sketch"), "doc_id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "doc_id", "component", "block", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = dealt.groupBy("band", "i", "j").applyInPandas(_blocks(percent), "a bigint, b bigint").distinct().filter("a < b")
-    return components(first.union(verified(more, docs, size, percent)))
+    ids = groups.select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    tops = heads.groupBy("doc_id").agg(F.max(F.struct("own", "seeds", "sketch")).alias("s")).select("doc_id", "s.sketch")
+    dealt = groups.join(texts, "doc_id").join(tops, "doc_id").select("family", "i", "j", "side", "alone", "doc_id", "component", "sketch", "text")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+    more = dealt.mapInArrow(_linker(size, percent), "a bigint, b bigint")
+    return components(first.union(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = MIN_PERCENT) -> DataFrame:
