@@ -1,17 +1,71 @@
 """A training corpus from raw documents in five stages; each stage's table is written and read again as the next one's input."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES = []
+from gradus.llm import apportion, hyperminhash, robust, unigram, windows
+from gradus.session import written
 
+PIECES = "piece_bpe_32k.model"
+
+#: Verdicts come from robust estimates and hash order over several passes, which SQL cannot say; the tests hold the
+#: pipeline against brute force.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` without the ids in `dropped` (doc_id); a row without id stays."""
+    return docs.join(dropped.select(F.col("doc_id").alias("_dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or lie far out of their language and source."""
+    rejected = robust.quality(docs).filter("not kept").select(F.col("row").alias("_rejected")).distinct()
+    return docs.join(rejected, F.xxhash64("doc_id", "lang", "source", "text") == F.col("_rejected"), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of texts alike at 0.8 on five-word shingles, and a row of each id."""
+    found = written(hyperminhash.near_duplicates(docs, size=5, percent=80), "classes")
+    rest = _without(docs, found.filter("not kept").select("doc_id").distinct())
+    again = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    once = rest.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return _without(rest, again).unionByName(once)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that are near copies of an earlier document's; n_chars follows the text."""
+    cut = windows.remove_passages(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else cut
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes its words, rounded by a hash of its id; documents that the mix leaves go."""
+    mixed = apportion.mix(docs).select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
+    times = F.col("taken") / F.greatest("size", F.lit(1))
+    draw = F.pmod(F.xxhash64("_id", F.lit(apportion.SEED)), F.lit(1 << 20)) / float(1 << 20)
+    mixed = mixed.select("_id", F.floor(times + draw).cast("int").alias("_times")).filter("_times > 0")
+    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every kept text, and whether they decode to it."""
+    return unigram.round_trip(docs, public_tokenizers.path(PIECES))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("piece_ids", piece_ids),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; returns what the last one returns."""
-    from gradus.session import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

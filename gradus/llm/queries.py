@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradus.llm import hyperminhash
+from gradus.llm import apportion, codec, htmldiff, hyperminhash, maglev, robust, sketch, suffix, unigram, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,52 @@ FROM sh LEFT JOIN classes ON classes.s = list_sort(sh.s) LEFT JOIN comp ON comp.
 @query("op6_hyperminhash", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+@query("op2_robust_outliers")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sainte_lague")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apportion.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_scaled_sketch")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lookup_sharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document, and its shard once the first shard is gone, with the size of its text."""
+    names = [f"shard-{i:03d}" for i in range(maglev.SHARDS)]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
+    return maglev.place(docs, "doc_id", names, lost=names[0])
+
+
+@query("op8_compact_windows")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.near_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_unigram_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_range_coder")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = codec.write_token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return codec.documents_of(blocks)
+
+
+@query("op4_suffix_arrays")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op1_page_differencing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmldiff.extract(table(spark, sf_dir, "pages"))
