@@ -26,80 +26,88 @@ from gradus.llm.text import WORD, chunks
 from gradus.plans.ordering import cut_points, value_buckets
 from gradus.session import shuffle_partitions, written
 
-BLOCK_IDS = 4096
-LANES = 2048
+BLOCK_IDS = 2048
+LANES = 4096
 MAGIC = b"GRC1"
 HEAD = struct.Struct("<4sIIIIq")
 ENTRY = np.dtype([("doc_id", "<i8"), ("count", "<u4"), ("null", "u1")])
 
-TOP, BOTTOM, WORD32 = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64((1 << 32) - 1)
+TOP, BOTTOM, WORD32 = 1 << 24, 1 << 16, (1 << 32) - 1
 BITS = 12
 ONE = 1 << BITS
-SLOTS1, SLOTS2 = 2048, 4096
+SLOTS1, SLOTS2 = 1024, 2048
 REFRESH = 32
 CACHE_WORDS = 300_000
 
 
 class _Mixer:
-    """The models of all lanes: predictions, their probabilities, the mixing weights and the order-0 counts."""
+    """The models of all lanes: predictions, their probabilities, the mixing weights and the order-0 counts.
+
+    Tables are flat; `at1`, `at2`, `at16` and `at256` hold where a lane's part starts.
+    """
 
     def __init__(self, lanes: int):
-        self.one, self.two = np.zeros((lanes, SLOTS1), np.int32), np.zeros((lanes, SLOTS2), np.int32)
-        self.sure1, self.sure2 = np.zeros((lanes, SLOTS1), np.int8), np.zeros((lanes, SLOTS2), np.int8)
+        lane = np.arange(lanes)
+        self.at1, self.at2, self.at16, self.at256 = lane * SLOTS1, lane * SLOTS2, lane * 16, lane * 257
+        self.one, self.two = np.zeros(lanes * SLOTS1, np.uint16), np.zeros(lanes * SLOTS2, np.uint16)
+        self.sure1, self.sure2 = np.zeros(lanes * SLOTS1, np.uint8), np.zeros(lanes * SLOTS2, np.uint8)
         start = (1.0 + np.arange(16)) / 18
-        self.right1, self.right2 = np.tile(start, (lanes, 1)), np.tile(start, (lanes, 1))
-        self.left1 = np.tile(start / 2, (lanes, 1))
-        self.weights = np.tile(np.array([0.7, 0.4]), (lanes, 1))
-        self.counts = np.ones((lanes, 256), np.int64)
-        self.sums = np.tile(np.arange(257), (lanes, 1))
+        self.right1, self.right2, self.left1 = np.tile(start, lanes), np.tile(start, lanes), np.tile(start / 2, lanes)
+        self.weight2, self.weight1 = np.full(lanes, 0.7), np.full(lanes, 0.4)
+        self.counts = np.ones((lanes, 256), np.int32)
+        self.sums = np.tile(np.arange(257, dtype=np.int32), (lanes, 1))
+        self.flat_sums, self.flat_counts = self.sums.reshape(-1), self.counts.reshape(-1)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def refresh(self, n: int) -> None:
         """Order-0 sums of the first n lanes; counts are halved before they outgrow the coder."""
-        big = self.counts[:n].sum(axis=1) > 40_000
-        if big.any():
-            self.counts[:n][big] = (self.counts[:n][big] + 1) >> 1
         np.cumsum(self.counts[:n], axis=1, out=self.sums[:n, 1:])
+        big = np.flatnonzero(self.sums[:n, 256] > 40_000)
+        if len(big):
+            self.counts[big] = (self.counts[big] + 1) >> 1
+            self.sums[big, 1:] = np.cumsum(self.counts[big], axis=1)
 
     def predict(self, n: int) -> None:
-        """Predictions of the first n lanes, and the outcomes' bounds on a scale of ONE."""
-        lane = self.lane = np.arange(n)
-        self.slot1 = self.prev1[:n] % SLOTS1
-        self.slot2 = (self.prev1[:n] * 40_503 + self.prev2[:n] * 2_654_435_761 >> 7) % SLOTS2
-        self.guess1, self.guess2 = self.one[lane, self.slot1], self.two[lane, self.slot2]
-        self.c1, self.c2 = self.sure1[lane, self.slot1], self.sure2[lane, self.slot2]
+        """Predictions of the first n lanes and the widths of their outcomes on a scale of ONE."""
+        last = self.prev1[:n]
+        self.slot1 = self.at1[:n] + (last & (SLOTS1 - 1))
+        self.slot2 = self.at2[:n] + ((last * 40_503 + self.prev2[:n] * 2_654_435_761 >> 7) & (SLOTS2 - 1))
+        self.guess1, self.guess2 = self.one.take(self.slot1), self.two.take(self.slot2)
+        self.c1, self.c2 = self.sure1.take(self.slot1), self.sure2.take(self.slot2)
+        self.row1, self.row2 = self.at16[:n] + self.c1, self.at16[:n] + self.c2
         self.same = self.guess1 == self.guess2
-        p2, p1 = self.right2[lane, self.c2], self.right1[lane, self.c1]
-        s2, s1 = 2 * p2 - 1, 2 * p1 - 1
+        self.p2, self.p1 = self.right2.take(self.row2), self.right1.take(self.row1)
+        s2, s1 = 2 * self.p2 - 1, 2 * self.p1 - 1
         self.x2 = s2 / (1.001 - np.abs(s2))
         x1 = s1 / (1.001 - np.abs(s1))
         self.x1 = np.where(self.same, x1, -x1)
-        x = self.weights[:n, 0] * self.x2 + self.weights[:n, 1] * self.x1
+        x = self.weight2[:n] * self.x2 + self.weight1[:n] * self.x1
         self.p = 0.5 + 0.5 * x / (1 + np.abs(x))
-        hit2 = np.clip((self.p * ONE).astype(np.int64), 16, ONE - 64)
-        hit1 = ((ONE - hit2) * self.left1[lane, self.c1]).astype(np.int64)
-        hit1 = np.where(self.same, 0, np.clip(hit1, 1, ONE - hit2 - 8))
-        self.bounds = np.stack([np.zeros(n, np.int64), hit2, hit2 + hit1, np.full(n, ONE)])
+        self.hit2 = np.minimum(np.maximum((self.p * ONE).astype(np.int64), 16), ONE - 64)
+        rest = ONE - self.hit2
+        self.q1 = self.left1.take(self.row1)
+        hit1 = np.minimum(np.maximum((rest * self.q1).astype(np.int64), 1), rest - 8)
+        self.hit1 = np.where(self.same, 0, hit1)
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        lane, n = self.lane, len(ids)
+        n = len(ids)
         hit2, hit1 = ids == self.guess2, ids == self.guess1
-        wrong = hit2 - self.p
-        self.weights[:n, 0] += 0.02 * wrong * np.clip(self.x2, -4, 4)
-        self.weights[:n, 1] += 0.02 * wrong * np.clip(self.x1, -4, 4)
-        np.clip(self.weights[:n], -1, 4, out=self.weights[:n])
-        for table, sure, right, slot, c, hit in (
-            (self.two, self.sure2, self.right2, self.slot2, self.c2, hit2), (self.one, self.sure1, self.right1, self.slot1, self.c1, hit1)):
-            right[lane, c] += (hit - right[lane, c]) * 0.04
-            new = np.where(hit, np.minimum(c + 1, 15), c >> 1)
-            swap = ~hit & (c <= 1)
-            table[lane[swap], slot[swap]] = ids[swap]
-            sure[lane, slot] = np.where(swap, 1, new)
+        wrong = 0.02 * (hit2 - self.p)
+        w = self.weight2[:n]
+        np.minimum(np.maximum(w + wrong * np.minimum(self.x2, 4), -1), 4, out=w)
+        w = self.weight1[:n]
+        np.minimum(np.maximum(w + wrong * np.minimum(np.maximum(self.x1, -4), 4), -1), 4, out=w)
+        self.right2[self.row2] = self.p2 + (hit2 - self.p2) * 0.04
+        self.right1[self.row1] = self.p1 + (hit1 - self.p1) * 0.04
+        for table, sure, slot, c, hit, guess in ((self.two, self.sure2, self.slot2, self.c2, hit2, self.guess2), (self.one, self.sure1, self.slot1, self.c1, hit1, self.guess1)):
+            keep = hit | (c > 1)
+            table[slot] = np.where(keep, guess, ids)
+            sure[slot] = np.where(hit, np.minimum(c + 1, 15), np.maximum(c >> 1, 1))
         past = np.flatnonzero((outcome > 0) & ~self.same)
-        c = self.c1[past]
-        self.left1[past, c] += ((outcome[past] == 1) - self.left1[past, c]) * 0.04
+        q = self.q1.take(past)
+        self.left1[self.row1.take(past)] = q + (hit1.take(past) - q) * 0.04
         rare = np.flatnonzero(outcome == 2)
-        self.counts[rare, ids[rare] >> 8] += 24
+        self.flat_counts[rare * 256 + (ids.take(rare) >> 8)] += 24
         self.prev2[:n], self.prev1[:n] = self.prev1[:n], ids
 
 
@@ -120,26 +128,29 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((steps, lanes), np.int64)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, WORD32, np.uint64)
-    data, pos = np.zeros((lanes, 5 * steps + 8), np.uint8), np.zeros(lanes, np.int64)
-
-    def put(row: np.ndarray, first: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = span[row] // total.astype(np.uint64)
-        l, r = low[row] + part * first.astype(np.uint64), part * size.astype(np.uint64)
-        live = np.arange(len(row))
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, WORD32, np.int64)
+    width = 5 * steps + 8
+    data, pos = np.zeros(lanes * width, np.uint8), np.arange(lanes) * width
+
+    def settle(row: np.ndarray | slice, l: np.ndarray, r: np.ndarray) -> None:
+        """Writes the bytes that the intervals [l, l + r) have settled and widens them."""
+        who, live = None, None
+        ll, rr = l, r
         while True:
-            ll, rr = l[live], r[live]
-            settled = (ll ^ (ll + rr)) < TOP
-            small = ~settled & (rr < BOTTOM)
-            go = settled | small
-            if not go.any():
+            small = rr < BOTTOM
+            go = np.flatnonzero(((ll ^ (ll + rr)) < TOP) | small)
+            if not len(go):
                 break
-            live, ll, rr = live[go], ll[go], rr[go]
-            rr = np.where(small[go], (-ll) & (BOTTOM - np.uint64(1)), rr)
-            who = row[live]
-            data[who, pos[who]] = (ll >> np.uint64(24)).astype(np.uint8)
-            pos[who] += 1
-            l[live], r[live] = (ll << np.uint64(8)) & WORD32, (rr << np.uint64(8)) & WORD32
+            live = go if live is None else live.take(go)
+            who = live if isinstance(row, slice) else row.take(live)
+            ll, rr, small = ll.take(go), rr.take(go), small.take(go)
+            tight = small & ((ll ^ (ll + rr)) >= TOP)
+            rr = np.where(tight, -ll & (BOTTOM - 1), rr)
+            at = pos.take(who)
+            data[at] = ll >> 24
+            pos[who] = at + 1
+            ll, rr = (ll << 8) & WORD32, (rr << 8) & WORD32
+            l[live], r[live] = ll, rr
         low[row], span[row] = l, r
 
     m = _Mixer(lanes)
@@ -151,20 +162,26 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         now = ids[t, :n]
         m.predict(n)
         outcome = np.where(now == m.guess2, 0, np.where(now == m.guess1, 1, 2))
-        first = m.bounds[outcome, m.lane]
-        put(m.lane, first, m.bounds[outcome + 1, m.lane] - first, np.full(n, ONE))
-        rare = np.flatnonzero(outcome == 2)
+        past, rare_one = outcome > 0, outcome == 2
+        first = np.where(past, m.hit2, 0) + np.where(rare_one, m.hit1, 0)
+        size = np.where(past, np.where(rare_one, ONE - m.hit2 - m.hit1, m.hit1), m.hit2)
+        part = span[:n] >> BITS
+        settle(slice(0, n), low[:n] + part * first, part * size)
+        rare = np.flatnonzero(rare_one)
         if len(rare):
-            high = now[rare] >> 8
-            first = m.sums[rare, high]
-            put(rare, first, m.sums[rare, high + 1] - first, m.sums[rare, 256])
-            put(rare, now[rare] & 255, np.ones(len(rare), np.int64), np.full(len(rare), 256))
+            id_ = now.take(rare)
+            at = rare * 257 + (id_ >> 8)
+            first = m.flat_sums.take(at).astype(np.int64)
+            part = span.take(rare) // m.flat_sums.take(rare * 257 + 256)
+            settle(rare, low.take(rare) + part * first, part * (m.flat_sums.take(at + 1) - first))
+            part = span.take(rare) >> 8
+            settle(rare, low.take(rare) + part * (id_ & 255), part)
         m.learn(now, outcome)
     for _ in range(4):
-        data[np.arange(lanes), pos] = (low >> np.uint64(24)).astype(np.uint8)
+        data[pos] = low >> 24
         pos += 1
-        low = (low << np.uint64(8)) & WORD32
-    return [data[k, : pos[k]].tobytes() for k in range(lanes)]
+        low = (low << 8) & WORD32
+    return [data[k * width : pos[k]].tobytes() for k in range(lanes)]
 
 
 def decode_blocks(blocks: list[bytes], lengths: list[int]) -> list[np.ndarray]:
@@ -183,33 +200,32 @@ def _decode(blocks: list[bytes], length: np.ndarray) -> list[np.ndarray]:
     data = np.zeros((lanes, max(map(len, blocks), default=0) + 8), np.uint8)
     for k, b in enumerate(blocks):
         data[k, : len(b)] = np.frombuffer(b, np.uint8)
-    low, span, pos = np.zeros(lanes, np.uint64), np.full(lanes, WORD32, np.uint64), np.full(lanes, 4)
-    code = np.zeros(lanes, np.uint64)
+    width = data.shape[1]
+    low, span, pos = np.zeros(lanes, np.int64), np.full(lanes, WORD32, np.int64), np.arange(lanes) * width + 4
+    code = np.zeros(lanes, np.int64)
     for j in range(4):
-        code = code << np.uint64(8) | data[:, j].astype(np.uint64)
-    last = data.shape[1] - 1
-
-    def seek(row: np.ndarray, total: np.ndarray) -> np.ndarray:
-        part = span[row] // total.astype(np.uint64)
-        return np.minimum(((code[row] - low[row]) & WORD32) // part, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
+        code = code << 8 | data[:, j]
+    data = np.append(data.reshape(-1), np.zeros(64, np.uint8))
 
-    def take(row: np.ndarray, first: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = span[row] // total.astype(np.uint64)
-        l, r = low[row] + part * first.astype(np.uint64), part * size.astype(np.uint64)
-        live = np.arange(len(row))
+    def settle(row: np.ndarray | slice, l: np.ndarray, r: np.ndarray) -> None:
+        """Reads as many bytes as the coder wrote at this point."""
+        live = None
+        ll, rr = l, r
         while True:
-            ll, rr = l[live], r[live]
-            settled = (ll ^ (ll + rr)) < TOP
-            small = ~settled & (rr < BOTTOM)
-            go = settled | small
-            if not go.any():
+            small = rr < BOTTOM
+            go = np.flatnonzero(((ll ^ (ll + rr)) < TOP) | small)
+            if not len(go):
                 break
-            live, ll, rr = live[go], ll[go], rr[go]
-            rr = np.where(small[go], (-ll) & (BOTTOM - np.uint64(1)), rr)
-            who = row[live]
-            code[who] = (code[who] << np.uint64(8)) & WORD32 | data[who, np.minimum(pos[who], last)].astype(np.uint64)
-            pos[who] += 1
-            l[live], r[live] = (ll << np.uint64(8)) & WORD32, (rr << np.uint64(8)) & WORD32
+            live = go if live is None else live.take(go)
+            who = live if isinstance(row, slice) else row.take(live)
+            ll, rr, small = ll.take(go), rr.take(go), small.take(go)
+            tight = small & ((ll ^ (ll + rr)) >= TOP)
+            rr = np.where(tight, -ll & (BOTTOM - 1), rr)
+            at = pos.take(who)
+            code[who] = (code.take(who) << 8) & WORD32 | data.take(at)
+            pos[who] = at + 1
+            ll, rr = (ll << 8) & WORD32, (rr << 8) & WORD32
+            l[live], r[live] = ll, rr
         low[row], span[row] = l, r
 
     ids = np.zeros((steps, lanes), np.int64)
@@ -220,24 +236,30 @@ def _decode(blocks: list[bytes], length: np.ndarray) -> list[np.ndarray]:
         if t % REFRESH == 0:
             m.refresh(n)
         m.predict(n)
-        at = seek(m.lane, np.full(n, ONE))
-        outcome = np.where(at < m.bounds[1], 0, np.where(at < m.bounds[2], 1, 2))
-        first = m.bounds[outcome, m.lane]
-        take(m.lane, first, m.bounds[outcome + 1, m.lane] - first, np.full(n, ONE))
-        now = np.where(outcome == 0, m.guess2, m.guess1).astype(np.int64)
-        rare = np.flatnonzero(outcome == 2)
+        part = span[:n] >> BITS
+        at = np.minimum(((code[:n] - low[:n]) & WORD32) // part, ONE - 1)
+        past = at >= m.hit2
+        rare_one = at >= m.hit2 + m.hit1
+        outcome = past.astype(np.int64) + rare_one
+        first = np.where(past, m.hit2, 0) + np.where(rare_one, m.hit1, 0)
+        size = np.where(past, np.where(rare_one, ONE - m.hit2 - m.hit1, m.hit1), m.hit2)
+        settle(slice(0, n), low[:n] + part * first, part * size)
+        now = np.where(past, m.guess1, m.guess2).astype(np.int64)
+        rare = np.flatnonzero(rare_one)
         if len(rare):
-            total = m.sums[rare, 256]
-            at = seek(rare, total)
-            high = np.zeros(len(rare), np.int64)
+            row = rare * 257
+            total = m.flat_sums.take(row + 256)
+            part = span.take(rare) // total
+            at = np.minimum(((code.take(rare) - low.take(rare)) & WORD32) // part, total - 1)
+            high = row
             for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                high += step * (m.sums[rare, high + step] <= at)
-            first = m.sums[rare, high]
-            take(rare, first, m.sums[rare, high + 1] - first, total)
-            full = np.full(len(rare), 256)
-            plain = seek(rare, full)
-            take(rare, plain, np.ones(len(rare), np.int64), full)
-            now[rare] = high << 8 | plain
+                high = high + step * (m.flat_sums.take(high + step) <= at)
+            first = m.flat_sums.take(high).astype(np.int64)
+            settle(rare, low.take(rare) + part * first, part * (m.flat_sums.take(high + 1) - first))
+            part = span.take(rare) >> 8
+            plain = np.minimum(((code.take(rare) - low.take(rare)) & WORD32) // part, 255)
+            settle(rare, low.take(rare) + part * plain, part)
+            now[rare] = (high - row) << 8 | plain
         ids[t, :n] = now
         m.learn(now, outcome)
     return [ids[: length[k], k] for k in range(lanes)]

@@ -164,7 +164,7 @@ def _spans(tid: np.ndarray, start: np.ndarray, length: int = LENGTH) -> pd.DataF
     new = np.ones(len(tid), bool)
     new[1:] = (tid[1:] != tid[:-1]) | (start[1:] > start[:-1] + length)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(tid)) - 1
+    last = np.append(first[1:], len(tid))[: len(first)] - 1
     return pd.DataFrame({"tid": tid[first], "lo": start[first].astype(np.int32), "hi": (start[last] + length).astype(np.int32)})
 
 
