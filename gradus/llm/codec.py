@@ -27,7 +27,7 @@ from gradus.plans.ordering import cut_points, value_buckets
 from gradus.session import shuffle_partitions, written
 
 BLOCK_IDS = 2048
-LANES = 4096
+LANES = 3072
 MAGIC = b"GRC1"
 HEAD = struct.Struct("<4sIIIIq")
 ENTRY = np.dtype([("doc_id", "<i8"), ("count", "<u4"), ("null", "u1")])
@@ -37,7 +37,7 @@ BITS = 12
 ONE = 1 << BITS
 SLOTS1, SLOTS2 = 1024, 2048
 REFRESH = 32
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class _Mixer:
@@ -112,7 +112,7 @@ class _Mixer:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded ids of each block."""
+    """The coded ids of each block; an id has 16 bits."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for at in range(0, len(order), LANES):
@@ -125,7 +125,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, length = len(blocks), np.array([len(b) for b in blocks])
     steps = int(length.max(initial=0))
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.uint16)
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     low, span = np.zeros(lanes, np.int64), np.full(lanes, WORD32, np.int64)
@@ -159,7 +159,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         n = int(active[t])
         if t % REFRESH == 0:
             m.refresh(n)
-        now = ids[t, :n]
+        now = ids[t, :n].astype(np.int64)
         m.predict(n)
         outcome = np.where(now == m.guess2, 0, np.where(now == m.guess1, 1, 2))
         past, rare_one = outcome > 0, outcome == 2
@@ -228,7 +228,7 @@ def _decode(blocks: list[bytes], length: np.ndarray) -> list[np.ndarray]:
             l[live], r[live] = ll, rr
         low[row], span[row] = l, r
 
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.uint16)
     m = _Mixer(lanes)
     active = np.searchsorted(-length, -np.arange(steps), "left")
     for t in range(steps):
@@ -262,7 +262,7 @@ def _decode(blocks: list[bytes], length: np.ndarray) -> list[np.ndarray]:
             now[rare] = (high - row) << 8 | plain
         ids[t, :n] = now
         m.learn(now, outcome)
-    return [ids[: length[k], k] for k in range(lanes)]
+    return [ids[: length[k], k].astype(np.int64) for k in range(lanes)]
 
 
 def pack(ids: np.ndarray, coded: bytes, entries: np.ndarray, first: int) -> bytes:
@@ -363,7 +363,7 @@ def _writer(spec, end_id: int):
                         close()
                         place, held = r, 0
                     n = number[r] = number.get(r, -1) + 1
-                    mine = ids[off[i] : off[i + 1]]
+                    mine = ids[off[i] : off[i + 1]].astype(np.uint16)
                     while len(mine):
                         piece, mine = mine[: BLOCK_IDS - held], mine[BLOCK_IDS - held :]
                         left_ids.append(piece)
