@@ -96,37 +96,45 @@ def _(t):
 
 
 @query("l02_knn", f"""WITH d AS (SELECT a.vec_id, a.label AS y, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(k.distance, 12), b.vec_id) AS rn
- FROM ({KNN_ALL}) AS k JOIN v_knn AS a ON a.vec_id = k.vec_id JOIN v_knn AS b ON b.vec_id = k.neighbor WHERE a.fold = 0 AND b.fold > 1),
+ FROM ({KNN_ALL}) AS k JOIN v_knn AS a ON a.vec_id = k.vec_id JOIN v_knn AS b ON b.vec_id = k.neighbor WHERE b.fold <> a.fold AND b.fold <> (a.fold + 1) % 10),
  n AS (SELECT vec_id, y, label, count(*) AS n FROM d WHERE rn <= 9 GROUP BY 1, 2, 3),
  p AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) AS rn FROM n)
- SELECT count(*) AS n_test, avg(CAST(y = label AS DOUBLE)) AS accuracy FROM p WHERE rn = 1""", r="accuracy")
+ SELECT CAST(f.fold AS INT) AS fold, count(*) AS n_test, avg(CAST(y = p.label AS DOUBLE)) AS accuracy FROM p JOIN v_knn AS f ON f.vec_id = p.vec_id WHERE rn = 1 GROUP BY f.fold""", r="accuracy")
 def _(t):
-    test = t.knn.filter("fold = 0")
-    out = N.knn_vote(N.knn_join(t.knn.filter("fold > 1"), test, 9)).join(test.select("vec_id", F.col("label").alias("y")), "vec_id")
-    return out.agg(F.count("*").alias("n_test"), M.accuracy("y", "prediction").alias("accuracy"))
+    votes = None
+    for fold in range(10):
+        train = t.knn.filter(~F.col("fold").isin(fold, (fold + 1) % 10))
+        one = N.knn_vote(N.knn_join(train, t.knn.filter(F.col("fold") == fold), 9))
+        votes = one if votes is None else votes.unionByName(one)
+    out = votes.join(t.knn.select("vec_id", "fold", F.col("label").alias("y")), "vec_id")
+    return out.groupBy(F.col("fold").cast("int").alias("fold")).agg(F.count("*").alias("n_test"), M.accuracy("y", "prediction").alias("accuracy"))
 
 
 @query("k20_one_nn")
 def _(t):
-    """Nearest-neighbour landmark of fold 0 on all columns and on the three of largest gain."""
+    """Nearest-neighbour landmark of every fold on all columns and on the three of largest gain."""
     from gradus.operators import metafeatures as K
 
     cols = ["x0", "x1", "x2", "x4"]
     x = K.Input(t.folds.select("row_id", "test_fold", "y_multi", *cols), cols, [], "y_multi")
-    top = [r["feature"] for r in K.stumps(x).filter("fold = 0").orderBy(F.desc("gain"), "feature").limit(3).collect()]
-    rows = P.impute_mean(x.df, cols, x.moments).filter("fold = 0")
-    frames = []
-    for name, use in (("one_nn", cols), ("elite_nn", top)):
-        d = rows.withColumn("_vec", F.array(*[F.col(c) for c in use]))
-        train, test = d.filter("part = 'train'"), d.filter("part = 'test'")
-        near = N.knn_vote(N.knn_join(train, test, 1, "_vec", "row_id", "y_multi"), "row_id", "y_multi")
-        scored = near.join(test.select("row_id", F.col("y_multi").alias("y")), "row_id")
-        frames.append(M.balanced_accuracy(scored.withColumn("feature", F.lit(name)), ["feature"], "y", "prediction"))
-    return frames[0].unionByName(frames[1])
+    gains = K.stumps(x).select("fold", "feature", "gain").collect()  # folds x columns rows
+    imputed = written(P.impute_mean(x.df, cols, x.moments), "imputed")
+    out = None
+    for fold in range(10):
+        mine = sorted((g for g in gains if g["fold"] == fold), key=lambda g: (-g["gain"], g["feature"]))
+        rows = imputed.filter(F.col("fold") == fold)
+        for name, use in (("one_nn", cols), ("elite_nn", [g["feature"] for g in mine[:3]])):
+            d = rows.withColumn("_vec", F.array(*[F.col(c) for c in use]))
+            train, test = d.filter("part = 'train'"), d.filter("part = 'test'")
+            near = N.knn_vote(N.knn_join(train, test, 1, "_vec", "row_id", "y_multi"), "row_id", "y_multi")
+            scored = near.join(test.select("row_id", F.col("y_multi").alias("y")), "row_id")
+            one = M.balanced_accuracy(scored.withColumns({"feature": F.lit(name), "fold": F.lit(fold)}), ["fold", "feature"], "y", "prediction")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- L -----------------------------------------------------------------------------
-FOLDS = (0, 1)
+FOLDS = tuple(range(10))
 _DATA: dict = {}
 
 
@@ -225,13 +233,13 @@ def _(t):
     return out.withColumn("value", F.round(value, 6) + F.lit(0.0))
 
 
-@query("l14_failed_trials")
+@query("l14_failed_trials", "SELECT a.alg_name, CAST(a.trial_number AS INT) AS trial_number, CAST(f.fold AS INT) AS fold, a.alg_name = 'DecisionTree' AS ok FROM (VALUES ('DecisionTree', 0), ('SVM', 1)) AS a(alg_name, trial_number) CROSS JOIN (SELECT DISTINCT test_fold AS fold FROM v_folds) AS f")
 def _(t):
     """A trial that fails becomes an error row; the other trial goes on."""
     rows = data(t, "y_reg")
     report = []
     for trial, name in enumerate(("DecisionTree", "SVM")):
-        report += L.cross_validate(name, {}, rows, "regression", (0,), trial)[1]
+        report += L.cross_validate(name, {}, rows, "regression", FOLDS, trial)[1]
     out = L.report_frame(t.spark, report)
     return out.select("alg_name", "trial_number", "fold", (F.col("exception") == "None").alias("ok"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 import time
 import traceback
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -46,15 +47,17 @@ def make_linear(params: dict, objective: str):
     if objective == "regression":
         return R.LinearRegression(featuresCol="features", labelCol="label")
     family = "binomial" if objective == "binary" else "multinomial"
-    return C.LogisticRegression(featuresCol="features", labelCol="label", family=family)
+    # an L2 penalty with weight 1 against the summed loss; the learner's loss is a mean
+    return C.LogisticRegression(
+        featuresCol="features", labelCol="label", family=family, regParam=1.0 / max(1, params.get("n_rows", 1)), standardization=False)
 
 
 @register("SVM")
 def make_svm(params: dict, objective: str):
     if objective == "regression":
         raise NotImplementedError("SVM has no distributed regression learner")
-    # C weighs the loss; the learner takes a weight on the penalty
-    svc = C.LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (params.get("C", 1.0) * params.get("n_rows", 1000)))
+    # C weighs the summed loss; the learner takes a weight on the penalty against the mean loss
+    svc = C.LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (params.get("C", 1.0) * max(1, params.get("n_rows", 1))))
     return svc if objective == "binary" else OneVsRest(classifier=svc, featuresCol="features", labelCol="label")
 
 
@@ -71,10 +74,14 @@ def make_forest(params: dict, objective: str):
                numTrees=int(params.get("n_estimators", 50)), seed=0)
 
 
+BOOSTING_ROUNDS = 500  # fixed value: the most rounds of a fit that the validation part does not stop
+
+
 def _boosting(depth_key: str, step_key: str):
+    """Gradient-boosted trees; a step size that the learner cannot take fails the trial."""
     def make(params: dict, objective: str):
         common = dict(featuresCol="features", labelCol="label", maxDepth=int(params.get(depth_key, 5)),
-                      stepSize=float(min(1.0, params.get(step_key, 0.08))), maxIter=int(params.get("n_iter", 20)), seed=0,
+                      stepSize=float(params.get(step_key, 0.08)), maxIter=int(params.get("n_iter", BOOSTING_ROUNDS)), seed=0,
                       validationIndicatorCol="is_val")
         if objective == "regression":
             return R.GBTRegressor(**common)
@@ -87,7 +94,7 @@ def _boosting(depth_key: str, step_key: str):
     return make
 
 
-for _n, _d, _s in (("XGBoost", "max_depth", "eta"), ("CatBoost", "depth", "learning_rate"), ("LightGBM", "max_depth", "learning_rate")):
+for _n, _d, _s in (("XGBoost", "max_depth", "eta"), ("CatBoost", "max_depth", "learning_rate"), ("LightGBM", "max_depth", "learning_rate")):
     register(_n)(_boosting(_d, _s))
 
 
@@ -131,33 +138,44 @@ def _predictions(scored: DataFrame, name: str, trial: int, fold: int) -> DataFra
         F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"), proba.alias("proba"))
 
 
+FITS_AT_ONCE = 4
+
+
 def cross_validate(
     name: str, params: dict, data: DataFrame, objective: str, folds: Sequence[int], trial: int = 0,
 ) -> tuple[DataFrame | None, list[dict]]:
     """Fit on the training part of each fold, predict all parts.
 
     `data` is assemble()'s table, best read from a written table as every fit
-    scans it. Returns the predictions of all folds as one lazy frame, to be
-    scored in one job, and a report per fold: training seconds, or the
-    exception text of a trial that failed while others went on.
+    scans it. Folds are independent jobs and FITS_AT_ONCE of them run together.
+    Each fold's predictions are written as soon as they are made, so a trial
+    that fails in fitting or in scoring becomes a report with its exception
+    while others go on. Returns the predictions of all folds and a report per
+    fold.
     """
-    frames, report = [], []
-    for fold in folds:
+    sizes = {r["fold"]: r["count"] for r in data.filter("part = 'train'").groupBy("fold").count().collect()}
+
+    def one(fold: int) -> tuple[DataFrame | None, dict]:
         start = time.time()
         rows = data.filter(F.col("fold") == fold)
         try:
-            est = get_model(name)(params, objective)
+            est = get_model(name)({"n_rows": sizes.get(fold, 0), **params}, objective)
             uses_val = est.hasParam("validationIndicatorCol") and est.isSet("validationIndicatorCol")
             fit_on = rows.filter("part <> 'test'" if uses_val else "part = 'train'")
             model = est.fit(fit_on)
-            frames.append(_predictions(model.transform(rows), name, trial, fold))
-            report.append({"alg_name": name, "trial_number": trial, "fold": fold, "seconds": time.time() - start, "exception": "None"})
+            seconds = time.time() - start
+            scored = written(_predictions(model.transform(rows), name, trial, fold), f"predictions-{fold}")
+            return scored, {"alg_name": name, "trial_number": trial, "fold": fold, "seconds": seconds, "exception": "None"}
         except Exception:
-            report.append({"alg_name": name, "trial_number": trial, "fold": fold, "seconds": None, "exception": traceback.format_exc(limit=3)})
+            return None, {"alg_name": name, "trial_number": trial, "fold": fold, "seconds": None, "exception": traceback.format_exc(limit=3)}
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        done = list(pool.map(one, folds))
     out = None
-    for f in frames:
-        out = f if out is None else out.unionByName(f)
-    return out, report
+    for f, _ in done:
+        if f is not None:
+            out = f if out is None else out.unionByName(f)
+    return out, [report for _, report in done]
 
 
 def report_frame(spark: SparkSession, report: list[dict]) -> DataFrame:
@@ -183,7 +201,7 @@ SPACE = [
     ("RandomForest", "n_estimators", "rounded", 5.0, "1,2.8613531161467867", 1.0, 50.0),
     ("XGBoost", "max_depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0), ("XGBoost", "alpha", "scaled", 10.0, "-8,0", 1.0, 1e-4),
     ("XGBoost", "lambda", "scaled", 10.0, "-8,0", 1.0, 1e-4), ("XGBoost", "eta", "scaled", 10.0, "-2,-1", 3.0, 0.08),
-    ("CatBoost", "learning_rate", "scaled", 10.0, "-2,-1", 3.0, 0.08), ("CatBoost", "depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0),
+    ("CatBoost", "learning_rate", "scaled", 10.0, "-2,-1", 3.0, 0.08), ("CatBoost", "max_depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0),
     ("CatBoost", "l2_leaf_reg", "scaled", 60.0, "0,1", 0.5, 5.0),
     ("LightGBM", "num_leaves", "rounded", 2.0, "1,12", 1.0, 512.0), ("LightGBM", "lambda_l1", "scaled", 10.0, "-8,1", 1.0, 1e-3),
     ("LightGBM", "lambda_l2", "scaled", 10.0, "-8,1", 1.0, 1e-3), ("LightGBM", "learning_rate", "scaled", 10.0, "-2,1", 3.0, 0.08),

@@ -21,13 +21,6 @@ from gradus.plans.ordering import (
 )
 from gradus.session import written
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose row count was checked to be small, else leave it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
 
 # --- splits --------------------------------------------------------------------
 def kfold(df: DataFrame, row_id: str, n: int = N_FOLDS, seed: int = 0) -> DataFrame:
@@ -220,7 +213,7 @@ def encode_target(df: DataFrame, y: str, num_classes: int | None = None) -> Data
     if num_classes is not None and n != num_classes:
         raise ValueError(f"target {y} has {n} classes, expected {num_classes}")
     key = codes.withColumnsRenamed({y: "_label", "code": "_code"})
-    joined = df.join(small(key, n), F.col(y).cast("string") == F.col("_label"), "left")
+    joined = df.join(key, F.col(y).cast("string") == F.col("_label"), "left")
     return joined.withColumn(y, F.col("_code")).drop("_label", "_code")
 
 
@@ -236,12 +229,12 @@ def encode_categoricals(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame,
     done = [c for c in cols if types[c] != "string"]
     if done:
         raise ValueError(f"columns are not strings, encoded already? {done}")
-    codes = category_codes(df, cols).persist()
+    codes = written(category_codes(df, cols), "codes")
     dims = {r["feature"]: r["n"] for r in codes.groupBy("feature").agg(F.count("*").alias("n")).collect()}
     out = df
     for c in cols:
         one = codes.filter(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        out = out.join(small(one, dims.get(c, 0)), F.col(c).eqNullSafe(F.col("_value")), "left")
+        out = out.join(one, F.col(c).eqNullSafe(F.col("_value")), "left")
         out = out.withColumn(c, F.col("_code")).drop("_value", "_code")
     return out, {c: dims.get(c, 0) for c in cols}
 
@@ -513,13 +506,15 @@ def quantile_scale(
     """Map each numeric column to its training rank, per fold.
 
     `df` has row_id and test_fold. With `noise`, the references are fitted on
-    values jittered by that share of a standard normal draw. The references,
+    values jittered by a normal draw of deviation noise / max(sd, noise), sd being the column's over all rows. The references,
     folds x columns x n_quantiles numbers, travel in the function's closure.
     """
     fit = df
     if noise:
-        spread = {c: F.col(c) + F.lit(noise) * hash_normal("row_id", f"{seed}-{c}") for c in cols}
-        fit = df.withColumns(spread)
+        # a column's draw has the deviation noise / max(sd, noise)
+        sds = df.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+        share = {c: noise / max(sds[c] or 0.0, noise) for c in cols}
+        fit = df.withColumns({c: F.col(c) + F.lit(share[c]) * hash_normal("row_id", f"{seed}-{c}") for c in cols})
     rows = df if "fold" in df.columns else assign_parts(df)
     counts = written(fold_value_counts(fit, cols), "value-counts")
     return apply_quantiles(rows, cols, quantile_references(counts, n_quantiles), output)

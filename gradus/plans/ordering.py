@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gradus.session import shuffle_partitions
 
 BUCKET = "_bucket"
-MAX_CUTS = 4000
 
 
 def hash_order(row_id: Column | str, seed: int | str = 0) -> Column:
@@ -35,7 +34,7 @@ def hash_uniform(row_id: Column | str, seed: int | str = 0) -> Column:
 def _hex_digits(df: DataFrame) -> int:
     """Digits so that 16**digits is about eight buckets per shuffle partition."""
     digits, want = 2, 8 * shuffle_partitions(df.sparkSession)
-    while 16**digits < want and digits < 6:
+    while 16**digits < want and digits < 12:
         digits += 1
     return digits
 
@@ -86,7 +85,7 @@ def hash_row_index(
 
 
 def _sketch(df: DataFrame, col: str, n: int | None) -> list[float]:
-    n = n or min(MAX_CUTS, max(16, 4 * shuffle_partitions(df.sparkSession)))
+    n = n or max(16, 4 * shuffle_partitions(df.sparkSession))
     probs = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, max(10000, 4 * n)).alias("c")).first()["c"]
     return [c for c in (cuts or []) if c == c and abs(c) != float("inf")]
@@ -218,45 +217,43 @@ def melt(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str = "fe
     return df.unpivot(list(ids), [F.col(c).cast("double").alias(c) for c in cols], name, value)
 
 
-def text_buckets(df: DataFrame, col: str, out: str = BUCKET) -> DataFrame:
-    """Ordered buckets of a string column.
+def text_buckets(values: DataFrame, col: str, out: str = BUCKET) -> DataFrame:
+    """Ordered buckets of a string column without nulls.
 
-    The six bytes after the prefix all values share are read as a number that
-    never decreases along byte order, and that number is bucketed.
+    The cut points are a uniform sample of the distinct strings, those with the smallest hashes, so the buckets are
+    even whatever the strings share. A bucket is the number of cut points not above the string, found by halving.
     """
-    ends = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo, hi = ((ends[k] or "").encode() for k in ("lo", "hi"))
-    skip = 0
-    while skip < min(len(lo), len(hi)) and lo[skip] == hi[skip]:
-        skip += 1
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), skip + 1, 6)), 12, "0")
-    tagged = df.withColumn("_tb", F.conv(head, 16, 10).cast("double"))
-    return value_buckets(tagged, "_tb", out=out).drop("_tb")
-
-
-SMALL_ROWS = 100_000
+    n = max(16, 4 * shuffle_partitions(values.sparkSession))
+    drawn = values.select(F.col(col).alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(n).collect()
+    cuts = sorted((r["v"] for r in drawn), key=lambda v: v.encode())
+    if not cuts:
+        return values.withColumn(out, F.lit(0))
+    tagged, points = values, F.lit(cuts)
+    lo, step = F.lit(0), 1 << (len(cuts).bit_length() - 1)
+    names = []
+    while step:
+        at = lo + step
+        name = f"_at_{step}"
+        tagged = tagged.withColumn(name, F.when((at <= len(cuts)) & (F.get(points, at - 1) <= F.col(col)), at).otherwise(lo))
+        names.append(name)
+        lo, step = F.col(name), step >> 1
+    return tagged.withColumn(out, lo).drop(*names)
 
 
 def sorted_codes(values: DataFrame, keys: Sequence[str], col: str, out: str = "code") -> DataFrame:
     """Zero-based code of each distinct string in byte order, per key; nulls last.
 
-    The distinct values are counted first (stopping at the limit): few are
-    numbered by one window per key, many through ordered buckets.
+    The distinct values are numbered in ordered buckets, so a domain of any size is spread over the tasks.
     """
     pairs = values.select(*keys, col).distinct()
-    if pairs.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(col).asc_nulls_last())
-        return pairs.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
     known = pairs.filter(F.col(col).isNotNull())
     coded = prefix_sums(text_buckets(known, col), keys, [col], {out: F.lit(1)}, inclusive=False).drop(BUCKET)
     coded = coded.withColumn(out, F.col(out).cast("int"))
     missing = pairs.filter(F.col(col).isNull())
-    if keys:
-        sizes = known.groupBy(*keys).agg(F.count("*").cast("int").alias(out))
-        last = missing.join(sizes, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0)))
-    else:
-        last = missing.withColumn(out, F.lit(known.count()).cast("int"))
-    return coded.unionByName(last)
+    if not keys:
+        return coded.unionByName(missing.withColumn(out, F.lit(known.count()).cast("int")))
+    sizes = known.groupBy(*keys).agg(F.count("*").cast("int").alias(out))
+    return coded.unionByName(missing.join(sizes, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0))))
 
 
 def quantile_grid(

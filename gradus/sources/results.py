@@ -81,18 +81,18 @@ def read_results(spark: SparkSession, path: str, pattern: str = "*_results.json*
     return parse_documents(read_documents(spark, path, pattern, multi_line))
 
 
-def nest_results(results: DataFrame, exception: Column | None = None, n_folds: int = 10) -> DataFrame:
+def nest_results(results: DataFrame, exception: Column | None = None) -> DataFrame:
     """Flat rows back to one document per trial, arrays indexed by fold.
 
-    A trial has at most `n_folds` rows. A fold without a row is null in every
-    array.
+    The arrays reach to the trial's last fold. A fold without a row is null in
+    every array.
     """
     value_cols = [c for c in results.columns if "__" in c]
     keys = ["dataset_name", "target_type", "alg_name", "hparam_source", "trial_number"]
-    per = results.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*value_cols)))).alias("m"))
+    per = results.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*value_cols)))).alias("m"), F.max("fold").alias("_last"))
 
     def series(c: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: F.try_element_at(F.col("m"), f.cast("bigint"))[c])
+        return F.transform(F.sequence(F.lit(0), F.col("_last").cast("int")), lambda f: F.try_element_at(F.col("m"), f.cast("bigint"))[c])
 
     timers, scorers = [], {}
     for c in value_cols:

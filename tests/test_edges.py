@@ -162,12 +162,30 @@ def test_fewer_rows_than_folds(spark):
     assert sorted(r.test_fold for r in P.stratified_kfold(df, "row_id", "y").collect()) == [0, 1, 2, 3]
 
 
-def test_sorted_codes_beyond_the_small_limit(spark, monkeypatch):
+def test_sorted_codes(spark):
     values = [f"common_{i * 7919 % 1000:03d}" for i in range(1000)] + [None]
-    df = spark.createDataFrame([("f", v) for v in values], "feature string, value string")
-    monkeypatch.setattr(O, "SMALL_ROWS", 10)
-    got = {r.value: r.code for r in O.sorted_codes(df, ["feature"], "value").collect()}
-    assert [k for k, _ in sorted(got.items(), key=lambda kv: kv[1])] == sorted(v for v in values if v) + [None]
+    df = spark.createDataFrame([(k, v) for k in ("f", "g") for v in values], "feature string, value string")
+    for k in ("f", "g"):
+        got = {r.value: r.code for r in O.sorted_codes(df, ["feature"], "value").filter(f"feature = '{k}'").collect()}
+        assert [v for v, _ in sorted(got.items(), key=lambda kv: kv[1])] == sorted(v for v in values if v) + [None]
+
+
+def test_text_buckets_spread_strings_with_one_outlier(spark):
+    urls = [f"https://example.com/some/long/common/path/{i:05d}" for i in range(20_000)] + ["a"]
+    df = O.text_buckets(spark.createDataFrame([(u,) for u in urls], "u string"), "u")
+    sizes = [r["count"] for r in df.groupBy(O.BUCKET).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 12_000 and sum(sizes) == 20_001
+    ends = df.groupBy(O.BUCKET).agg(F.min("u").alias("lo"), F.max("u").alias("hi")).orderBy(O.BUCKET).collect()
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+
+
+def test_nested_results_keep_every_fold(spark):
+    from gradus.sources.results import nest_results
+
+    rows = [("d", "binary", "A", "default", 0, f, f / 10) for f in range(12)]
+    df = spark.createDataFrame(rows, "dataset_name string, target_type string, alg_name string, hparam_source string, trial_number int, fold int, Accuracy__test double")
+    got = nest_results(df).first()["scorers"]["test"]["Accuracy"]
+    assert list(got) == [f / 10 for f in range(12)]
 
 
 def fold_frame(spark, rows):
