@@ -146,37 +146,34 @@ def _(t):
 
 
 def scale_sql(source: str, cols, m: int) -> str:
-    """Average of the left and right interpolation of each value in its fold's references."""
-    at = f"(k * (n - 1)) // {m - 1}"
+    """Average of the left and right interpolation of each value in its fold's references, at most one per row."""
+    at = "(k * (n - 1)) // (m - 1)"
     # positions in integers: a product of doubles can miss a whole position by its last digit
     refs = " UNION ALL ".join(
-        f"SELECT fold, '{c}' AS feature, k, s[{at} + 1] + (s[least({at} + 2, n)] - s[{at} + 1]) * ((k * (n - 1)) % {m - 1}) / {m - 1}e0 AS q "
-        f"FROM (SELECT fold, list({c} ORDER BY {c}) FILTER (WHERE {c} IS NOT NULL) AS s, count({c}) AS n FROM {source} WHERE part = 'train' GROUP BY fold) AS z, "
-        f"(SELECT unnest(range({m})) AS k) AS kk" for c in cols)
-    pick = []
-    for c in cols:
-        pick.append(f"""SELECT x.fold, x.v, '{c}' AS feature, CASE WHEN x.v = min(r.q) THEN 0e0 WHEN x.v = max(r.q) THEN 1e0
- WHEN x.v < min(r.q) THEN 0e0 WHEN x.v > max(r.q) THEN 1e0 ELSE NULL END AS edge,
- max(r.k) FILTER (WHERE r.q <= x.v) AS j, min(r.k) FILTER (WHERE r.q >= x.v) AS i
- FROM (SELECT DISTINCT fold, {c} AS v FROM {source} WHERE {c} IS NOT NULL) AS x JOIN refs AS r ON r.fold = x.fold AND r.feature = '{c}' GROUP BY x.fold, x.v""")
-    place = " UNION ALL ".join(pick)
-    d = f"{m - 1}e0"
-    scaled = f"""SELECT p.fold, p.feature, p.v, CASE WHEN p.edge IS NOT NULL THEN p.edge ELSE
- (p.j + CASE WHEN b.q > a.q THEN (p.v - a.q) / (b.q - a.q) ELSE 0 END + p.i - CASE WHEN e.q > h.q THEN (e.q - p.v) / (e.q - h.q) ELSE 0 END) / 2e0 / {d} END AS s
+        f"SELECT fold, '{c}' AS feature, k, m, s[{at} + 1] + (s[least({at} + 2, n)] - s[{at} + 1]) * ((k * (n - 1)) % (m - 1)) / ((m - 1) * 1e0) AS q "
+        f"FROM (SELECT *, unnest(range(m)) AS k FROM (SELECT fold, list({c} ORDER BY {c}) FILTER (WHERE {c} IS NOT NULL) AS s, count({c}) AS n, least({m}, count({c})) AS m "
+        f"FROM {source} WHERE part = 'train' GROUP BY fold) AS y) AS z" for c in cols)
+    values = " UNION ALL ".join(f"SELECT DISTINCT fold, '{c}' AS feature, {c} AS v FROM {source} WHERE {c} IS NOT NULL" for c in cols)
+    place = """SELECT x.*, r.m, CASE WHEN x.v <= r.lo THEN 0e0 WHEN x.v >= r.hi THEN 1e0 END AS edge, lower_.k AS j, upper_.k AS i
+ FROM vals AS x JOIN (SELECT fold, feature, m, min(q) AS lo, max(q) AS hi FROM refs GROUP BY ALL) AS r ON r.fold = x.fold AND r.feature = x.feature
+ ASOF LEFT JOIN (SELECT fold, feature, q, max(k) AS k FROM refs GROUP BY ALL) AS lower_ ON lower_.fold = x.fold AND lower_.feature = x.feature AND x.v >= lower_.q
+ ASOF LEFT JOIN (SELECT fold, feature, q, min(k) AS k FROM refs GROUP BY ALL) AS upper_ ON upper_.fold = x.fold AND upper_.feature = x.feature AND x.v <= upper_.q"""
+    scaled = """SELECT p.fold, p.feature, p.v, CASE WHEN p.edge IS NOT NULL THEN p.edge ELSE
+ (p.j + CASE WHEN b.q > a.q THEN (p.v - a.q) / (b.q - a.q) ELSE 0 END + p.i - CASE WHEN e.q > h.q THEN (e.q - p.v) / (e.q - h.q) ELSE 0 END) / 2e0 / (p.m - 1) END AS s
  FROM place AS p LEFT JOIN refs AS a ON a.fold = p.fold AND a.feature = p.feature AND a.k = p.j
  LEFT JOIN refs AS b ON b.fold = p.fold AND b.feature = p.feature AND b.k = p.j + 1
  LEFT JOIN refs AS e ON e.fold = p.fold AND e.feature = p.feature AND e.k = p.i
  LEFT JOIN refs AS h ON h.fold = p.fold AND h.feature = p.feature AND h.k = p.i - 1"""
     joins = " ".join(f"LEFT JOIN scaled AS s_{c} ON s_{c}.fold = x.fold AND s_{c}.feature = '{c}' AND s_{c}.v = x.{c}" for c in cols)
-    return (f"refs AS ({refs}), place AS ({place}), scaled AS ({scaled}), out AS (SELECT x.* REPLACE ("
+    return (f"refs AS MATERIALIZED ({refs}), vals AS ({values}), place AS MATERIALIZED ({place}), scaled AS MATERIALIZED ({scaled}), out AS (SELECT x.* REPLACE ("
             + ", ".join(f"s_{c}.s AS {c}" for c in cols) + f") FROM {source} AS x {joins})")
 
 
-@query("i13_quantile_scale", "WITH p AS (" + PARTS_SQL + "), " + scale_sql("p", ["x0", "x1", "x2", "x4"], 101)
+@query("i13_quantile_scale", "WITH p AS (" + PARTS_SQL + "), " + scale_sql("p", ["x0", "x1", "x2", "x4"], 1000)
        + " SELECT row_id, fold, part, x0, x1, x2, x4 FROM out", r="x0 x1 x2 x4")
 def _(t):
     cols = ["x0", "x1", "x2", "x4"]
-    return P.quantile_scale(t.folds.select("row_id", "test_fold", *cols), cols, 101).drop("test_fold")
+    return P.quantile_scale(t.folds.select("row_id", "test_fold", *cols), cols).drop("test_fold")
 
 
 @query("i14_quantile_scale_normal")
@@ -375,12 +372,12 @@ def _(t):
 PROC = ["x0", "x1", "x2"]
 
 
-@query("i38_process_data", IMPUTED + ", " + scale_sql("q", PROC, 101).replace("refs AS", "refs AS", 1) + f", {DOMS}, "
+@query("i38_process_data", IMPUTED + ", " + scale_sql("q", PROC, 1000) + f", {DOMS}, "
        + ", ".join(f"h_{c} AS (SELECT p.fold, p.{c} AS v, {onehot_sql(c)} AS h FROM (SELECT DISTINCT fold, {c} FROM p) AS p)" for c in ["k1"])
        + " SELECT o.row_id, o.fold, o.part, o.x0, o.x1, o.x2, h_k1.h AS k1 FROM out AS o JOIN h_k1 ON h_k1.fold = o.fold AND h_k1.v IS NOT DISTINCT FROM o.k1",
        r="x0 x1 x2")
 def _(t):
-    out = P.process_data(t.folds.select("row_id", "test_fold", *PROC, "k1"), PROC, ["k1"], n_quantiles=101)
+    out = P.process_data(t.folds.select("row_id", "test_fold", *PROC, "k1"), PROC, ["k1"])
     return out.select("row_id", "fold", "part", *PROC, F.array_join("k1_onehot", "").alias("k1"))
 
 
