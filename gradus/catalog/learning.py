@@ -1,7 +1,7 @@
 """Queries over augmentation, neighbours, learners, trials and meta-learners."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gradus.catalog.registry import query
 from gradus.catalog.scoring import UNIT
@@ -169,6 +169,39 @@ def evaluate(t, name: str, objective: str, params: dict | None = None, folds=FOL
     return M.score_phases(ints, ["alg_name", "fold"], objective, "y_true", "y_pred", score, 3)
 
 
+def learner_sql(name: str, objective: str) -> str:
+    """Rows of each part, what a constant scores on the training part, and that the learner is no worse."""
+    y = TARGET[objective]
+    base = "ln(var_pop(y) FILTER (WHERE part = 'train'))" if objective == "regression" else "any_value(c.majority)"
+    return f"""WITH p AS (SELECT t.fold, {y} AS y, CASE WHEN f.test_fold = t.fold THEN 'test' WHEN f.test_fold = (t.fold + 1) % 10 THEN 'val' ELSE 'train' END AS part
+ FROM v_folds AS f, (SELECT unnest(range(10)) AS fold) AS t),
+ c AS (SELECT fold, max(n) * 1e0 / sum(n) AS majority FROM (SELECT fold, y, count(*) AS n FROM p WHERE part = 'train' GROUP BY ALL) AS z GROUP BY fold)
+ SELECT '{name}' AS alg_name, CAST(p.fold AS INT) AS fold, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FILTER (WHERE part = 'val') AS n_val,
+ count(*) FILTER (WHERE part = 'test') AS n_test, {base} AS constant, TRUE AS no_worse FROM p JOIN c ON c.fold = p.fold GROUP BY p.fold"""
+
+
+def check_learner(t, name: str, objective: str, params: dict) -> DataFrame:
+    """Per fold: rows predicted in each part, the score of the best constant on the training part, whether the learner reaches it.
+
+    The score is the share of the largest class, or the log of the mean's squared error. Iterative learners may end within
+    a hundredth of it.
+    """
+    preds, report = L.cross_validate(name, params, data(t, TARGET[objective]), objective, FOLDS)
+    failed = [r["exception"] for r in report if r["exception"] != "None"]
+    if failed:
+        raise RuntimeError(failed[0])
+    train = F.col("part") == "train"
+    counts = [F.count(F.when(F.col("part") == p, 1)).alias(f"n_{p}") for p in ("train", "val", "test")]
+    if objective == "regression":
+        out = preds.groupBy("alg_name", "fold").agg(
+            *counts, F.var_pop(F.when(train, F.col("y_true"))).alias("constant"), F.avg(F.when(train, F.pow(F.col("y_true") - F.col("y_pred"), 2))).alias("score"))
+        return out.withColumn("no_worse", F.col("score") <= F.col("constant") * 1.01).withColumn("constant", F.ln("constant")).drop("score")
+    out = preds.groupBy("alg_name", "fold").agg(*counts, F.avg(F.when(train, (F.col("y_true") == F.col("y_pred")).cast("double"))).alias("score"))
+    classes = preds.filter(train).groupBy("fold", "y_true").agg(F.count("*").alias("n"))
+    best = classes.groupBy("fold").agg((F.max("n") / F.sum("n")).alias("constant"))
+    return out.join(best, "fold").withColumn("no_worse", F.col("score") >= F.col("constant") - 0.01).drop("score")
+
+
 for _id, _name, _kind, _params in (
     ("l01_linear_binary", "LinearModel", "binary", {}), ("l01_linear_multiclass", "LinearModel", "classification", {}),
     ("l01_linear_regression", "LinearModel", "regression", {}), ("l03_svm", "SVM", "binary", {}),
@@ -177,12 +210,18 @@ for _id, _name, _kind, _params in (
     ("l06_boosting_regression", "LightGBM", "regression", {"n_iter": 10}), ("l07_mlp", "MLP", "binary", {"n_features": 13}),
     ("l08_factorisation_machine", "DeepFM", "binary", {}),
 ):
-    @query(_id)
+    @query(_id, learner_sql(_name, _kind), r="constant")
     def _(t, name=_name, kind=_kind, params=_params):
         p = dict(params)
         if name == "MLP":
             p["n_features"] = len(data(t, TARGET[kind]).select("features").first()[0])
-        return evaluate(t, name, kind, p)
+        return check_learner(t, name, kind, p)
+
+
+@query("l01_linear_scores")
+def _(t):
+    """All metrics of the linear model in every fold and part."""
+    return evaluate(t, "LinearModel", "binary")
 
 
 # closed form of two-feature ridge: standardised x1, x2, alpha = 10
