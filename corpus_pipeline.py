@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradus.llm import apportion, hyperminhash, robust, unigram, windows
+from gradus.llm.text import fresh
 from gradus.session import written
 
 PIECES = "piece_bpe_32k.model"
@@ -14,24 +15,25 @@ PIECES = "piece_bpe_32k.model"
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the ids in `dropped` (doc_id); a row without id stays."""
-    return docs.join(dropped.select(F.col("doc_id").alias("_dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")
+def _matching(docs: DataFrame, keys: DataFrame, of: Column, how: str) -> DataFrame:
+    """`docs` semi- or anti-joined with the one column of `keys` on the expression `of`, whatever the columns' names."""
+    name = fresh(docs.columns, "_key")
+    return docs.join(keys.toDF(name), of == F.col(name), how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lie far out of their language and source."""
-    rejected = robust.quality(docs).filter("not kept").select(F.col("row").alias("_rejected")).distinct()
-    return docs.join(rejected, F.xxhash64("doc_id", "lang", "source", "text") == F.col("_rejected"), "left_anti")
+    rejected = robust.quality(docs).filter("not kept").select("row").distinct()
+    return _matching(docs, rejected, F.xxhash64("doc_id", "lang", "source", "text"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of texts alike at 0.8 on five-word shingles, and a row of each id."""
     found = written(hyperminhash.near_duplicates(docs, size=5, percent=80), "classes")
-    rest = _without(docs, found.filter("not kept").select("doc_id").distinct())
+    rest = _matching(docs, found.filter("not kept").select("doc_id").distinct(), F.col("doc_id"), "left_anti")
     again = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    once = rest.join(again.select(F.col("doc_id").alias("_again")), F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return _without(rest, again).unionByName(once)
+    once = _matching(rest, again, F.col("doc_id"), "left_semi").dropDuplicates(["doc_id"])
+    return _matching(rest, again, F.col("doc_id"), "left_anti").unionByName(once)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +44,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes its words, rounded by a hash of its id; documents that the mix leaves go."""
-    mixed = apportion.mix(docs).select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
-    times = F.col("taken") / F.greatest("size", F.lit(1))
-    draw = F.pmod(F.xxhash64("_id", F.lit(apportion.SEED)), F.lit(1 << 20)) / float(1 << 20)
-    mixed = mixed.select("_id", F.floor(times + draw).cast("int").alias("_times")).filter("_times > 0")
-    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+    mixed = apportion.mix(docs).dropDuplicates(["doc_id"])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(apportion.SEED)), F.lit(1 << 20)) / float(1 << 20)
+    key, times = fresh(docs.columns, "_key"), fresh(docs.columns, "_times")
+    mixed = mixed.select(F.col("doc_id").alias(key), F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + draw).cast("int").alias(times))
+    joined = docs.join(mixed.filter(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(key)))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(fresh(docs.columns, "_copy"))
+    return joined.select(*docs.columns, copies).select(*docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,3 +132,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int, lower: bool = Tru
     h, doc, _, _ = word_hashes(lower_ascii(data) if lower else data, off)
     s, d, _ = shingles(h, doc, len(off) - 1, size)
     return distinct_sets(s, d)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with underscores added until no column (in any case) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
