@@ -119,11 +119,13 @@ def estimates(rows: DataFrame, group: list[str]) -> DataFrame:
     The start are medians and mean absolute deviations; each concentration step takes the mean and covariance of the
     SUBSET of rows nearest to the last model, whose determinant never grows. Thresholds are mergeable quantile sketches
     and sums partial aggregates, so a hot group costs no more than others. The covariance is scaled to be right for a
-    normal core. Each step's models are written, one row per group.
+    normal core. Thresholds and models are written, one row per group, so that the rows meet a table of known size and
+    are not shuffled while it is small.
     """
     p = len(VECTOR)
     keep = [F.col(g) for g in group]
     medians = rows.groupBy(*group).agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 10000).alias(f"m{i}") for i, v in enumerate(VECTOR)])
+    medians = written(medians, "medians")
     near = rows.join(medians.drop("n"), group)
     spread = near.groupBy(*group).agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
     variance = lambda i: F.pow(F.col(f"s{i}") * 1.4826, F.lit(2)) + FLOOR[i] ** 2
@@ -135,7 +137,7 @@ def estimates(rows: DataFrame, group: list[str]) -> DataFrame:
     scale = SUBSET / (1 - chi2_tail(inner, p + 2))
     for _ in range(STEPS):
         scored = rows.join(models.drop("n"), group).select(*keep, *VECTOR, _distance(p).alias("d"))
-        bounds = scored.groupBy(*group).agg(F.percentile_approx("d", SUBSET, 10000).alias("bound"))
+        bounds = written(scored.groupBy(*group).agg(F.percentile_approx("d", SUBSET, 10000).alias("bound")), "bounds")
         core = scored.join(bounds, group).filter("d <= bound")
         models = written(_models(core, group, scale), "models")
     return models
