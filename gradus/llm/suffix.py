@@ -82,19 +82,25 @@ def _anchor_rows(wide: bool):
 def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks of an integer string whose last symbol is unique, by Larsson-Sadakane refinement.
 
-    Suffixes are sorted by their first h symbols, then only those in groups of several by the rank h further on.
+    Suffixes are sorted by as many first symbols as one integer holds, then only those in groups of several by the rank
+    as many further on, which doubles the length.
     """
     n = len(s)
-    sa = np.argsort(s, kind="stable")
+    bits = int(s.max()).bit_length()
+    h = 62 // bits
+    padded = np.append(s, np.zeros(h, s.dtype))
+    key = s.astype(np.int64)
+    for j in range(1, h):
+        key = key << bits | padded[j : j + n]
+    sa = np.argsort(key)
     rank = np.empty(n, np.int64)
-    head = np.concatenate([[True], s[sa[1:]] != s[sa[:-1]]])
+    head = np.concatenate([[True], key[sa[1:]] != key[sa[:-1]]])
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 1
     open_ = np.flatnonzero(~head | ~np.append(head[1:], True))
     while len(open_):
         who = sa[open_]
         key = rank[who] * (n + 1) + rank[np.minimum(who + h, n - 1)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         who, key = who[order], key[order]
         sa[open_] = who
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -107,24 +113,32 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(s: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Kasai's common prefix lengths with the suffix before in order, all pieces [start, end) in lock step.
 
-    Along a piece the length falls by one at most, so what was compared is not compared again. No common prefix
-    reaches over a piece's end, where a symbol of its own stands.
+    Along a piece the length falls by one at most, so what was compared is not compared again; bytes are compared
+    eight at a time. No common prefix reaches over a piece's end.
     """
-    lcp = np.zeros(len(s), np.int64)
+    n = len(s)
+    words = np.ndarray((n,), "<u8", np.append(s.astype(np.uint8), np.zeros(8, np.uint8)).tobytes(), strides=(1,)).copy()
+    room = np.repeat(ends, ends - starts + 1) - np.arange(len(s))
+    lcp = np.zeros(n, np.int64)
     lane = np.arange(len(starts))
     k = np.zeros(len(starts), np.int64)
     for j in range(int((ends - starts).max(initial=0))):
         lane = lane[starts[lane] + j < ends[lane]]
         i = starts[lane] + j
         r = rank[i]
-        k[lane] = np.where(r > 0, np.maximum(k[lane] - 1, 0), 0)
         before = sa[np.maximum(r - 1, 0)]
-        live = np.flatnonzero(r > 0)
+        limit = np.where(r > 0, np.minimum(room[i], room[before]), 0)
+        d = np.minimum(np.maximum(k[lane] - 1, 0), limit)
+        live = np.flatnonzero(d < limit)
         while len(live):
-            d = k[lane[live]]
-            live = live[s[np.minimum(i[live] + d, len(s) - 1)] == s[np.minimum(before[live] + d, len(s) - 1)]]
-            k[lane[live]] += 1
-        lcp[r] = k[lane]
+            at = d[live]
+            x = words[i[live] + at] ^ words[before[live] + at]
+            same = np.where(x == 0, 8, (np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1) >> 3)
+            at = np.minimum(at + same, limit[live])
+            d[live] = at
+            live = live[(same == 8) & (at < limit[live])]
+        k[lane] = d
+        lcp[r] = d
     return lcp
 
 
