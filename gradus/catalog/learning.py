@@ -251,16 +251,15 @@ def _(t):
 
 
 def space_sql() -> str:
-    rows = ", ".join(f"('{n}', '{p}', '{k}', {a!r}, '{b}', {c!r}, {d!r})" for n, p, k, a, b, c, d in L.SPACE)
+    rows = ", ".join(f"('{n}', '{p}', '{k}', {base!r}, {low!r}, {high!r}, {factor!r}, {choices!r}, {d!r})" for n, p, k, base, low, high, factor, choices, d in L.SPACE)
     u = unit("trial", "r.alg_name, '.', s.param, '.', r.trial_number + 1998")
-    lo, hi = "TRY_CAST(split_part(b, ',', 1) AS DOUBLE)", "TRY_CAST(split_part(b, ',', 2) AS DOUBLE)"
-    power = f"c * pow(a, {lo} + u * ({hi} - {lo}))"
-    return f"""WITH sp AS (SELECT * FROM (VALUES {rows}) AS v(alg_name, param, kind, a, b, c, dflt)),
+    power = "factor * pow(base, low + u * (high - low))"
+    return f"""WITH sp AS (SELECT * FROM (VALUES {rows}) AS v(alg_name, param, kind, base, low, high, factor, choices, dflt)),
  tr AS (SELECT DISTINCT alg_name, dataset_name, trial_number FROM v_results),
  d AS (SELECT r.alg_name, r.dataset_name, r.trial_number, s.* EXCLUDE (alg_name), {u} AS u FROM tr AS r JOIN sp AS s ON r.alg_name = s.alg_name)
  SELECT alg_name, dataset_name, trial_number, param, round(CAST(CASE WHEN trial_number = 0 THEN dflt WHEN kind = 'scaled' THEN {power} WHEN kind = 'rounded' THEN round({power})
- WHEN kind = 'odd' THEN 1 + 2 * (floor(u * a) + 1) WHEN kind = 'int' THEN a + floor(u * ({lo} - a + 1)) WHEN kind = 'uniform' THEN a + u * ({lo} - a)
- ELSE TRY_CAST(split_part(b, ',', CAST(floor(u * 5) AS INT) + 1) AS DOUBLE) END AS DOUBLE), 6) + 0e0 AS value FROM d WHERE NOT (alg_name = 'SVM')
+ WHEN kind = 'odd' THEN 1 + 2 * (low + floor(u * (high - low + 1))) WHEN kind = 'int' THEN low + floor(u * (high - low + 1)) WHEN kind = 'uniform' THEN low + u * (high - low)
+ ELSE choices[CAST(floor(u * len(choices)) AS INT) + 1] END AS DOUBLE), 6) + 0e0 AS value FROM d WHERE NOT (alg_name = 'SVM')
  UNION ALL SELECT alg_name, dataset_name, trial_number, param, round(CASE WHEN trial_number = 0 THEN 0e0 ELSE -1e1 + u * 2e1 END, 6) + 0e0 FROM d WHERE alg_name = 'SVM'"""
 
 

@@ -1,6 +1,7 @@
 """Model evaluation on MLlib learners, random search, meta-learners, tree shape."""
 from __future__ import annotations
 
+import math
 import time
 import traceback
 from collections.abc import Callable, Iterator, Sequence
@@ -190,29 +191,37 @@ def predicted_label(proba: str) -> Column:
 
 
 # --- random search ------------------------------------------------------------------
-# Fixed values: (algorithm, parameter, kind, a, b, c, default). Kinds: "scaled"
-# is c * a ** U(lo, hi) with b = "lo,hi"; "rounded" rounds it; "choice" picks
-# from b; "odd" is 1 + 2 * U{1..a}; "int" is U{a..b}; "uniform" is U(a, b).
+# Fixed values: (algorithm, parameter, kind, base, low, high, factor, choices, default). "scaled" is
+# factor * base ** U(low, high), "rounded" is that rounded, "odd" is 1 + 2 * U{low..high}, "int" is U{low..high},
+# "uniform" is U(low, high), "choice" picks one of the choices.
 SPACE = [
-    ("KNN", "n_neighbors", "odd", 20.0, "", 0.0, 9.0), ("KNN", "leaf_size", "choice", 0.0, "30,50,70,100,300", 0.0, 30.0),
-    ("SVM", "C", "scaled", 10.0, "-10,10", 1.0, 1.0),
-    ("DecisionTree", "max_depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0),
-    ("RandomForest", "max_depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0),
-    ("RandomForest", "n_estimators", "rounded", 5.0, "1,2.8613531161467867", 1.0, 50.0),
-    ("XGBoost", "max_depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0), ("XGBoost", "alpha", "scaled", 10.0, "-8,0", 1.0, 1e-4),
-    ("XGBoost", "lambda", "scaled", 10.0, "-8,0", 1.0, 1e-4), ("XGBoost", "eta", "scaled", 10.0, "-2,-1", 3.0, 0.08),
-    ("CatBoost", "learning_rate", "scaled", 10.0, "-2,-1", 3.0, 0.08), ("CatBoost", "max_depth", "rounded", 2.0, "1,3.584962500721156", 1.0, 5.0),
-    ("CatBoost", "l2_leaf_reg", "scaled", 60.0, "0,1", 0.5, 5.0),
-    ("LightGBM", "num_leaves", "rounded", 2.0, "1,12", 1.0, 512.0), ("LightGBM", "lambda_l1", "scaled", 10.0, "-8,1", 1.0, 1e-3),
-    ("LightGBM", "lambda_l2", "scaled", 10.0, "-8,1", 1.0, 1e-3), ("LightGBM", "learning_rate", "scaled", 10.0, "-2,1", 3.0, 0.08),
-    ("MLP", "hidden_dim", "int", 10.0, "100", 0.0, 30.0), ("MLP", "n_layers", "int", 2.0, "5", 0.0, 3.0),
-    ("MLP", "learning_rate", "uniform", 5e-4, "1e-3", 0.0, 7e-4),
+    ("KNN", "n_neighbors", "odd", 0.0, 1.0, 20.0, 0.0, [], 9.0),
+    ("KNN", "leaf_size", "choice", 0.0, 0.0, 0.0, 0.0, [30.0, 50.0, 70.0, 100.0, 300.0], 30.0),
+    ("SVM", "C", "scaled", 10.0, -10.0, 10.0, 1.0, [], 1.0),
+    ("DecisionTree", "max_depth", "rounded", 2.0, 1.0, math.log2(12), 1.0, [], 5.0),
+    ("RandomForest", "max_depth", "rounded", 2.0, 1.0, math.log2(12), 1.0, [], 5.0),
+    ("RandomForest", "n_estimators", "rounded", 5.0, 1.0, math.log(100, 5), 1.0, [], 50.0),
+    ("XGBoost", "max_depth", "rounded", 2.0, 1.0, math.log2(12), 1.0, [], 5.0),
+    ("XGBoost", "alpha", "scaled", 10.0, -8.0, 0.0, 1.0, [], 1e-4),
+    ("XGBoost", "lambda", "scaled", 10.0, -8.0, 0.0, 1.0, [], 1e-4),
+    ("XGBoost", "eta", "scaled", 10.0, -2.0, -1.0, 3.0, [], 0.08),
+    ("CatBoost", "learning_rate", "scaled", 10.0, -2.0, -1.0, 3.0, [], 0.08),
+    ("CatBoost", "max_depth", "rounded", 2.0, 1.0, math.log2(12), 1.0, [], 5.0),
+    ("CatBoost", "l2_leaf_reg", "scaled", 60.0, 0.0, 1.0, 0.5, [], 5.0),
+    ("LightGBM", "num_leaves", "rounded", 2.0, 1.0, 12.0, 1.0, [], 512.0),
+    ("LightGBM", "lambda_l1", "scaled", 10.0, -8.0, 1.0, 1.0, [], 1e-3),
+    ("LightGBM", "lambda_l2", "scaled", 10.0, -8.0, 1.0, 1.0, [], 1e-3),
+    ("LightGBM", "learning_rate", "scaled", 10.0, -2.0, 1.0, 3.0, [], 0.08),
+    ("MLP", "hidden_dim", "int", 0.0, 10.0, 100.0, 0.0, [], 30.0),
+    ("MLP", "n_layers", "int", 0.0, 2.0, 5.0, 0.0, [], 3.0),
+    ("MLP", "learning_rate", "uniform", 0.0, 5e-4, 1e-3, 0.0, [], 7e-4),
 ]
+SPACE_COLUMNS = "alg_name string, param string, kind string, base double, low double, high double, factor double, choices array<double>, dflt double"
 SEED_STEP = 999  # fixed value: trial t of hparam seed s draws with seed t + 999 * s
 
 
 def parameter_space(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SPACE, "alg_name string, param string, kind string, a double, b string, c double, dflt double")
+    return spark.createDataFrame(SPACE, SPACE_COLUMNS)
 
 
 def random_trials(trials: DataFrame, hparam_seed: int = 0) -> DataFrame:
@@ -224,16 +233,15 @@ def random_trials(trials: DataFrame, hparam_seed: int = 0) -> DataFrame:
     space = F.broadcast(parameter_space(trials.sparkSession))
     seed = F.col("trial_number") + F.lit(SEED_STEP * hparam_seed)
     u = hash_uniform(F.concat("alg_name", F.lit("."), "param", F.lit("."), seed), "trial")
-    lo, hi = (F.try_element_at(F.split("b", ","), F.lit(i)).try_cast("double") for i in (1, 2))
-    power = F.col("c") * F.pow(F.col("a"), lo + F.col("u") * (hi - lo))
-    items = F.split("b", ",")
+    between = F.col("low") + F.col("u") * (F.col("high") - F.col("low"))
+    power = F.col("factor") * F.pow(F.col("base"), between)
+    whole = F.col("low") + F.floor(F.col("u") * (F.col("high") - F.col("low") + 1))
     value = (
         F.when(F.col("trial_number") == 0, F.col("dflt"))
         .when(F.col("kind") == "scaled", power).when(F.col("kind") == "rounded", F.round(power, 0))
-        .when(F.col("kind") == "odd", F.lit(1.0) + F.lit(2.0) * (F.floor(F.col("u") * F.col("a")) + 1))
-        .when(F.col("kind") == "int", F.col("a") + F.floor(F.col("u") * (lo - F.col("a") + 1)))
-        .when(F.col("kind") == "uniform", F.col("a") + F.col("u") * (lo - F.col("a")))
-        .otherwise(F.try_element_at(items, (F.floor(F.col("u") * F.size(items)) + 1).cast("int")).try_cast("double"))
+        .when(F.col("kind") == "odd", F.lit(1.0) + F.lit(2.0) * whole).when(F.col("kind") == "int", whole)
+        .when(F.col("kind") == "uniform", between)
+        .otherwise(F.get("choices", F.floor(F.col("u") * F.size("choices")).cast("int")))
     )
     out = trials.join(space, "alg_name").withColumn("u", u)
     return out.select(*trials.columns, "param", value.alias("value"))
