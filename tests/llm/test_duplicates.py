@@ -182,3 +182,10 @@ def test_passages_edges(spark):
     assert {7, 9} <= set(got) and got[9].n_removed_words >= 30_000
     assert windows.remove_passages(edge_rows(spark)).count() == 12
     assert windows.near_passages(spark.createDataFrame([], KINDS)).count() == 0
+
+
+def test_passages_of_repeated_words(spark):
+    loops = " ".join(w for w in prose(3, 9) for _ in range(17))
+    texts = [loops, " ".join(prose(4, 80)), loops + " more words", " ".join(prose(5, 60)) + " " + loops]
+    got = {r.doc_id: [(s.s, s.e) for s in r.spans] for r in windows.near_passages(frame(spark, texts)).collect()}
+    assert got == {0: [], 2: [(0, 153)], 3: [(60, 213)]}
