@@ -522,12 +522,12 @@ def stumps(x: Input, seed: int = 0) -> DataFrame:
 
     Counts per (fold, column, value) with one column per class give running
     class counts on the left of each value; the split is at most that value.
-    Returns (fold, feature, threshold, gain, left, right).
+    Rows without a label are left out. Returns (fold, feature, threshold, gain, left, right).
     """
-    labels = sorted(r["y"] for r in x.class_counts.select("y").limit(1001).collect())
+    labels = sorted(r["y"] for r in x.class_counts.select("y").filter("y IS NOT NULL").limit(1001).collect())
     if len(labels) > 1000:
         raise ValueError("more than 1000 classes")
-    counts = written(_imputed_class_counts(x), "class-value-counts")
+    counts = written(_imputed_class_counts(x).filter("y IS NOT NULL"), "class-value-counts")
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(w).alias("c")) for i, w in enumerate(WEIGHTS)]))
     cell = counts.select("feature", "value", "y", per.alias("e")).select("feature", "value", "y", "e.*").filter("c > 0")
     n = [f"n{i}" for i in range(len(labels))]
