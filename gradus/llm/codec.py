@@ -15,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -435,16 +436,26 @@ def _times(matrix: list[int], v: int) -> int:
     return out
 
 
+@cache
+def _zero_bytes(power: int) -> list[int]:
+    """What 2**power zero bytes do to a crc32, as a bit matrix."""
+    if power == 0:
+        matrix = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
+        for _ in range(3):
+            matrix = [_times(matrix, row) for row in matrix]
+        return matrix
+    half = _zero_bytes(power - 1)
+    return [_times(half, row) for row in half]
+
+
 def combine_crc32(a: int, b: int, length: int) -> int:
     """crc32 of two joined byte strings from theirs; `length` is the second's."""
-    odd = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    for _ in range(3):
-        odd = [_times(odd, row) for row in odd]  # one zero byte
+    power = 0
     while length:
         if length & 1:
-            a = _times(odd, a)
-        odd = [_times(odd, row) for row in odd]
+            a = _times(_zero_bytes(power), a)
         length >>= 1
+        power += 1
     return a ^ b
 
 
