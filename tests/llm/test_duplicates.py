@@ -189,3 +189,11 @@ def test_passages_of_repeated_words(spark):
     texts = [loops, " ".join(prose(4, 80)), loops + " more words", " ".join(prose(5, 60)) + " " + loops]
     got = {r.doc_id: [(s.s, s.e) for s in r.spans] for r in windows.near_passages(frame(spark, texts)).collect()}
     assert got == {0: [], 2: [(0, 153)], 3: [(60, 213)]}
+
+
+def test_passages_of_families_that_share_a_phrase(spark):
+    phrase = prose(1000, 45)
+    copied = [prose(1100 + i, 6) + phrase + prose(1200 + i, 6) for i in range(10)]
+    texts = [" ".join(prose(1300 + i, 60) + copied[i % 10] + prose(1400 + i, 60)) for i in range(20)]
+    got = {r.doc_id: [(s.s, s.e) for s in r.spans] for r in windows.near_passages(frame(spark, texts)).collect()}
+    assert got == {i: [(60, 117)] if i >= 10 else [] for i in range(20)}
