@@ -197,3 +197,68 @@ def test_passages_of_families_that_share_a_phrase(spark):
     texts = [" ".join(prose(1300 + i, 60) + copied[i % 10] + prose(1400 + i, 60)) for i in range(20)]
     got = {r.doc_id: [(s.s, s.e) for s in r.spans] for r in windows.near_passages(frame(spark, texts)).collect()}
     assert got == {i: [(60, 117)] if i >= 10 else [] for i in range(20)}
+
+
+def shingle_numbers(*texts):
+    known = {}
+    return [np.array([known.setdefault(tuple(t[i : i + 5]), len(known)) for i in range(len(t) - 4)], np.uint64) for t in texts]
+
+
+def brute_passages(mine, other):
+    """Spans of shingles from one shared one to another that are at least 50 words and alike, in texts without repeated shingles."""
+    place = {int(x): i for i, x in enumerate(other)}
+    hits = [(i, place[int(x)]) for i, x in enumerate(mine) if int(x) in place]
+    out = []
+    for a, c in hits:
+        for b, d in hits:
+            if b - a + 5 >= 50 and d > c:
+                x, y = set(mine[a : b + 1].tolist()), set(other[c : d + 1].tolist())
+                if len(x & y) >= 0.8 * len(x | y):
+                    out.append((a, b + 5))
+    return out
+
+
+def covered(spans):
+    return {w for s in spans for w in range(s[0], s[1])}
+
+
+def test_passages_with_an_inserted_block():
+    old = prose(1, 80, 10**9)
+    new = prose(2, 30, 10**9) + old[:40] + prose(3, 7, 10**9) + old[40:] + prose(4, 30, 10**9)
+    mine, other = shingle_numbers(new, old)
+    assert windows.passages(mine, other, [(0, len(mine))]) == [(30, 117, 0, 80)]
+
+
+def test_passages_before_a_weaker_tail():
+    old = prose(5, 500, 10**9)
+    new = [f"y{i}" if (i % 50 == 49 if i < 250 else i % 9 == 0) else w for i, w in enumerate(old)]
+    mine, other = shingle_numbers(new, old)
+    assert covered(windows.passages(mine, other, [(0, len(mine))])) >= set(range(249))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_passages_match_brute_force(seed):
+    r = random.Random(seed)
+    old = prose(seed, 160, 10**9)
+    new, at = [], 0
+    while at < len(old):  # exact pieces with a changed, an inserted or a dropped block between
+        n = r.randrange(12, 60)
+        new += old[at : at + n]
+        at += n + r.choice([0, 0, 1, 5])
+        new += prose(1000 * seed + at, r.choice([0, 1, 6, 12]), 10**9)
+    mine, other = shingle_numbers(new, old)
+    want, got = brute_passages(mine, other), windows.passages(mine, other, [(0, len(mine))])
+    assert bool(got) == bool(want)
+    for a, b, c, d in got:
+        x, y = set(mine[a : b - 4].tolist()), set(other[c : d - 4].tolist())
+        assert b - a >= 50 and len(x & y) >= 0.8 * len(x | y)
+    if want:
+        a, b = max(want, key=lambda s: s[1] - s[0])
+        assert len(covered(got) & set(range(a, b))) >= 0.8 * (b - a)
+
+
+def test_a_stray_shingle_does_not_stretch_a_passage():
+    old = prose(6, 200, 10**9)
+    new = old[:150] + prose(7, 20, 10**9) + old[180:185] + prose(8, 20, 10**9)
+    mine, other = shingle_numbers(new, old)
+    assert windows.passages(mine, other, [(0, len(mine))]) == [(0, 150, 0, 150)]
