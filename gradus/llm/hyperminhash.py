@@ -189,19 +189,30 @@ def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Tabl
 
 
 def _linker(size: int, percent: int):
-    """Links between components within each group of two sides; a link that joins nothing new is not looked for."""
+    """Links between components within each group of two sides; a link that joins nothing new is not looked for.
+
+    Two texts are estimated under the number of seeds that both have a sketch for; without one, their sizes differ too much.
+    """
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for group in _grouped(batches, 3):
             side, ids, component = (group.column(n).to_numpy() for n in ("side", "doc_id", "component"))
-            reg = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            seeds, more = (group.column(n).to_numpy() for n in ("seeds", "more_seeds"))
+            reg, more_reg = (np.frombuffer(b"".join(group.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS) for n in ("sketch", "more_sketch"))
+            second = np.cumsum(more > 0) - 1  # row of a text's sketch for partners of the next number of seeds
             alone = group.column("alone")[0].as_py()
             left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             pairs: list[tuple[float, int, int]] = []
             for x in left:
-                near = estimate(reg[x][None, :], reg[right])
+                near = np.full(len(right), -np.inf)
+                same, ahead, behind = seeds[right] == seeds[x], seeds[right] == more[x], more[right] == seeds[x]
+                near[same] = estimate(reg[x][None, :], reg[right[same]])
+                if ahead.any():
+                    near[ahead] = estimate(more_reg[second[x]][None, :], reg[right[ahead]])
+                if behind.any():
+                    near[behind] = estimate(reg[x][None, :], more_reg[second[right[behind]]])
                 for y in np.flatnonzero((near >= least) & (component[right] != component[x])):
                     if not alone or right[y] > x:
                         pairs.append((-near[y], int(x), int(right[y])))
@@ -288,8 +299,11 @@ def classes(docs: DataFrame, sketch: DataFrame, size: int, percent: int) -> Data
         return labels
     ids = groups.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tops = heads.groupBy("doc_id").agg(F.max(F.struct("own", "seeds", "sketch")).alias("s")).select("doc_id", "s.sketch")
-    dealt = groups.join(texts, "doc_id").join(tops, "doc_id").select("family", "i", "j", "side", "alone", "doc_id", "component", "sketch", "text")
+    one = F.struct("seeds", "sketch")
+    tops = heads.groupBy("doc_id").agg(F.max(F.when(F.col("own"), one)).alias("s"), F.max(F.when(~F.col("own"), one)).alias("t"))
+    tops = tops.select("doc_id", "s.seeds", "s.sketch", F.coalesce("t.seeds", F.lit(0)).alias("more_seeds"), F.coalesce("t.sketch", F.lit(b"")).alias("more_sketch"))
+    dealt = groups.join(texts, "doc_id").join(tops, "doc_id").select(
+        "family", "i", "j", "side", "alone", "doc_id", "component", "seeds", "sketch", "more_seeds", "more_sketch", "text")
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
     more = dealt.mapInArrow(_linker(size, percent), "a bigint, b bigint")
     return components(first.union(more))

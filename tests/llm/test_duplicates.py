@@ -48,6 +48,22 @@ def test_chain_beyond_a_groups_center(spark):
     assert sorted(tuple(r) for r in got) == brute_components(texts)
 
 
+@pytest.mark.parametrize("n", [1010, 505])
+def test_open_pairs_across_numbers_of_seeds(spark, n):
+    base = prose(n, n, 10**9)
+    texts = []
+    for i in range(120):  # lead every band that the last two share, and are alike to nothing
+        at, new = random.Random(i).randrange(n), prose(100 + i, n // 7, 10**9)
+        turned = base[at:] + base[:at]
+        texts.append(" ".join((new + turned[n // 7 :])[n - at :] + (new + turned[n // 7 :])[: n - at]))
+    texts += [" ".join(base), " ".join(base + prose(99, n // 25, 10**9))]
+    assert (hyperminhash.seeds_for(np.array([n - 1])) == 2 * hyperminhash.seeds_for(np.array([n + n // 25 - 1]))).all()
+    want = brute_components(texts)
+    assert want[-1][2] == 120 and all(kept for *_, kept in want[:-1])
+    got = hyperminhash.near_duplicates(frame(spark, texts)).collect()
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**63, (2, 40_000)).astype(np.uint64)
