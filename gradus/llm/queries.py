@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradus.llm import apportion, codec, htmldiff, hyperminhash, maglev, robust, sketch, suffix, unigram, windows
+from gradus.llm import apportion, codec, htmldiff, hyperminhash, maglev, packing, periodic, robust, sketch, suffix, unigram, variants, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,53 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_page_differencing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmldiff.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_cost_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+# The checksum goes bit by bit over a list of bits; letters from U+00C0 to U+00FF are 0xC3 and their code less 64.
+# Near words share a word with one letter left out, or one is the other with a letter left out.
+OP12_SQL = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (
+    SELECT doc_id, run, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bs FROM runs),
+sums AS (
+    SELECT doc_id, run, times, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+        flatten(list_transform(bs, lambda b: [(b & 1)::BIGINT, (b >> 1) & 1, (b >> 2) & 1, (b >> 3) & 1, (b >> 4) & 1, (b >> 5) & 1, (b >> 6) & 1, (b >> 7) & 1]))),
+        lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1)))) AS h FROM bytes),
+words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, times FROM sums),
+vocab AS (SELECT word, sum(times)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cuts AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocab b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocab b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, min((-other_n, other)) AS top FROM pairs GROUP BY word),
+formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 2 * n THEN top[2] END AS form, CASE WHEN -top[1] >= 2 * n THEN -top[1] END AS form_n
+    FROM vocab LEFT JOIN near USING (word)),
+chain AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT chain.word, f.form FROM chain JOIN formed f ON f.word = chain.at WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN formed f ON f.word = chain.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+@query("op12_letter_trees", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_diagonal_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every text, a tenth of them made periodic by the rule of `periodic.planted`."""
+    return periodic.digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
