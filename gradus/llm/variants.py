@@ -245,12 +245,12 @@ def _searcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(words: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
     """(word, other, other_n), both ways, of all words of (word, n) that are one edit apart.
 
-    The top of the tree is fitted on at most SAMPLE_WORDS words of smallest hash; it decides only how even the cells are,
+    The top of the tree is fitted on about SAMPLE_WORDS words, chosen by hash; it decides only how even the cells are,
     every word is placed and searched for in all cells that it can reach. A task holds one cell's points and streams the
     queries past them. Words are distinct and made of a-z and U+00C0 to U+00FF.
     """
     total = words.count()
-    sample = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).select("word").collect()]
+    sample = [r.word for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(max(1, total // SAMPLE_WORDS))) == 0).select("word").collect()]
     cells = max(1, -(-total // cell_words))
     top = Tree(points(*letters(pa.array(sample, pa.string()))), max(1, len(sample) // cells), keep=False)
     routed = words.select("word", "n").mapInArrow(_router(words.sparkSession.sparkContext.broadcast(top)), "cell int, role int, word string, n bigint")
