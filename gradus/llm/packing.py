@@ -8,8 +8,6 @@ full sequences, and short ones whose lengths are the powers of two that add up t
 """
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradus.llm.text import chunks
+from gradus.llm.units import UnitEncoder
 
 LENGTH = 1024
 WIDTH = 768  # of the model for which costs are estimated
 BLOCK_BYTES = 4 << 20
 OPEN_TOKENS = 1 << 23
+CHUNK = 1 << 20
 MOST_PARTITIONS = 20_000
-KNOWN_UNITS = 300_000
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-_SPACE = "\t-\r \x85\xa0  -     　"
 
 
 def cost(length: int | np.ndarray, width: int = WIDTH) -> float | np.ndarray:
@@ -34,43 +32,6 @@ def cost(length: int | np.ndarray, width: int = WIDTH) -> float | np.ndarray:
     return length + length * length / (6.0 * width)
 
 
-class _Units:
-    """Ids of texts, unit by unit: the tokenizer's own split never joins what a unit's edge parts.
-
-    A unit is a run without white space with the space before it, or white space; units met before are remembered in
-    two generations of bounded size. A text that holds a special token is encoded as a whole.
-    """
-
-    def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.cut = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.young) > KNOWN_UNITS:
-            self.young, self.old = {}, self.young
-        known, old = self.young, self.old
-        units = [self.cut(t) if self.special(t) is None else None for t in texts]
-        new = {u for us in units if us for u in us if u not in known}
-        if old:
-            again = {u: old[u] for u in new if u in old}
-            known.update(again)
-            new.difference_update(again)
-        fresh = list(new)
-        known.update(zip(fresh, self._ids(fresh)))
-        return [b"".join(map(known.__getitem__, us)) if us is not None else self._ids([t])[0] for t, us in zip(texts, units)]
-
-
 def rooms(tokens: int, length: int = LENGTH) -> np.ndarray:
     """Lengths of the sequences that hold so many tokens without padding: full ones, then powers of two."""
     rest = tokens % length
@@ -127,7 +88,7 @@ class _Block:
         self.tails, self.open = [], 0
 
 
-_KNOWN: dict[int, _Units] = {}
+_ENCODERS: dict[int, UnitEncoder] = {}
 
 
 def _packer(spec, end_id: int, length: int, width: int):
@@ -140,19 +101,18 @@ def _packer(spec, end_id: int, length: int, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(spec.value)
-        if key not in _KNOWN:
-            _KNOWN[key] = _Units(spec.value)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = UnitEncoder(spec.value)
         block, out = None, []
         for batch in batches:
-            for part, _, _ in chunks(batch):
+            for part, data, off in chunks(batch, limit=CHUNK):
                 numbers, doc_ids = part.column(0).to_pylist(), part.column(1).to_pylist()
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                for number, doc_id, ids in zip(numbers, doc_ids, _KNOWN[key].encode(texts)):
+                for number, doc_id, ids in zip(numbers, doc_ids, _ENCODERS[key].encode(data, off)):
                     if block is None or block.number != number:
                         if block is not None:
                             block.close(out)
                         block = _Block(number, length, width)
-                    block.add(doc_id, ids + end, out)
+                    block.add(doc_id, ids.tobytes() + end, out)
                 if out:
                     yield batch_of(out)
                     out = []

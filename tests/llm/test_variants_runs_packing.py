@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from gradus.llm import packing, periodic, variants
+from gradus.llm import packing, periodic, units, variants
 from gradus.llm.queries import ORACLES, QUERIES
 from tests.conftest import SF
 from tests.llm.common import WORD, edge_rows, frame, prose
@@ -68,12 +68,23 @@ def test_packing_covers_every_id(spark, tokenizer):
 
 
 def test_units_encode_like_the_tokenizer(tokenizer):
-    units = packing._Units(open(BPE, encoding="utf-8").read())
+    encoder = units.UnitEncoder(open(BPE, encoding="utf-8").read())
     r = random.Random(5)
-    letters = "ab'sé梦 \t\n\r\x0b\x0c\x1c\x85\xa0   ​　1,.<|>🙂e"
-    texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 60))) for _ in range(3000)] + ["a<|endoftext|>  b", "x  <|endoftext|>"]
-    got = [np.frombuffer(b, "<u4").tolist() for b in units.encode(texts)]
-    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for letters in ("ab'sé梦 \t\n\r\x0b\x0c\x1c\x85\xa0   ​　1,.<|>🙂e", "abzT's 1,.\n \t-é🙂_<", "a b\n"):
+        texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 60))) for _ in range(3000)] + ["", "a<|endoftext|>  b", "x  <|endoftext|>", "don't 'they 's we'LL", " "]
+        for part in (texts[:1500], texts[1500:], texts):
+            raw = [t.encode() for t in part]
+            got = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+            assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_units_of_earlier_generations(tokenizer, monkeypatch):
+    monkeypatch.setattr(units, "KNOWN_UNITS", 40)
+    encoder = units.UnitEncoder(open(BPE, encoding="utf-8").read())
+    for i in range(30):
+        text = " ".join(prose(i % 7, 60, 300))
+        got = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert got[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_assignment_is_the_greedy_rule():
