@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -16,6 +17,7 @@ from gradus.llm.text import prefix_hash, span_hash
 
 KNOWN_UNITS = 400_000
 JOINED = 64
+SPACE = "\u0120"  # a space byte in the model's alphabet; other ASCII signs stand for themselves
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -122,17 +124,27 @@ class UnitEncoder:
         return self.young.find(hashes)[0]
 
     def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units in a row, and how many each has. Words are encoded many to a string, a line end before each."""
+        """The ids of all units in a row, and how many each has.
+
+        ASCII letters with at most a space before them are one piece of the tokenizer's split, which its model takes as
+        it is; other words are encoded many to a string, a line end before each.
+        """
         out: list = [None] * len(units)
-        words = [i for i, u in enumerate(units) if not u.isspace() and not self.whole.search(u.encode())]
+        merge = self.tokenizer.model.tokenize
+        words = []
+        for i, u in enumerate(units):
+            if u.isascii() and (u[1:] if u[0] == " " else u).isalpha():
+                out[i] = [t.id for t in merge(u.replace(" ", SPACE))]
+            elif not u.isspace() and not self.whole.search(u.encode()):
+                words.append(i)
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
         texts = ["".join(["\n" + units[i] for i in g]) for g in groups]
         for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             cut = np.flatnonzero(ids == self.line)
             for i, x in zip(g, np.split(ids, cut[1:])):
-                out[i] = x[1:]
+                out[i] = x[1:].tolist()
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+            out[i] = e.ids
+        return np.fromiter(chain.from_iterable(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out))
