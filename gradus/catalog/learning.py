@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 from gradus.catalog.registry import query
 from gradus.catalog.scoring import UNIT
 from gradus.operators import augment as J
+from gradus.operators import boosting
 from gradus.operators import metrics as M
 from gradus.operators import models as L
 from gradus.operators import neighbors as N
 from gradus.operators import prep as P
+from gradus.plans.folds import assign_parts
 from gradus.session import written
 
 XS = ["x0", "x1", "x2"]
@@ -206,8 +208,8 @@ for _id, _name, _kind, _params in (
     ("l01_linear_binary", "LinearModel", "binary", {}), ("l01_linear_multiclass", "LinearModel", "classification", {}),
     ("l01_linear_regression", "LinearModel", "regression", {}), ("l03_svm", "SVM", "binary", {}),
     ("l04_decision_tree", "DecisionTree", "classification", {}), ("l04_decision_tree_regression", "DecisionTree", "regression", {}),
-    ("l05_random_forest", "RandomForest", "classification", {}), ("l06_boosting", "XGBoost", "binary", {"n_iter": 10}),
-    ("l06_boosting_regression", "LightGBM", "regression", {"n_iter": 10}), ("l07_mlp", "MLP", "binary", {"n_features": 13}),
+    ("l05_random_forest", "RandomForest", "classification", {}), ("l06_boosting", "XGBoost", "binary", {}),
+    ("l06_boosting_multiclass", "CatBoost", "classification", {}), ("l06_boosting_regression", "LightGBM", "regression", {"n_iter": 10}), ("l07_mlp", "MLP", "binary", {"n_features": 13}),
     ("l08_factorisation_machine", "DeepFM", "binary", {}),
 ):
     @query(_id, learner_sql(_name, _kind), r="constant")
@@ -218,6 +220,29 @@ for _id, _name, _kind, _params in (
         return check_learner(t, name, kind, p)
 
 
+FIRST = boosting.Params("depth", 1, l1=1e-4, l2=1e-4, min_hess=1.0, rounds=1)
+
+
+# one round of one split: gradients in units of 2^-24, edges at every 32nd part of the training rows
+@query("l06_first_split", f"""WITH p AS (SELECT t.fold, [coalesce(x0, 0e0), x1, x2] AS x, y_reg AS y FROM v_folds AS f, (SELECT unnest(range(10)) AS fold) AS t
+ WHERE f.test_fold <> t.fold AND f.test_fold <> (t.fold + 1) % 10),
+ s AS (SELECT fold, avg(y) AS m, stddev_pop(y) AS sd FROM p GROUP BY fold),
+ c AS (SELECT p.fold, j AS feature, p.x[j + 1] AS v, CAST(round((m - y) / sd * 16777216) AS BIGINT) AS g FROM p JOIN s ON p.fold = s.fold, (SELECT unnest(range(3)) AS j) AS k),
+ e AS (SELECT DISTINCT fold, feature, edge FROM (SELECT fold, feature, unnest(quantile_cont(v, [{', '.join(f'{k / 32!r}' for k in range(32))}])) AS edge FROM c GROUP BY fold, feature) AS q),
+ l AS (SELECT e.fold, e.feature, e.edge, sum(g) FILTER (WHERE v <= edge) / 16777216e0 AS gl, count(*) FILTER (WHERE v <= edge) AS nl, sum(g) / 16777216e0 AS ga, count(*) AS na
+  FROM c JOIN e ON c.fold = e.fold AND c.feature = e.feature GROUP BY ALL),
+ r AS (SELECT *, pow(greatest(abs(gl) - 1e-4, 0), 2) / (nl + 1e-4) + pow(greatest(abs(ga - gl) - 1e-4, 0), 2) / (na - nl + 1e-4) AS gain FROM l WHERE nl < na),
+ b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY gain DESC, feature, edge) AS place FROM r)
+ SELECT CAST(fold AS INT) AS fold, CAST(feature AS INT) AS feature, edge, -8e-2 * sign(gl) * (abs(gl) - 1e-4) / (nl + 1e-4) AS low_value,
+ -8e-2 * sign(ga - gl) * (abs(ga - gl) - 1e-4) / (na - nl + 1e-4) AS high_value FROM b WHERE place = 1""", r="edge low_value high_value")
+def _(t):
+    """The split that a first round of boosting makes in every fold."""
+    rows = assign_parts(t.folds.select("row_id", "test_fold", F.coalesce("x0", F.lit(0.0)).alias("x0"), "x1", "x2", F.col("y_reg").alias("y")))
+    model = boosting.fit(L.assemble(rows, XS, [], "y"), "regression", FIRST)
+    found = [(f, tree.feature[0], float(model.edges[f][tree.feature[0]][tree.bin[0]]), tree.value[tree.left[0]], tree.value[tree.right[0]]) for f, (tree,) in model.rounds[0].items()]
+    return t.spark.createDataFrame(found, "fold int, feature int, edge double, low_value double, high_value double")
+
+
 @query("l01_linear_scores")
 def _(t):
     """All metrics of the linear model in every fold and part."""
