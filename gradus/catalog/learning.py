@@ -208,8 +208,8 @@ for _id, _name, _kind, _params in (
     ("l01_linear_binary", "LinearModel", "binary", {}), ("l01_linear_multiclass", "LinearModel", "classification", {}),
     ("l01_linear_regression", "LinearModel", "regression", {}), ("l03_svm", "SVM", "binary", {}),
     ("l04_decision_tree", "DecisionTree", "classification", {}), ("l04_decision_tree_regression", "DecisionTree", "regression", {}),
-    ("l05_random_forest", "RandomForest", "classification", {}), ("l06_boosting", "XGBoost", "binary", {}),
-    ("l06_boosting_multiclass", "CatBoost", "classification", {}), ("l06_boosting_regression", "LightGBM", "regression", {"n_iter": 10}), ("l07_mlp", "MLP", "binary", {"n_features": 13}),
+    ("l05_random_forest", "RandomForest", "classification", {}), ("l06_boosting", "XGBoost", "binary", {"eta": 0.3}),
+    ("l06_boosting_multiclass", "CatBoost", "classification", {"learning_rate": 0.3}), ("l06_boosting_regression", "LightGBM", "regression", {"n_iter": 10}), ("l07_mlp", "MLP", "binary", {"n_features": 13}),
     ("l08_factorisation_machine", "DeepFM", "binary", {}),
 ):
     @query(_id, learner_sql(_name, _kind), r="constant")

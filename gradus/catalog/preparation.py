@@ -305,9 +305,9 @@ def _(t):
     return P.splits_from_indicators(d, "row_id", ["d1", "d2"])
 
 
-@query("i28_order_by_part", f"SELECT row_id, part, CASE part WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS part_code FROM ({PARTS_SQL}) AS p WHERE fold = 0")
+@query("i28_order_by_part", f"SELECT row_id, fold, part, CASE part WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS part_code FROM ({PARTS_SQL}) AS p")
 def _(t):
-    return P.order_by_part(assign_parts(t.folds).filter("fold = 0").select("row_id", "part"))
+    return P.order_by_part(assign_parts(t.folds).select("row_id", "fold", "part"), keys=["fold"])
 
 
 @query("i29_type_of_target", """SELECT 'y_reg' AS target, 'continuous' AS kind, count(DISTINCT y_reg) AS n_values FROM v_features

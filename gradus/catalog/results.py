@@ -560,16 +560,19 @@ def _(t):
     return A.first_seen_id(t.features.select("row_id", "k2"), "k2", "row_id")
 
 
+MAX_EPOCHS = 500  # fixed value: the most epochs of a training
+
+
 @query("f08_early_stop", """WITH a AS (SELECT *, min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
- FROM v_curve WHERE epoch < 100), b AS (SELECT *, max(CASE WHEN p IS NULL OR val_loss < p THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS best FROM a),
+ FROM v_curve WHERE epoch < 500), b AS (SELECT *, max(CASE WHEN p IS NULL OR val_loss < p THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS best FROM a),
  c AS (SELECT run_id, min(epoch) FILTER (WHERE best + 20 < epoch) AS stop FROM b GROUP BY run_id)
  SELECT b.run_id, max(b.best) AS best_epoch, max(b.epoch) AS last_epoch, min(b.val_loss) AS best_val_loss, c.stop IS NOT NULL AS stopped_early
  FROM b JOIN c ON b.run_id = c.run_id WHERE c.stop IS NULL OR b.epoch <= c.stop GROUP BY b.run_id, c.stop""")
 def _(t):
-    return A.early_stop(t.curve, 20, 100)
+    return A.early_stop(t.curve, 20, MAX_EPOCHS)
 
 
-@query("f09_early_stop_tol", """WITH RECURSIVE v AS (SELECT * FROM v_curve WHERE epoch < 60 AND val_loss IS NOT NULL),
+@query("f09_early_stop_tol", """WITH RECURSIVE v AS (SELECT * FROM v_curve WHERE epoch < 500 AND val_loss IS NOT NULL),
  s(run_id, epoch, best, best_epoch, wait, stopped_epoch, stop) AS (
  SELECT run_id, epoch, val_loss, epoch, 1, 0, false FROM v WHERE epoch = 0 UNION ALL
  SELECT v.run_id, v.epoch, CASE WHEN s.best - v.val_loss > 5e-1 THEN v.val_loss ELSE s.best END,
@@ -581,15 +584,14 @@ def _(t):
  SELECT run_id, best_epoch, best AS best_value, stopped_epoch, stop AS stopped FROM (
  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) AS rn FROM s) AS z WHERE rn = 1""")
 def _(t):
-    return A.early_stop_tol(t.curve, 5, 0.5, False, 60)
+    return A.early_stop_tol(t.curve, 5, 0.5, False, MAX_EPOCHS)
 
 
-@query("f10_running_best", f"""SELECT alg_name, dataset_name, trial_number, target_type, direction, objective, min(objective) OVER
- (PARTITION BY alg_name, dataset_name ORDER BY trial_number) AS best_so_far FROM ({OBJ_SQL}) AS o WHERE target_type = 'classification'""",
-       r="objective best_so_far")
+@query("f10_running_best", f"""SELECT alg_name, dataset_name, trial_number, target_type, direction, objective,
+ CASE direction WHEN 'maximize' THEN max(objective) OVER w ELSE min(objective) OVER w END AS best_so_far FROM ({OBJ_SQL}) AS o
+ WINDOW w AS (PARTITION BY alg_name, dataset_name, target_type ORDER BY trial_number)""", r="objective best_so_far")
 def _(t):
-    obj = _objective(t).filter("target_type = 'classification'")
-    return A.running_best(obj, ["alg_name", "dataset_name"], "trial_number", "objective", False)
+    return A.running_best(_objective(t), ["alg_name", "dataset_name", "target_type"], "trial_number", "objective", F.col("direction") == "maximize")
 
 
 # --- G -------------------------------------------------------------------------

@@ -196,24 +196,23 @@ def normalize_with(df: DataFrame, limits: DataFrame, key: str, value: str, lo: s
     )
 
 
-def running_best(df: DataFrame, keys: Sequence[str], trial: str, value: str, maximize: bool) -> DataFrame:
-    """Best objective up to each trial.
+def running_best(df: DataFrame, keys: Sequence[str], trial: str, value: str, maximize: bool | Column) -> DataFrame:
+    """Best objective up to each trial; `maximize` may be a condition that is the same for all rows of a key.
 
     Two levels, blocks of 1000 trials, so a study of any length is scanned in
     bounded windows.
     """
-    best = F.max if maximize else F.min
-    blocks = df.withColumn("_b", F.floor(F.col(trial) / 1000))
+    sign = F.when(maximize, -1.0).otherwise(1.0) if isinstance(maximize, Column) else F.lit(-1.0 if maximize else 1.0)
+    blocks = df.withColumns({"_b": F.floor(F.col(trial) / 1000), "_s": sign}).withColumn("_v", F.col(value) * F.col("_s"))
     inside = W.partitionBy(*keys, "_b").orderBy(trial).rangeBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = blocks.groupBy(*keys, "_b").agg(best(value).alias("_t"))
-    offs = totals.select(*keys, "_b", best("_t").over(before).alias("_o"))
-    pick = F.greatest if maximize else F.least
+    totals = blocks.groupBy(*keys, "_b").agg(F.min("_v").alias("_t"))
+    offs = totals.select(*keys, "_b", F.min("_t").over(before).alias("_o"))
     return (
-        blocks.withColumn("_i", best(value).over(inside))
+        blocks.withColumn("_i", F.min("_v").over(inside))
         .join(offs, [*keys, "_b"])
-        .withColumn("best_so_far", pick("_i", "_o"))
-        .drop("_i", "_o", "_b")
+        .withColumn("best_so_far", F.least("_i", "_o") * F.col("_s"))
+        .drop("_i", "_o", "_b", "_s", "_v")
     )
 
 

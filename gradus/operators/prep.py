@@ -99,9 +99,10 @@ def splits_from_indicators(df: DataFrame, row_id: str, cols: Sequence[str]) -> D
     return long.filter("flag = 1").select("split", row_id)
 
 
-def order_by_part(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+def order_by_part(df: DataFrame, row_id: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of train, then val, then test, within each of `keys`."""
     code = F.when(F.col("part") == "train", 0).when(F.col("part") == "val", 1).otherwise(2)
-    return df.withColumn("part_code", code).orderBy("part_code", row_id)
+    return df.withColumn("part_code", code).orderBy(*keys, "part_code", row_id)
 
 
 def subset_rows(df: DataFrame, row_id: str, n: int, method: str = "random", seed: int = 0) -> DataFrame:
