@@ -19,10 +19,6 @@ KNOWN_UNITS = 400_000
 JOINED = 64
 SPACE = "\u0120"  # a space byte in the model's alphabet; other ASCII signs stand for themselves
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 #: White space beyond ASCII, in UTF-8. Texts that hold some are not cut.
 _WIDE_WHITE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
@@ -30,16 +26,16 @@ _WIDE_WHITE = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe
 def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where each unit of a chunk of texts begins."""
     n = len(data)
-    white, letter = _WHITE[data], _LETTER[data]
-    start = np.zeros(n + 1, bool)
+    white = (data == 0x20) | (data - np.uint8(0x09) < 5)
+    letter = (data | np.uint8(0x20)) - np.uint8(0x61) < 26
     first = np.zeros(n + 1, bool)
     first[off] = True
     ends_run = np.zeros(n, bool)  # the last white space before a word of the same text
     ends_run[:-1] = white[:-1] & ~white[1:] & ~first[1:n]
-    before_white, here = white[:-1], data[1:]
-    start[1:n] = np.where(
-        white[1:], ~before_white | ends_run[1:],
-        np.where(before_white, data[:-1] != 0x20, letter[:-1] & ~letter[1:] & (here < 0x80)))
+    before, here = white[:-1], white[1:]
+    word_turn = letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+    start = np.zeros(n + 1, bool)
+    start[1:n] = here & (~before | ends_run[1:]) | ~here & (before & (data[:-1] != 0x20) | ~before & word_turn)
     start[off] = True
     return np.flatnonzero(start[:n])
 
@@ -97,8 +93,14 @@ class UnitEncoder:
         if len(data):
             start = unit_starts(data, off)
             end = np.append(start[1:], len(data))
-            hashes, first, unit = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
-            place = self._places(hashes, raw, start[first], end[first])[unit]
+            hashes = span_hash(prefix_hash(data), start, end)
+            order = np.argsort(hashes)
+            ranked = hashes[order]
+            new = np.ones(len(ranked), bool)
+            new[1:] = ranked[1:] != ranked[:-1]
+            first = order[new]
+            place = np.empty(len(order), np.int64)
+            place[order] = self._places(ranked[new], raw, start[first], end[first])[np.cumsum(new) - 1]
             begin, size = self.young.begin[place], self.young.size[place]
             to = np.append(0, np.cumsum(size))
             ids = self.young.ids[_ragged(begin, size)]
