@@ -215,6 +215,52 @@ def test_passages_of_families_that_share_a_phrase(spark):
     assert got == {i: [(60, 117)] if i >= 10 else [] for i in range(20)}
 
 
+def test_passages_in_a_chain_are_one_class(spark):
+    one, two = prose(2100, 60), prose(2200, 60)
+    held = [one, one + prose(2300, 30) + two, two, one, prose(2400, 90), prose(2500, 30) + two[:20]]
+    texts = [" ".join(prose(2600 + i, 40) + x + prose(2700 + i, 40)) for i, x in enumerate(held)]
+    got = {r.doc_id: r for r in windows.near_passages(frame(spark, texts)).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    assert got[2].first_id == 1
+
+
+def test_passages_are_alike_in_both_directions():
+    mine = np.arange(50, dtype=np.uint64)
+    other = np.concatenate([mine, np.tile(mine[10:15], 30), mine])
+    for a, b in ((mine, other), (other, mine)):
+        assert windows._alike(a, b, np.arange(len(a)), np.array([int(np.flatnonzero(b == x)[0 if i < 50 else -1]) for i, x in enumerate(a)]))
+
+
+def edited(rng, words, changes, clustered):
+    words, at = list(words), rng.integers(0, len(words) - 8)
+    places = at + rng.permutation(8)[:changes] if clustered else rng.permutation(len(words))[:changes]
+    for i in sorted(places, reverse=True):
+        words[i : i + 1] = [[f"new{i}"], [], [words[i], f"more{i}"]][rng.integers(0, 3)]
+    return words
+
+
+def test_planted_passages_are_found(spark):
+    """Edits spread or clustered, among documents that share lines: the whole search against Jaccard on the spans."""
+    rng = np.random.default_rng(5)
+    lines = [prose(3000 + i, n) for i, n in enumerate((8, 13, 20, 30))]
+    texts, planted = [], {}
+    for i in range(200):
+        words = prose(4000 + i, 60 + int(rng.integers(0, 100)))
+        first = words + lines[i % 4] + prose(5000 + i, 30)
+        shared = prose(6000 + i, int(rng.integers(54, 150)))
+        other = edited(rng, shared, 1 + len(shared) // 70, bool(i % 2))
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (shared, other))
+        if len(other) >= 50 and len(a & b) >= 0.8 * len(a | b):
+            planted[200 + i] = (len(first) - 30, len(other))
+        texts.append(" ".join(first[:-30] + shared + first[-30:]))
+        planted_text = prose(7000 + i, len(first) - 30 - len(lines[i % 4])) + lines[i % 4] + other + prose(8000 + i, 30)
+        texts.append(" ".join(planted_text))
+    texts = texts[::2] + texts[1::2]
+    got = {r.doc_id: {w for s in r.spans for w in range(s.s, s.e)} for r in windows.near_passages(frame(spark, texts)).collect()}
+    hit = [len(got.get(i, set()) & set(range(s, s + n))) >= 0.8 * n for i, (s, n) in planted.items()]
+    assert len(hit) > 100 and sum(hit) >= 0.98 * len(hit)
+
+
 def shingle_numbers(*texts):
     known = {}
     return [np.array([known.setdefault(tuple(t[i : i + 5]), len(known)) for i in range(len(t) - 4)], np.uint64) for t in texts]
