@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
@@ -55,8 +57,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a parquet table in the shared folder, written once.
 
     For derived tables that several passes read: later passes scan only the
-    columns they need, and a lost executor costs no recomputation.
+    columns they need, and a lost executor costs no recomputation. Shuffle
+    files of the write go when it has ended.
     """
-    path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_dir(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
