@@ -3,8 +3,8 @@
 The words of a source, its documents in a seeded hash order, form a line that is cut into blocks of equal length.
 Blocks are seats: the source with the highest quotient target / (2 seats + 1) gets the next one. As such allocations
 only grow with the number of seats, those at the bounds of the shards give each shard whole quotas. Which of its
-blocks a source gives is a seeded permutation of the block numbers; blocks are arithmetic on positions and are never
-rows of their own.
+blocks a source gives is a seeded permutation of the block numbers, which also deals them to the shards; each shard
+fills its own quota from its own blocks. Blocks are arithmetic on positions and are never rows of their own.
 """
 from __future__ import annotations
 
@@ -94,30 +94,53 @@ def _stride(seed: int) -> Column:
     return F.coalesce(*[F.when(F.col("blocks") % p != 0, F.lit(p)) for p in turned]).cast("bigint")
 
 
+def dealt(wanted: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS, repeats: int = MAX_REPEATS) -> DataFrame:
+    """One row per source: the columns of `wanted`, blocks, and `shards`, an array of (shard, first, size, seats).
+
+    Shard k holds the places first <= place < first + size of the source's permuted blocks, so sizes differ by one at
+    most, and takes `seats` blocks of them. Its seats are its quota, moved to a neighbouring shard only where a shard
+    would have to give a block more than `repeats` times; the source's sum stays.
+    """
+    seats = quotas(wanted, block, shards, repeats)
+    per = wanted.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("bigint"))
+    rows = per.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(
+        seats.select("name", "shard", (F.col("seats_before") + F.col("seats")).alias("upto")), ["name", "shard"], "left")
+    by = W.partitionBy("name").orderBy("shard")
+    bound = lambda k: F.floor(F.col("blocks") * k / F.lit(shards)).cast("bigint")
+    rows = rows.withColumns({"first": bound(F.col("shard")), "last": bound(F.col("shard") + 1), "upto": F.coalesce("upto", F.lit(0).cast("bigint"))})
+    # what the later shards cannot hold has to be given by here, and no more than the earlier ones can hold
+    least = F.max("upto").over(W.partitionBy("name")) - repeats * (F.col("blocks") - F.col("last"))
+    rows = rows.withColumn("upto", F.greatest("upto", least))
+    slack = F.least(F.min(F.col("upto") - repeats * F.col("last")).over(by), F.lit(0))
+    rows = rows.withColumn("upto", repeats * F.col("last") + slack)
+    rows = rows.withColumn("seats", F.col("upto") - F.coalesce(F.lag("upto").over(by), F.lit(0)))
+    cells = F.array_sort(F.collect_list(F.struct("shard", "first", (F.col("last") - F.col("first")).alias("size"), "seats")))
+    return rows.groupBy(*wanted.columns, "blocks").agg(cells.alias("shards"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of `docs`.
 
-    `taken` counts the words that the mix takes of the row, repeats counted: a source of b blocks with q seats gives
-    every block q // b times and the first q % b blocks of its permutation once more. Rows without words take
-    nothing; rows with equal ids are placed by (hash, id) and their order among equals does not change the sums.
+    `taken` counts the words that the mix takes of the row, repeats counted: a shard with b of a source's blocks and a
+    quota of q gives every one of them q // b times and its first q % b once more. Rows without words take nothing;
+    rows with equal ids are placed by (hash, id) and their order among equals does not change the sums.
     A null source is a source of its own. Reruns agree, since all order comes from hashes of ids.
     """
     base = written(sizes(docs).withColumn("name", _name()), "sizes")
     wanted = written(targets(base, weights, repeats), "targets")
-    seats = quotas(wanted, block, repeats=repeats).groupBy("name").agg(F.sum("seats").alias("seats"))
-    per = wanted.join(seats, "name", "left").withColumns({
-        "seats": F.coalesce("seats", F.lit(0).cast("bigint")),
-        "blocks": F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("bigint"),
-    })
-    per = per.withColumns({"full": F.floor(F.col("seats") / F.col("blocks")), "rest": F.pmod("seats", "blocks")})
+    per = written(dealt(wanted, block, repeats=repeats), "quotas")
     lines = base.withColumn("order", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn(
         "_bucket", F.call_function("shiftright", F.col("order"), F.lit(64 - 10)))
     ends = prefix_sums(lines.select("doc_id", "name", "size", "order", "_bucket", F.col("size").alias("end")), ["name"], ["order", "doc_id"], {"end": "end"})
     joined = ends.select("doc_id", "name", "size", "end").join(per, "name")
     joined = joined.withColumns({"start": F.col("end") - F.col("size"), "stride": _stride(seed), "shift": F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(1 << 30))})
-    chosen = lambda b: F.pmod(b * F.col("stride") + F.col("shift"), F.col("blocks")) < F.col("rest")
+    place = lambda b: F.pmod(b * F.col("stride") + F.col("shift"), F.col("blocks"))
+    shard = lambda p: F.get("shards", F.floor(((p + 1) * F.size("shards") - 1) / F.col("blocks")).cast("int"))
+    given = lambda p, s: F.floor(s["seats"] / s["size"]) + F.when(p - s["first"] < F.pmod(s["seats"], s["size"]), 1).otherwise(0)
     inside = lambda b: F.least(F.col("end"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
     numbers = F.sequence(F.floor(F.col("start") / block), F.floor((F.greatest("end", F.col("start") + 1) - 1) / block))
-    extra = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, b: a + F.when(chosen(b), inside(b)).otherwise(0))
-    taken = F.col("full") * F.col("size") + F.when(F.col("size") > 0, extra).otherwise(0)
+    parts = F.transform(numbers, lambda b: F.struct(inside(b).alias("words"), place(b).alias("place")))
+    parts = F.transform(parts, lambda x: F.struct(x["words"], x["place"], shard(x["place"]).alias("shard")))
+    words = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x["words"] * given(x["place"], x["shard"]))
+    taken = F.when(F.col("size") > 0, words).otherwise(0)
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
