@@ -18,11 +18,13 @@ SYMBOLS = "#*$%&|<>"
 
 VECTOR = ("log_word_chars", "log_symbols", "log_dup_lines", "log_repeat_words")
 #: Spread that a clean short text has by chance in each coordinate; no estimate goes below it.
-FLOOR = (0.06, 0.03, 0.1, 0.1)
+FLOOR = (0.06, 0.02, 0.08, 0.07)
 SUBSET = 0.75
 STEPS = 4
 MIN_ROWS = 50
-CUT_TAIL = 1e-6
+CUT_TAIL = 1e-3
+#: Models up to this many are sent to every executor (about 200 bytes each); beyond it rows meet them by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def chi2_tail(x: float, dof: int) -> float:
@@ -113,20 +115,24 @@ def _models(rows: DataFrame, group: list[str], scale: float) -> DataFrame:
     return sums.select(*group, "n", *[f"m{i}" for i in range(p)], *[e.alias(k) for k, e in _inverse(m).items()])
 
 
+def _sendable(table: DataFrame) -> DataFrame:
+    """A written table of one row a group, broadcast if its counted rows allow it, so that hot groups are not shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def estimates(rows: DataFrame, group: list[str]) -> DataFrame:
     """Minimum-covariance-determinant models, one row per group (mean m*, inverse scatter p**, rows n).
 
     The start are medians and mean absolute deviations; each concentration step takes the mean and covariance of the
     SUBSET of rows nearest to the last model, whose determinant never grows. Thresholds are mergeable quantile sketches
     and sums partial aggregates, so a hot group costs no more than others. The covariance is scaled to be right for a
-    normal core. Thresholds and models are written, one row per group, so that the rows meet a table of known size and
-    are not shuffled while it is small.
+    normal core. Thresholds and models are written, one row per group, counted, and broadcast up to BROADCAST_ROWS.
     """
     p = len(VECTOR)
     keep = [F.col(g) for g in group]
     medians = rows.groupBy(*group).agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 10000).alias(f"m{i}") for i, v in enumerate(VECTOR)])
     medians = written(medians, "medians")
-    near = rows.join(medians.drop("n"), group)
+    near = rows.join(_sendable(medians.drop("n")), group)
     spread = near.groupBy(*group).agg(*[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, v in enumerate(VECTOR)])
     variance = lambda i: F.pow(F.col(f"s{i}") * 1.4826, F.lit(2)) + FLOOR[i] ** 2
     start = medians.join(spread, group).select(
@@ -136,9 +142,9 @@ def estimates(rows: DataFrame, group: list[str]) -> DataFrame:
     inner = chi2_point(1 - SUBSET, p)
     scale = SUBSET / (1 - chi2_tail(inner, p + 2))
     for _ in range(STEPS):
-        scored = rows.join(models.drop("n"), group).select(*keep, *VECTOR, _distance(p).alias("d"))
+        scored = rows.join(_sendable(models.drop("n")), group).select(*keep, *VECTOR, _distance(p).alias("d"))
         bounds = written(scored.groupBy(*group).agg(F.percentile_approx("d", SUBSET, 10000).alias("bound")), "bounds")
-        core = scored.join(bounds, group).filter("d <= bound")
+        core = scored.join(_sendable(bounds), group).filter("d <= bound")
         models = written(_models(core, group, scale), "models")
     return models
 
@@ -160,10 +166,10 @@ def quality(docs: DataFrame, cut_tail: float = CUT_TAIL) -> DataFrame:
     parts = [f"m{i}" for i in range(p)] + [f"p{i}{j}" for i in range(p) for j in range(i, p)]
     enough = (F.col("n") >= MIN_ROWS * SUBSET) | (F.col("group") == "")
     models = estimates(base, ["group"]).filter(enough).select("group", F.struct(*parts).alias("model"))
-    chosen = stats
+    few, chosen = models.count() <= BROADCAST_ROWS, stats
     for k, level in enumerate(levels):
         one = models.select(F.col("group").alias(f"group_{k}"), F.col("model").alias(f"model_{k}"))
-        chosen = chosen.withColumn(f"level_{k}", level).join(one, F.col(f"level_{k}") == F.col(f"group_{k}"), "left")
+        chosen = chosen.withColumn(f"level_{k}", level).join(F.broadcast(one) if few else one, F.col(f"level_{k}") == F.col(f"group_{k}"), "left")
     chosen = chosen.withColumn("model", F.coalesce(*[f"model_{k}" for k in range(len(levels))]))
     scored = chosen.select(*stats.columns, *[F.col("model")[c].alias(c) for c in parts]).withColumn("distance", _distance(p))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_point(cut_tail, p))

@@ -80,6 +80,21 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert [got[i].base_failed for i in (0, 150, 175, 176)] == [False, False, True, True]
 
 
+def test_quality_rejects_an_outlier_in_each_coordinate(spark):
+    clean = ["\n".join(" ".join(prose(50 * i + j, 15 + i % 9)) for j in range(7)) for i in range(200)]
+    words = prose(9001, 110)
+    phrase = prose(9002, 9)
+    longer = " ".join(w + "xyz" for w in words)
+    symbols = " ".join(w + "#" if i % 10 == 0 else w for i, w in enumerate(words))
+    lines = "\n".join([" ".join(prose(9003, 12)), " ".join(prose(9004, 25)) + " " + " ".join(prose(9005, 20))] + ["a b"] * 6)
+    repeats = " ".join(prose(9006, 60) + phrase + prose(9007, 10) + phrase + prose(9008, 9) + phrase + prose(9009, 12) + phrase + phrase + phrase)
+    share = brute_statistics(repeats)
+    assert 0.3 < share[4] / share[0] < 0.5
+    got = {r.doc_id: r for r in robust.quality(frame(spark, clean + [longer, symbols, lines, repeats])).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert [got[i].base_failed for i in range(200, 204)] == [False] * 4 and not any(got[i].kept for i in range(200, 204))
+
+
 def test_estimates_match_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4)) * [0.3, 0.2, 0.4, 0.5] + [1, 2, 3, 4]
@@ -286,6 +301,34 @@ def test_quotas_are_sainte_lague(spark):
             assert sum(r.seats for r in got if r.name == s and r.shard == k) == after[s] - before[s]
 
 
+def test_shards_meet_their_quotas(spark):
+    want = [("0a", 16 * 997, 5300.0), ("0b", 16 * 40 + 3, 1900.0), ("0c", 16 * 333, 16 * 333 * 3.0), ("0d", 5, 15.0), ("1", 0, 0.0)]
+    wanted = spark.createDataFrame([(n, s, 1.0, t) for n, s, t in want], "name string, source_size bigint, weight double, target double")
+    quota = {}
+    for r in apportion.quotas(wanted).collect():
+        quota[r.name, r.shard] = r.seats
+    got = {r.name: r for r in apportion.dealt(wanted).collect()}
+    assert set(got) == {n for n, _, _ in want}
+    for name, r in got.items():
+        sizes, seats = [s["size"] for s in r.shards], [s["seats"] for s in r.shards]
+        assert sum(sizes) == r.blocks and max(sizes) - min(sizes) <= 1 and [s["first"] for s in r.shards] == [sum(sizes[:k]) for k in range(16)]
+        assert all(0 <= q <= 3 * s for q, s in zip(seats, sizes)) and sum(seats) == sum(quota.get((name, k), 0) for k in range(16))
+    assert [s["seats"] for s in got["0a"].shards] == [quota["0a", k] for k in range(16)]
+
+
+def test_mix_takes_each_shards_quota(spark):
+    rows = [(i, " ".join(["w"] * 16), "en", "ab"[i % 3 == 0], 0, "x", "y") for i in range(960)]
+    docs = spark.createDataFrame(rows, KINDS)
+    plan = {r.name: r for r in apportion.dealt(apportion.targets(apportion.sizes(docs).withColumn("name", apportion._name()))).collect()}
+    got = apportion.mix(docs).collect()
+    for source in "ab":
+        # documents of one block each: how often blocks are given follows from the shards' seats alone
+        times = sorted(r.taken // 16 for r in got if rows[r.doc_id][3] == source)
+        want = sorted(t for s in plan["0" + source].shards for t in
+                      [s["seats"] // s["size"] + (i < s["seats"] % s["size"]) for i in range(s["size"])])
+        assert times == want
+
+
 def test_mix_edges(spark):
     got = apportion.mix(edge_rows(spark)).collect()
     assert len(got) == 12 and all(r.taken <= 3 * r.size for r in got)
