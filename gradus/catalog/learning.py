@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gradus.catalog.preparation import NUM
 from gradus.catalog.registry import query
 from gradus.catalog.scoring import UNIT
 from gradus.operators import augment as J
@@ -22,12 +23,12 @@ def unit(seed: str, key: str = "row_id") -> str:
 
 
 # --- J ---------------------------------------------------------------------------
-@query("j01_bernoulli_mask", "SELECT row_id, " + ", ".join(f"CAST({unit(f'{c}-1')} < 3e-1 AS INT) AS {c}" for c in XS) + " FROM v_features")
+@query("j01_bernoulli_mask", "SELECT row_id, " + ", ".join(f"CAST({unit(f'{c}-1')} < 3e-1 AS INT) AS {c}" for c in NUM) + " FROM v_features")
 def _(t):
-    return J.bernoulli_mask(t.features, XS, 0.3, 1)
+    return J.bernoulli_mask(t.features, NUM, 0.3, 1)
 
 
-LONG = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {c} AS value FROM v_features" for c in XS)
+LONG = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {c} AS value FROM v_features" for c in NUM)
 
 
 @query("j02_corrupt", f"""WITH l AS ({LONG}), a AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(concat(row_id, '-', feature, '-a:5')), concat(row_id, '-', feature, '-a')) AS i FROM l),
@@ -35,7 +36,7 @@ LONG = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {c} AS value FROM v
  c AS (SELECT row_id, a.feature, value, CASE WHEN {unit('m-5', "row_id, '-', a.feature")} < 4e-1 THEN other ELSE value END AS corrupted FROM a JOIN b ON a.feature = b.feature AND a.i = b.i)
  SELECT *, CAST(value IS DISTINCT FROM corrupted AS INT) AS mask FROM c""")
 def _(t):
-    return J.corrupt(t.features, XS, 0.4, 5)
+    return J.corrupt(t.features, NUM, 0.4, 5)
 
 
 PERM = """pa AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat(row_id, ':{s}-a')), row_id) AS i FROM v_features),
@@ -43,22 +44,22 @@ PERM = """pa AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat(row_id, '
  pp AS (SELECT pa.row_id, pb.partner FROM pa JOIN pb ON pa.i = pb.i)"""
 
 
-@query("j03_mixup", f"""WITH {PERM.format(s=2)} SELECT a.row_id, pp.partner, 7e-1 * a.x1 + 3e-1 * b.x1 AS x1, 7e-1 * a.x2 + 3e-1 * b.x2 AS x2, a.y_bin AS y_a, b.y_bin AS y_b
- FROM v_features AS a JOIN pp ON a.row_id = pp.row_id JOIN v_features AS b ON b.row_id = pp.partner""", r="x1 x2")
+@query("j03_mixup", f"""WITH {PERM.format(s=2)} SELECT a.row_id, pp.partner, """ + ", ".join(f"7e-1 * a.{c} + 3e-1 * b.{c} AS {c}" for c in NUM) + """, a.y_bin AS y_a, b.y_bin AS y_b
+ FROM v_features AS a JOIN pp ON a.row_id = pp.row_id JOIN v_features AS b ON b.row_id = pp.partner""", r=" ".join(NUM))
 def _(t):
-    return J.mixup(t.features, ["x1", "x2"], "y_bin", 0.7, 2)
+    return J.mixup(t.features, NUM, "y_bin", 0.7, 2)
 
 
 @query("j04_cutmix", f"""WITH {PERM.format(s=3)} SELECT a.row_id, pp.partner, """ + ", ".join(
-    f"CASE WHEN {unit(f'{c}-3', 'a.row_id')} < 2e-1 THEN b.{c} ELSE a.{c} END AS {c}" for c in XS) + """
+    f"CASE WHEN {unit(f'{c}-3', 'a.row_id')} < 2e-1 THEN b.{c} ELSE a.{c} END AS {c}" for c in NUM) + """
  FROM v_features AS a JOIN pp ON a.row_id = pp.row_id JOIN v_features AS b ON b.row_id = pp.partner""")
 def _(t):
-    return J.cutmix(t.features, XS, 0.2, 3)
+    return J.cutmix(t.features, NUM, 0.2, 3)
 
 
-@query("j05_missing_noise", "SELECT row_id, " + ", ".join(f"CASE WHEN {unit(f'{c}-4')} < 1e-1 THEN 0e0 ELSE {c} END AS {c}" for c in XS) + " FROM v_features")
+@query("j05_missing_noise", "SELECT row_id, " + ", ".join(f"CASE WHEN {unit(f'{c}-4')} < 1e-1 THEN 0e0 ELSE {c} END AS {c}" for c in NUM) + " FROM v_features")
 def _(t):
-    return J.missing_noise(t.features.select("row_id", *XS), XS, 0.1, 4)
+    return J.missing_noise(t.features.select("row_id", *NUM), NUM, 0.1, 4)
 
 
 KINDS = ["1-URGENT", "2-HIGH", "5-LOW"]
@@ -75,9 +76,9 @@ def noise_sql(c: str, categorical: bool) -> str:
     return f"CASE WHEN {chosen} AND {u} < 4e-1 THEN {zero} WHEN {chosen} AND {u} < 4e-1 + 4e-1 THEN {draw} ELSE {base} END AS {c}, {chosen} AS {c}_masked"
 
 
-@query("j06_mask_noise", f"SELECT row_id, {noise_sql('x0', False)}, {noise_sql('k1', True)} FROM v_features", r="x0")
+@query("j06_mask_noise", "SELECT row_id, " + ", ".join(noise_sql(c, False) for c in NUM) + f", {noise_sql('k1', True)} FROM v_features", r=" ".join(NUM))
 def _(t):
-    return J.mask_noise(t.features.select("row_id", "x0", "k1"), ["x0", "k1"], {"k1": KINDS}, 0.5, 0.4, 0.4, 6)
+    return J.mask_noise(t.features.select("row_id", *NUM, "k1"), [*NUM, "k1"], {"k1": KINDS}, 0.5, 0.4, 0.4, 6)
 
 
 # --- C13 -------------------------------------------------------------------------

@@ -207,7 +207,7 @@ def _(t):
     return K.mf_info_ratios(K.mf_info(inp(t, []))).select("fold", (F.col("ns_ratio") / 1e3).alias("ns_ratio_thousands"))
 
 
-NB = ["x0", "x1", "x2"]
+NB = VAR
 NB_SQL = TRAIN + ", e AS (SELECT fold, 1e-9 * greatest(" + ", ".join(f"var_pop({c})" for c in NB) + """) AS eps FROM tr GROUP BY fold),
  c AS (SELECT fold, y_multi AS k, count(*) AS n, """ + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in NB) + """ FROM tr GROUP BY 1, 2),
  s AS (SELECT q.row_id, q.fold, q.y_multi AS y, c.k, ln(c.n) + """ + " + ".join(
@@ -222,7 +222,7 @@ def _(t):
     return K.mf_naive_bayes(inp(t, NB, []))
 
 
-SPLIT_COLS = ["x1", "x2", "x4"]
+SPLIT_COLS = VAR
 # brute force over every (fold, column, value); classes F, O, P
 STUMP = " UNION ALL ".join(f"""SELECT fold, '{c}' AS feature, {c} AS v, y_multi AS y, count(*) AS n FROM tr GROUP BY 1, 2, 3, 4""" for c in SPLIT_COLS)
 
@@ -321,7 +321,8 @@ def _(t):
     return K.summarise(vectors(t))
 
 
-WIDE = ["f__pymfe.general.freq_class.max", "f__pymfe.general.freq_class.histogram.3", "f__pymfe.info-theory.mut_inf.mean", "f__pymfe.statistical.max.quantiles.2"]
+WIDE = [f"f__pymfe.{v}.{s.replace('quantiles_', 'quantiles.').replace('histogram_', 'histogram.')}"
+        for v in ("general.freq_class", "info-theory.mut_inf", "statistical.max") for s in sorted(SUMS)]
 
 
 @query("k31_export_wide", TRAIN + ", " + sums_sql(VECTORS) + f""", u AS ({UNPIV})

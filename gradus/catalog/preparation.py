@@ -1,6 +1,7 @@
 """Queries over labelled tables: folds, encoding, imputing, scaling, checks."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gradus.catalog.registry import query
@@ -199,6 +200,17 @@ def _(t):
     return out.select("row_id", "fold", *[F.array_join(f"{c}_onehot", "").alias(c) for c in CAT])
 
 
+@query("i15_one_hot_sparse", f"WITH p AS ({PARTS_SQL}), {DOMS}, "
+       + ", ".join(f"h_{c} AS (SELECT p.fold, p.{c} AS v, {onehot_sql(c)} AS h FROM (SELECT DISTINCT fold, {c} FROM p) AS p)" for c in CAT)
+       + " SELECT p.row_id, p.fold, " + ", ".join(f"CAST(instr(h_{c}.h, '1') - 1 AS INT) AS {c}, CAST(length(h_{c}.h) AS INT) AS {c}_size" for c in CAT) + " FROM p "
+       + " ".join(f"JOIN h_{c} ON h_{c}.fold = p.fold AND h_{c}.v IS NOT DISTINCT FROM p.{c}" for c in CAT))
+def _(t):
+    out = P.one_hot_sparse(t.folds.select("row_id", "test_fold", *CAT), CAT)
+    cells = {c: vector_to_array(f"{c}_onehot") for c in CAT}
+    return out.select("row_id", "fold", *[e for c, a in cells.items() for e in (
+        (F.array_position(a, 1.0) - 1).cast("int").alias(c), F.size(a).alias(f"{c}_size"))])
+
+
 @query("i16_subset_rows", f"SELECT row_id, x1 FROM v_features ORDER BY {order_of(5)} LIMIT 1000")
 def _(t):
     return P.subset_rows(t.features.select("row_id", "x1"), "row_id", 1000, "random", 5)
@@ -369,16 +381,17 @@ def _(t):
     return train.agg(F.count("*").alias("n_train"))
 
 
-PROC = ["x0", "x1", "x2"]
+PROC = NUM
 
 
 @query("i38_process_data", IMPUTED + ", " + scale_sql("q", PROC, 1000) + f", {DOMS}, "
-       + ", ".join(f"h_{c} AS (SELECT p.fold, p.{c} AS v, {onehot_sql(c)} AS h FROM (SELECT DISTINCT fold, {c} FROM p) AS p)" for c in ["k1"])
-       + " SELECT o.row_id, o.fold, o.part, o.x0, o.x1, o.x2, h_k1.h AS k1 FROM out AS o JOIN h_k1 ON h_k1.fold = o.fold AND h_k1.v IS NOT DISTINCT FROM o.k1",
-       r="x0 x1 x2")
+       + ", ".join(f"h_{c} AS (SELECT p.fold, p.{c} AS v, {onehot_sql(c)} AS h FROM (SELECT DISTINCT fold, {c} FROM p) AS p)" for c in CAT)
+       + " SELECT o.row_id, o.fold, o.part, " + ", ".join(f"o.{c}" for c in PROC) + ", " + ", ".join(f"h_{c}.h AS {c}" for c in CAT) + " FROM out AS o "
+       + " ".join(f"JOIN h_{c} ON h_{c}.fold = o.fold AND h_{c}.v IS NOT DISTINCT FROM o.{c}" for c in CAT),
+       r=" ".join(PROC))
 def _(t):
-    out = P.process_data(t.folds.select("row_id", "test_fold", *PROC, "k1"), PROC, ["k1"])
-    return out.select("row_id", "fold", "part", *PROC, F.array_join("k1_onehot", "").alias("k1"))
+    out = P.process_data(t.folds.select("row_id", "test_fold", *PROC, *CAT), PROC, CAT)
+    return out.select("row_id", "fold", "part", *PROC, *[F.array_join(f"{c}_onehot", "").alias(c) for c in CAT])
 
 
 @query("i39_preprocess", "SELECT row_id, test_fold, CAST(dense_rank() OVER (ORDER BY y_multi) - 1 AS INT) AS y_multi, " + ", ".join(

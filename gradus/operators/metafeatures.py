@@ -19,7 +19,7 @@ from gradus.functions.scalar import safe_div
 from gradus.operators.prep import fill_values, fixed_stats, imputed_value_counts
 from gradus.plans.folds import N_FOLDS, sum_over_train, to_train_folds, train_weights, weight_fold
 from gradus.plans.moments import fold_moments, kurtosis, skewness
-from gradus.plans.ordering import cut_points, exact_quantiles, hash_order, melt, prefix_sums, value_buckets
+from gradus.plans.ordering import BUCKET, cut_points, exact_quantiles, hash_order, melt, prefix_sums, value_buckets
 from gradus.session import written
 
 WEIGHTS = [f"w{i}" for i in range(N_FOLDS)]
@@ -517,49 +517,49 @@ def mf_naive_bayes(x: Input) -> DataFrame:
     return _balanced(scored.select("fold", "y", best["y"].alias("pred")), "naive_bayes")
 
 
-def stumps(x: Input, seed: int = 0) -> DataFrame:
-    """Best binary split of every numeric column per fold, by information gain.
+def _n_log_n(c: Column) -> Column:
+    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
+
 
-    Counts per (fold, column, value) with one column per class give running
-    class counts on the left of each value; the split is at most that value.
-    Rows without a label are left out. Returns (fold, feature, threshold, gain, left, right).
+def stumps(x: Input, seed: int = 0) -> DataFrame:
+    """Best binary split of every numeric column per fold, by information gain, for any number of classes.
+
+    n times the entropy of a side is n log n minus the sum of c log c over its classes. Moving one (value, class)
+    cell from right to left changes one term on either side, so running sums of these changes along the values give
+    both entropies: a first pass counts each class up to a value, a second adds up the changes. Folds are columns of
+    both passes, and no column, plan branch or row holds all classes. The split is at most that value; equal gains
+    go to the smallest, and a side's label is its most frequent class, ties to the smallest. Rows without a label
+    are left out. Returns (fold, feature, threshold, gain, left, right).
     """
-    labels = sorted(r["y"] for r in x.class_counts.select("y").filter("y IS NOT NULL").limit(1001).collect())
-    if len(labels) > 1000:
-        raise ValueError("more than 1000 classes")
     counts = written(_imputed_class_counts(x).filter("y IS NOT NULL"), "class-value-counts")
-    per = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(w).alias("c")) for i, w in enumerate(WEIGHTS)]))
-    cell = counts.select("feature", "value", "y", per.alias("e")).select("feature", "value", "y", "e.*").filter("c > 0")
-    n = [f"n{i}" for i in range(len(labels))]
-    wide = cell.groupBy("fold", "feature", "value").agg(
-        *[F.sum(F.when(F.col("y") == lab, F.col("c")).otherwise(0)).alias(a) for a, lab in zip(n, labels)])
-    keys = ["fold", "feature"]
-    left = [f"l{i}" for i in range(len(labels))]
-    cum = prefix_sums(value_buckets(wide, "value", cut_points(counts, "value")), keys, ["value"], dict(zip(left, n)))
-    total = wide.groupBy(*keys).agg(*[F.sum(a).alias(f"t{i}") for i, a in enumerate(n)])
-    j = cum.join(F.broadcast(total), keys)
-
-    def size(cols: Sequence[Column]) -> Column:
-        return reduce(lambda a, b: a + b, cols)
-
-    def info(cols: Sequence[Column]) -> Column:
-        """n times the entropy in bits."""
-        s = size(cols)
-        parts = [F.when(c > 0, c * F.log2(c)).otherwise(0.0) for c in cols]
-        return F.when(s > 0, s * F.log2(s)).otherwise(0.0) - size(parts)
-
-    lc = [F.col(c) for c in left]
-    tc = [F.col(f"t{i}") for i in range(len(labels))]
-    rc = [t - l for t, l in zip(tc, lc)]
-    gain = (info(tc) - info(lc) - info(rc)) / size(tc)
-
-    def majority(cols: Sequence[Column]) -> Column:
-        top = F.greatest(*cols) if len(cols) > 1 else cols[0]
-        return F.coalesce(*[F.when(c == top, F.lit(lab)) for c, lab in zip(cols, labels)])
-
-    splits = j.withColumns({"gain": F.round(gain, 9), "left": majority(lc), "right": F.when(size(rc) > 0, majority(rc)).otherwise(majority(lc))})
-    best = splits.groupBy(*keys).agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("value").alias("v"), "left", "right")).alias("b"))
-    return best.select(*keys, F.col("b.v").alias("threshold"), (-F.col("b.g")).alias("gain"), F.col("b.left").alias("left"), F.col("b.right").alias("right"))
+    folds = range(N_FOLDS)
+    of_class = prefix_sums(value_buckets(counts, "value", cut_points(counts, "value")), ["feature", "y"], ["value"], {f"l{i}": w for i, w in enumerate(WEIGHTS)})
+    total = counts.groupBy("feature", "y").agg(*[F.sum(w).alias(f"t{i}") for i, w in enumerate(WEIGHTS)])
+    cell = of_class.join(total, ["feature", "y"])
+
+    def changes(i: int) -> list[Column]:
+        c, after, rest = F.col(f"w{i}"), F.col(f"l{i}"), F.col(f"t{i}") - F.col(f"l{i}")
+        return [F.sum(_n_log_n(after) - _n_log_n(after - c)).alias(f"a{i}"), F.sum(_n_log_n(rest) - _n_log_n(rest + c)).alias(f"b{i}"), F.sum(c).alias(f"n{i}")]
+
+    step = cell.groupBy("feature", BUCKET, "value").agg(*[c for i in folds for c in changes(i)])
+    along = prefix_sums(step, ["feature"], ["value"], {f"s{k}{i}": f"{k}{i}" for i in folds for k in "abn"})
+    whole = total.groupBy("feature").agg(*[e for i in folds for e in (F.sum(f"t{i}").alias(f"n_all{i}"), F.sum(_n_log_n(F.col(f"t{i}"))).alias(f"c_all{i}"))])
+    j = along.join(F.broadcast(whole), "feature")  # one row a column of the table
+
+    def gain(i: int) -> Column:
+        n, terms, left = F.col(f"n_all{i}"), F.col(f"c_all{i}"), F.col(f"sn{i}")
+        sides = _n_log_n(left) - F.col(f"sa{i}") + _n_log_n(n - left) - terms - F.col(f"sb{i}")
+        return F.round((_n_log_n(n) - terms - sides) / n, 9)
+
+    top = lambda i: F.min(F.when(F.col(f"n{i}") > 0, F.struct((-gain(i)).alias("g"), F.col("value").alias("v"))))
+    best = written(j.groupBy("feature").agg(*[top(i).alias(f"best{i}") for i in folds]), "splits")
+    below = lambda i: F.sum(F.when(F.col("value") <= F.col(f"best{i}.v"), F.col(f"w{i}")).otherwise(0))
+    sides = counts.join(F.broadcast(best), "feature").groupBy("feature", "y").agg(F.array(*[
+        F.struct(F.lit(i).alias("fold"), F.first(f"best{i}").alias("b"), below(i).alias("l"), (F.sum(f"w{i}") - below(i)).alias("r")) for i in folds]).alias("e"))
+    sides = sides.select("feature", "y", F.explode("e").alias("e")).select("feature", "y", "e.*").filter("b IS NOT NULL")
+    most = lambda c: F.min(F.struct((-F.col(c)).alias("n"), "y"))["y"]
+    picked = sides.groupBy("fold", "feature").agg(F.first("b").alias("b"), most("l").alias("left"), F.when(F.sum("r") > 0, most("r")).alias("right"))
+    return picked.select("fold", "feature", F.col("b.v").alias("threshold"), (-F.col("b.g")).alias("gain"), "left", F.coalesce("right", "left").alias("right"))
 
 
 def _imputed_class_counts(x: Input) -> DataFrame:

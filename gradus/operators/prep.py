@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradus.functions.scalar import bit, safe_div
@@ -569,7 +570,8 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None, li
 
     A category the fold's training part has not seen gives all zeros, as does
     a null. The domain is a table of categories; more than `limit` of them
-    make an error, as the output itself would have that many cells per row.
+    make an error, as the output itself would have that many cells per row:
+    one_hot_sparse takes any number.
     `fit` gives the rows to fit on where `df` holds each row once per fold.
     """
     domains = one_hot_domains(df if fit is None else fit, cols)
@@ -590,6 +592,38 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None, li
     return out
 
 
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+    """One sparse 0/1 vector per categorical column, `{c}_onehot`, for domains of any size.
+
+    The category's number in byte order comes from a join with the table of categories, not from an expression per
+    category; which folds' training parts have seen it is a mask of one bit a fold. What a fold has not seen, and a
+    null, gives all zeros, and so does a column without any category (a vector of one zero). The table of categories
+    is broadcast up to `broadcast_rows` counted rows. `fit` gives the rows to fit on where `df` holds each row once
+    per fold.
+    """
+    domains = one_hot_domains(df if fit is None else fit, cols)
+    seen = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"w{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(N_FOLDS)])
+    masks = written(domains.select("feature", "value", seen.alias("seen")), "category-masks")
+    index = written(sorted_codes(masks, ["feature"], "value").join(masks, ["feature", "value"]), "category-index")
+    sizes = {r["feature"]: r["n"] for r in index.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # one row a column
+    few = sum(sizes.values()) <= broadcast_rows
+    out = df
+    for k, c in enumerate(cols):
+        one = index.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias(f"_code{k}"), F.col("seen").alias(f"_seen{k}"))
+        out = out.join(F.broadcast(one) if few else one, c, "left")
+    out = out if "fold" in df.columns else assign_parts(out)
+    bit_of_fold = F.call_function("shiftleft", F.lit(1), F.col("fold"))
+    for k, c in enumerate(cols):
+        known = F.col(f"_seen{k}").bitwiseAND(bit_of_fold) > 0
+        out = out.withColumn(f"_code{k}", F.when(known, F.col(f"_code{k}")).otherwise(sizes.get(c, 0) or 1).cast("double"))
+    # an index beyond the domain is the encoder's dropped last category: all zeros
+    widths = df.sparkSession.range(1).select(*[F.lit(float((sizes.get(c, 0) or 1) - 1)).alias(f"_code{k}") for k, c in enumerate(cols)])
+    names = [f"_code{k}" for k in range(len(cols))]
+    model = OneHotEncoder(inputCols=names, outputCols=[f"{c}_onehot" for c in cols], handleInvalid="keep").fit(widths)
+    rest = [c for c in (df.columns if "fold" in df.columns else [*df.columns, "fold", "part"])]
+    return model.transform(out).select(*rest, *[f"{c}_onehot" for c in cols])
+
+
 def fit_bins(df: DataFrame, col: str, bins: int = 32) -> list[float]:
     """Edges of equal-frequency bins, duplicates dropped: at most bins + 1 numbers."""
     counts = df.select(F.lit(col).alias("feature"), F.col(col).cast("double").alias("value")).filter("value IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradus.functions import scalar as S
 from gradus.operators import analysis as A
+from gradus.operators import metafeatures as K
 from gradus.operators import metrics as M
 from gradus.operators import neighbors as N
 from gradus.operators import prep as P
@@ -208,6 +209,68 @@ def test_unknown_category_is_all_zero(spark):
     assert out.filter("fold = 6 AND row_id = 3").first().k_onehot == [0, 0, 1]
 
 
+def test_sparse_one_hot_of_many_categories(spark):
+    # 50,000 categories, half of the rows in one of them; each other one stands in a single test fold
+    n = 50_000
+    df = spark.range(2 * n).select(F.col("id").alias("row_id"), (F.col("id") % 10).cast("int").alias("test_fold"),
+                                   F.when(F.col("id") < n, F.lit("hot")).when(F.col("id") == n, None).otherwise(F.format_string("c%06d", F.col("id") - n)).alias("k"))
+    for limit in (100_000, 10):
+        out = P.one_hot_sparse(df, ["k"], broadcast_rows=limit).filter("row_id IN (5, 50000, 50003, 99999)").collect()
+        assert len(out) == 40 and all(r.k_onehot.size == n for r in out)
+        for r in out:
+            unseen = r.k is None or r.k != "hot" and r.test_fold in (r.fold, (r.fold + 1) % 10)
+            want = [] if unseen else [n - 1 if r.k == "hot" else int(r.k[1:]) - 1]
+            assert list(r.k_onehot.indices) == want, (r.row_id, r.fold)
+
+
+def test_sparse_one_hot_edges(spark):
+    df = fold_frame(spark, [(i, i % 10, 0.0, 0.0, "only" if i == 3 else ("a", "b", None)[i % 3]) for i in range(40)])
+    dense = {(r.row_id, r.fold): r.k_onehot for r in P.one_hot(df, ["k"]).collect()}
+    sparse = P.one_hot_sparse(df, ["k"])
+    assert {(r.row_id, r.fold): [int(v) for v in r.k_onehot.toArray()] for r in sparse.collect()} == dense
+    assert P.one_hot_sparse(df.limit(0), ["k"]).count() == 0
+    empty = P.one_hot_sparse(df.withColumn("k", F.lit(None).cast("string")), ["k"]).first().k_onehot
+    assert empty.size == 1 and empty.numNonzeros() == 0
+
+
+def test_stumps_of_many_classes(spark):
+    # 2,000 classes whose order follows x: the best split of x halves them, z tells nothing
+    rows = [(i, i % 10, float(i // 30), 1.0, f"c{i // 30:04d}") for i in range(60_000)]
+    df = spark.createDataFrame(rows, "row_id bigint, test_fold int, x double, z double, y string")
+    got = {(r.fold, r.feature): r for r in K.stumps(K.Input(df, ["x", "z"], [], "y")).collect()}
+    assert len(got) == 20
+    for fold in range(10):
+        x, z = got[fold, "x"], got[fold, "z"]
+        assert x.threshold == 999.0 and abs(x.gain - 1.0) < 1e-8 and (x.left, x.right) == ("c0000", "c1000")
+        assert z.gain == 0 and z.threshold == 1.0 and z.left == z.right == "c0000"
+
+
+def test_stumps_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x, z, y = rng.integers(0, 40, 600), rng.normal(size=600).round(1), rng.integers(0, 7, 600)
+    y = np.where(x > 25, y % 3, y)
+    rows = [(i, i % 10, float(x[i]) if i % 11 else None, float(z[i]), None if i % 50 == 7 else f"c{y[i]}") for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id bigint, test_fold int, x double, z double, y string")
+    got = {(r.fold, r.feature): r for r in K.stumps(K.Input(df, ["x", "z"], [], "y")).collect()}
+
+    def entropy(labels):
+        n = np.unique(labels, return_counts=True)[1]
+        return -(n / n.sum() * np.log2(n / n.sum())).sum() if len(labels) else 0.0
+
+    for fold in range(10):
+        train = [r for r in rows if r[1] not in (fold, (fold + 1) % 10)]
+        for name, k in (("x", 2), ("z", 3)):
+            mean = np.mean([r[k] for r in train if r[k] is not None])
+            v = np.array([mean if r[k] is None else r[k] for r in train if r[4] is not None])
+            lab = np.array([r[4] for r in train if r[4] is not None])
+            gains = {t: entropy(lab) - np.mean(v <= t) * entropy(lab[v <= t]) - np.mean(v > t) * entropy(lab[v > t]) for t in np.unique(v)}
+            g = got[fold, name]
+            best = max(gains.values())
+            assert abs(g.gain - best) < 1e-8 and abs(gains[min(gains, key=lambda t: abs(t - g.threshold))] - best) < 1e-8
+            sides = [lab[v <= g.threshold + 1e-9], lab[v > g.threshold + 1e-9]]
+            assert [g.left, g.right] == [max(sorted(set(s)), key=list(s).count) for s in sides]
+
+
 def test_fold_moments_of_large_offset_keep_their_digits(spark):
     df = fold_frame(spark, [(i, i % 10, 1e9 + (i % 7), 0.0, "a") for i in range(700)])
     train = [1e9 + (i % 7) for i in range(700) if i % 10 not in (0, 1)]
