@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gradus.catalog.preparation import CAT, IMPUTED, NUM
 from gradus.catalog.registry import query
 from gradus.operators import metafeatures as K
+from gradus.operators.information import nearest_information
 
 VAR = ["x0", "x1", "x2", "x3", "x4"]
 TRAIN = IMPUTED + ", tr AS (SELECT * FROM q WHERE part = 'train') "
@@ -358,6 +359,28 @@ def _(t):
     return K.mutual_information(t.features, ["x2", "x4"], ["k0", "k1"], "y_multi")
 
 
+def psi(x: str) -> str:
+    z = f"({x} + 6e0)"
+    series = f"ln({z}) - 1 / (2 * {z}) - 1 / (12 * pow({z}, 2)) + 1 / (120 * pow({z}, 4)) - 1 / (252 * pow({z}, 6)) + 1 / (240 * pow({z}, 8))"
+    return f"({series} - " + " - ".join(f"1 / ({x} + {j}e0)" for j in range(6)) + ")"
+
+
+def nearest_sql(source: str) -> str:
+    """Brute force, row by row: the third neighbour of the same class, then all rows strictly nearer."""
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), (SELECT avg(CAST({c} AS DOUBLE)) FROM {source}), 0) AS v, y_multi AS y FROM {source}" for c in VAR)
+    beside = ", ".join(f"abs(v - {f}(v, {i}) OVER w)" for f in ("lag", "lead") for i in (1, 2, 3))
+    return f"""l AS ({rows}), b AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY feature, y) AS n FROM l WHERE y IS NOT NULL) AS a WHERE n > 1),
+ d AS (SELECT *, least(3, n - 1) AS k, list_sort(list_filter([{beside}], lambda z: z IS NOT NULL)) AS ds FROM b WINDOW w AS (PARTITION BY feature, y ORDER BY v)),
+ r AS (SELECT *, ds[k] * (1 - 1e-12) AS r FROM d),
+ m AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY v RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m FROM r),
+ mi AS (SELECT feature, greatest(0, ({psi('count(*)')} + avg({psi('k')} - {psi('n')} - {psi('m')})) / ln(2)) AS mut_inf FROM m GROUP BY feature)"""
+
+
+@query("g05_nearest_information", "WITH " + nearest_sql("v_features") + " SELECT feature, mut_inf FROM mi", r="mut_inf")
+def _(t):
+    return nearest_information(t.features, NUM, "y_multi")
+
+
 @query("g05_select_k_best")
 def _(t):
     keep, _scores = K.select_k_best(t.folds.filter("test_fold > 1"), NUM + CAT, NUM, "y_multi", 3)

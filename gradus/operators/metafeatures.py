@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradus.functions.scalar import safe_div
+from gradus.operators.information import nearest_information
 from gradus.operators.prep import fill_values, fixed_stats, imputed_value_counts
 from gradus.plans.folds import N_FOLDS, sum_over_train, to_train_folds, train_weights, weight_fold
 from gradus.plans.moments import fold_moments, kurtosis, skewness
@@ -456,14 +457,23 @@ def mutual_information(df: DataFrame, numeric: Sequence[str], categorical: Seque
     return joint.join(attr, "feature").join(cls, "feature").select("feature", (F.col("a") + F.col("k") - F.col("j")).alias("mut_inf"))
 
 
-def select_k_best(df: DataFrame, features: Sequence[str], numeric: Sequence[str], y: str, k: int) -> tuple[list[str], DataFrame]:
+def select_k_best(
+    df: DataFrame, features: Sequence[str], numeric: Sequence[str], y: str, k: int, estimate: str = "nearest",
+) -> tuple[list[str], DataFrame]:
     """The k features that tell most about y, in table order, and their scores.
 
-    Binned mutual information stands in for the nearest-neighbour estimate.
-    Fit on the first training part and reuse the names for every other part.
+    Numeric columns are judged by the nearest-neighbour estimate, or with `estimate="binned"` in equal-frequency bins;
+    categories by their counts. Fit on the first training part and reuse the names for every other part.
     """
+    if estimate not in ("nearest", "binned"):
+        raise ValueError(f"unknown estimate: {estimate}")
     num = [c for c in features if c in set(numeric)]
-    scores = mutual_information(df, num, [c for c in features if c not in set(num)], y)
+    cat = [c for c in features if c not in set(num)]
+    if estimate == "binned" or not num:
+        scores = mutual_information(df, num, cat, y)
+    else:
+        scores = nearest_information(df, num, y)
+        scores = scores.unionByName(mutual_information(df, [], cat, y)) if cat else scores
     top = {r["feature"] for r in scores.orderBy(F.desc(F.round("mut_inf", 9)), "feature").limit(k).collect()}
     return [c for c in features if c in top], scores
 

@@ -12,6 +12,7 @@ from gradus.operators import analysis as A
 from gradus.operators import metafeatures as K
 from gradus.operators import metrics as M
 from gradus.operators import neighbors as N
+from gradus.operators.information import nearest_information
 from gradus.operators import prep as P
 from gradus.plans import leaderboard as L
 from gradus.plans import ordering as O
@@ -271,6 +272,37 @@ def test_stumps_match_brute_force(spark):
             assert [g.left, g.right] == [max(sorted(set(s)), key=list(s).count) for s in sides]
 
 
+def test_nearest_information(spark):
+    def psi(n):
+        return -0.5772156649015329 + sum(1 / j for j in range(1, n))
+
+    rng = np.random.default_rng(11)
+    y = rng.integers(0, 3, 500)
+    x, z = np.round(y * 2 + rng.normal(size=500), 2), rng.integers(0, 4, 500).astype(float)
+    rows = [(float(a) if i % 17 else None, float(b), 7.0, None if i % 40 == 1 else f"c{c}") for i, (a, b, c) in enumerate(zip(x, z, y))]
+    rows.append((1.5, 2.0, 7.0, "alone"))
+    rows += [(0.5, 9.0, 7.0, "pair"), (0.75, 8.0, 7.0, "pair")]
+    df = spark.createDataFrame(rows, "x double, z double, one double, y string")
+    # ranges of five rows, so that most neighbours are borrowed, and one range for all
+    small, large = [{r.feature: r.mut_inf for r in nearest_information(df, ["x", "z", "one"], "y", rows=n).collect()} for n in (5, 10_000)]
+    for k, name in enumerate(("x", "z", "one")):
+        mean = np.mean([r[k] for r in rows if r[k] is not None])
+        labels = [r[3] for r in rows]
+        use = [(mean if r[k] is None else r[k], r[3]) for r in rows if r[3] is not None and labels.count(r[3]) > 1]
+        v, lab = np.array([p[0] for p in use]), np.array([p[1] for p in use])
+        total = psi(len(v))
+        for a, c in zip(v, lab):
+            n = int((lab == c).sum())
+            kk = min(3, n - 1)
+            r = np.sort(np.abs(v[lab == c] - a))[kk] * (1 - 1e-12)
+            total += (psi(kk) - psi(n) - psi(int(((v >= a - r) & (v <= a + r)).sum()))) / len(v)
+        want = max(0.0, total / math.log(2))
+        assert abs(small[name] - want) < 1e-8 and abs(large[name] - want) < 1e-8
+    assert small["x"] > 0.5 > small["z"]
+    assert nearest_information(df.limit(0), ["x"], "y").count() == 0
+    assert nearest_information(df.withColumn("y", F.lit(None).cast("string")), ["x"], "y").count() == 0
+
+
 def test_fold_moments_of_large_offset_keep_their_digits(spark):
     df = fold_frame(spark, [(i, i % 10, 1e9 + (i % 7), 0.0, "a") for i in range(700)])
     train = [1e9 + (i % 7) for i in range(700) if i % 10 not in (0, 1)]
