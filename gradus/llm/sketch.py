@@ -49,6 +49,18 @@ def with_sketch(rows: DataFrame, text: str, out: str, size: int = SHINGLE, bits:
     return rows.select(*kept, sketch.alias(out))
 
 
+def merged(sketches: list[str], bits: int = FRACTION_BITS) -> Column:
+    """The sketch of a text from those of its parts, equal to sketching the whole.
+
+    The parts must hold all shingles of the text and no others, so neighbouring ones share the words of a shingle but
+    one, and none is shorter than a shingle unless it is empty or the whole. A hash that
+    a part kept only for want of one below the threshold goes if another part brings real ones; else the smallest stays.
+    """
+    every = F.array_sort(F.array_distinct(F.concat(*[F.col(c) for c in sketches])))
+    low = F.filter(every, lambda h: h < F.lit(-(2**63) + 2 ** (64 - bits)))
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(every, 1, 1))
+
+
 def resemblance(a: str, b: str) -> Column:
     """Estimated Jaccard similarity; 1 for two empty sketches."""
     shared = F.size(F.array_intersect(a, b))

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.llm import apportion, codec, htmldiff, maglev, robust, sketch, unigram
 from tests.llm.common import KINDS, WORD, edge_rows, frame, prose
@@ -405,3 +406,19 @@ def test_placement(spark, tmp_path):
     assert len(got) == 12 and maglev.place(spark.createDataFrame([], KINDS), "doc_id", names, 1009).count() == 0
     maglev.write_shards(frame(spark, ["a"] * 50), "doc_id", str(tmp_path / "out"), names, 1009)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_sketches_of_parts_merge_to_that_of_the_whole(spark):
+    rows = []
+    for i in range(60):
+        words = prose(700 + i, 20 + i)
+        a, b = len(words) // 3, 2 * len(words) // 3
+        over = sketch.SHINGLE - 1
+        rows.append((" ".join(words), " ".join(words[: a + over]), " ".join(words[a : b + over]), " ".join(words[b:])))
+    rows += [("", "", "", ""), ("one two", "one two", "", None)]
+    df = spark.createDataFrame(rows, "whole string, a string, b string, c string")
+    for c in "abc":
+        df = sketch.with_sketch(df, c, f"s_{c}")
+    df = sketch.with_sketch(df, "whole", "s").withColumn("m", sketch.merged(["s_a", "s_b", "s_c"]))
+    got = df.select("s", "m", F.size("s_a").alias("n")).collect()
+    assert len(got) == 62 and all(r.s == r.m for r in got)
