@@ -18,7 +18,7 @@ from gradus.functions.scalar import bit, safe_div
 from gradus.plans.folds import N_FOLDS, assign_parts, part_of, train_weights, weight_fold
 from gradus.plans.moments import fold_moments
 from gradus.plans.ordering import (
-    hash_row_index, hash_uniform, melt, quantile_grid, row_index, sorted_codes,
+    first_in_hash_order, hash_cut, hash_row_index, hash_uniform, melt, quantile_grid, row_index, sorted_codes,
 )
 from gradus.session import written
 
@@ -61,10 +61,13 @@ def train_minus_val(train: DataFrame, val: DataFrame) -> DataFrame:
     return train.join(val, "row_id", "left_anti")
 
 
-def tail_split(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The last n rows by order are the test part."""
+def tail_split(df: DataFrame, order: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
+    """The last n rows by order, then by `tie`, are the test part.
+
+    A numeric `tie` also spreads an order value that many rows share over several tasks.
+    """
     total = df.count()
-    out = row_index(df, order, out="_i")
+    out = row_index(df, order, tie, out="_i")
     return out.withColumn("part", F.when(F.col("_i") >= total - n, "test").otherwise("train")).drop("_i")
 
 
@@ -73,16 +76,16 @@ def size_split(df: DataFrame, row_id: str, n_train: int, n_valid: int, seed: int
 
     When the sizes exceed the table, the parts are as full as it allows.
     """
-    out = hash_row_index(df, row_id, seed, out="_i")
-    part = F.when(F.col("_i") < n_train, "train").when(F.col("_i") < n_train + n_valid, "val")
-    return out.withColumn("part", part).drop("_i").filter("part IS NOT NULL")
+    among = lambda n: first_in_hash_order(row_id, hash_cut(df, row_id, n, seed), seed) if n > 0 else F.lit(False)
+    part = F.when(among(n_train), "train").when(among(n_train + n_valid), "val")
+    return df.withColumn("part", part).filter("part IS NOT NULL")
 
 
 def frac_split(df: DataFrame, row_id: str, frac: float, seed: int = 0) -> DataFrame:
     """A sample of exactly round(frac * n) rows and its complement."""
     cut = round(frac * df.count())
-    out = hash_row_index(df, row_id, seed, out="_i")
-    return out.withColumn("part", F.when(F.col("_i") < cut, "sample").otherwise("rest")).drop("_i")
+    inside = first_in_hash_order(row_id, hash_cut(df, row_id, cut, seed), seed) if cut > 0 else F.lit(False)
+    return df.withColumn("part", F.when(inside, "sample").otherwise("rest"))
 
 
 def stratified_holdout(df: DataFrame, row_id: str, y: str, frac: float, seed: int = 0) -> DataFrame:
@@ -107,16 +110,17 @@ def order_by_part(df: DataFrame, row_id: str = "row_id", keys: Sequence[str] = (
 
 
 def subset_rows(df: DataFrame, row_id: str, n: int, method: str = "random", seed: int = 0) -> DataFrame:
-    """Exactly n rows at random, or the first n by id; all rows when n < 0 or enough."""
+    """Exactly n rows at random, or the first n by id; all rows when n < 0 or enough.
+
+    Ids are unique. The random rows are those up to the n-th smallest hash, a filter that needs no shuffle of rows.
+    """
     if n < 0:
         return df
     if method == "random":
-        out = hash_row_index(df, row_id, seed, out="_i")
-    elif method == "first":
-        out = row_index(df, row_id, out="_i")
-    else:
-        raise ValueError(f"unknown row subset method: {method}")
-    return out.filter(F.col("_i") < n).drop("_i")
+        return df.filter(first_in_hash_order(row_id, hash_cut(df, row_id, n, seed), seed)) if n else df.filter(F.lit(False))
+    if method == "first":
+        return row_index(df, row_id, out="_i").filter(F.col("_i") < n).drop("_i")
+    raise ValueError(f"unknown row subset method: {method}")
 
 
 def first_features(features: Sequence[str], k: int) -> list[str]:

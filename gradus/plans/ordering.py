@@ -84,6 +84,41 @@ def hash_row_index(
     return ranked.drop("_h", BUCKET)
 
 
+def hash_cut(df: DataFrame, row_id: str, n: int, seed: int | str = 0, few: int = 10_000) -> str | None:
+    """The n-th smallest hash_order of a table's rows (n at least 1); None if there are fewer.
+
+    Rows with equal ids share a hash and are taken or left together; a null id has none.
+
+    Rows are counted per hash prefix, and only the prefix that holds the wanted rank is counted again with three more
+    digits, until few rows share it. Each pass reads the id column, shuffles counts of at most 4,096 prefixes and
+    sends no more than these, or `few` hashes, to the driver; rows are never shuffled.
+    """
+    hashes = df.select(hash_order(row_id, seed).alias("_h"))
+    prefix, before = "", 0
+    while True:
+        inside = hashes.filter(F.col("_h").startswith(prefix)) if prefix else hashes
+        digits = len(prefix) + 3
+        counts = inside.groupBy(F.substring("_h", 1, digits).alias("p")).agg(F.count("*").alias("n"))
+        found = None
+        for r in sorted(counts.filter("p IS NOT NULL").collect(), key=lambda r: r["p"]):
+            if before + r["n"] >= n:
+                found = r
+                break
+            before += r["n"]
+        if found is None:
+            return None
+        prefix = found["p"]
+        if found["n"] <= few or digits >= 32:
+            break
+    at = hashes.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(n - before).collect() if found["n"] <= few else [{"_h": prefix}]
+    return at[-1]["_h"]
+
+
+def first_in_hash_order(row_id: str, cut: str | None, seed: int | str = 0) -> Column:
+    """Whether a row is among those up to hash_cut's; always if that is None."""
+    return F.lit(True) if cut is None else F.coalesce(hash_order(row_id, seed) <= F.lit(cut), F.lit(False))
+
+
 def _sketch(df: DataFrame, col: str, n: int | None) -> list[float]:
     n = n or max(16, 4 * shuffle_partitions(df.sparkSession))
     probs = [i / n for i in range(1, n)]

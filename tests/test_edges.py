@@ -1,4 +1,5 @@
 """Hand-made frames: ties, nulls, zero ranges, missing classes, hot keys."""
+import hashlib
 import itertools
 import math
 import random
@@ -303,6 +304,29 @@ def test_nearest_information(spark):
     assert nearest_information(df.withColumn("y", F.lit(None).cast("string")), ["x"], "y").count() == 0
 
 
+def test_hash_cut_is_the_rank_in_hash_order(spark):
+    df = spark.range(3000).withColumnRenamed("id", "row_id").withColumn("v", F.lit(1))
+    order = sorted(range(3000), key=lambda i: hashlib.md5(f"{i}:4".encode()).hexdigest())
+    for few in (1, 50, 10_000):
+        for n in (1, 2, 1499, 2999, 3000):
+            cut = O.hash_cut(df, "row_id", n, 4, few=few)
+            assert cut == hashlib.md5(f"{order[n - 1]}:4".encode()).hexdigest()
+    assert O.hash_cut(df, "row_id", 3001, 4) is None
+    assert {r.row_id for r in P.subset_rows(df, "row_id", 700, "random", 4).collect()} == set(order[:700])
+    assert [P.subset_rows(df, "row_id", n, "random", 4).count() for n in (-1, 0, 5000)] == [3000, 0, 3000]
+    plan = P.subset_rows(df, "row_id", 700, "random", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    parts = {r.part: r.n for r in P.size_split(df, "row_id", 1000, 4000, 4).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert parts == {"train": 1000, "val": 2000}
+
+
+def test_tail_split_with_ties(spark):
+    df = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 5).alias("v"))
+    got = P.tail_split(df, "v", 900, ["row_id"]).filter("part = 'test'").collect()
+    want = sorted(((7 if i % 3 > 0 else i % 5), i) for i in range(5000))[-900:]
+    assert sorted(r.row_id for r in got) == sorted(i for _, i in want)
+
+
 def test_fold_moments_of_large_offset_keep_their_digits(spark):
     df = fold_frame(spark, [(i, i % 10, 1e9 + (i % 7), 0.0, "a") for i in range(700)])
     train = [1e9 + (i % 7) for i in range(700) if i % 10 not in (0, 1)]
