@@ -93,11 +93,10 @@ def long_rows(df: DataFrame, group: str, cols: Sequence[str], attribute: bool =
 def mf_general(x: Input) -> DataFrame:
     """nr_inst, nr_attr, nr_num, nr_cat, nr_bin, nr_class per fold."""
     cls = fold_sums(x.class_counts, [], {"nr_inst": lambda w: w, "nr_class": lambda w: (w > 0).cast("int")})
-    num = fold_sums(x.value_counts, ["feature"], {"k": lambda w: (w > 0).cast("int")})
-    both = num
+    counts = [x.value_counts] if x.numeric else []
     if x.categorical:
-        cats = x.category_counts.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in WEIGHTS])
-        both = num.unionByName(fold_sums(cats, ["feature"], {"k": lambda w: (w > 0).cast("int")}))
+        counts.append(x.category_counts.groupBy("feature", "value").agg(*[F.sum(w).alias(w) for w in WEIGHTS]))
+    both = reduce(DataFrame.unionByName, [fold_sums(c, ["feature"], {"k": lambda w: (w > 0).cast("int")}) for c in counts])
     binary = both.groupBy("fold").agg(F.count_if(F.col("k") == 2).alias("nr_bin"))
     return cls.join(binary, "fold").select(
         "fold", "nr_inst", F.lit(len(x.numeric) + len(x.categorical)).alias("nr_attr"), F.lit(len(x.numeric)).alias("nr_num"),
@@ -711,23 +710,51 @@ def pending_featurisation(catalog: DataFrame, done: DataFrame) -> DataFrame:
     return todo.join(done.select(F.col("dataset_name").alias("_k")), "_k", "left_anti").drop("_k")
 
 
-def attribute_vectors(x: Input) -> DataFrame:
-    """The long metafeature vectors of the aggregate-only groups."""
-    stats = mf_column_stats(x)
-    frames = [long_rows(stats, "statistical", [c for c in stats.columns if c not in ("fold", "feature")], attribute=True),
-              long_rows(mf_sparsity(x), "statistical", ["sparsity"], attribute=True)]
-    freq = mf_freq_class(x).withColumnRenamed("y", "feature")
-    frames.append(long_rows(freq, "general", ["freq_class"], attribute=True))
+def attribute_vectors(x: Input) -> list[DataFrame]:
+    """The long metafeature vectors: one value per column, pair of columns, class or eigenvalue."""
+    wide = lambda df, group: long_rows(df, group, [c for c in df.columns if c not in ("fold", "feature")], attribute=True)
+    frames = [wide(mf_freq_class(x).withColumnRenamed("y", "feature"), "general")]
+    if x.numeric:
+        frames += [wide(f(x), "statistical") for f in (mf_column_stats, mf_means, mf_sparsity)]
+        eigen = mf_eigenvalues(x).select("fold", F.col("k").cast("string").alias("feature"), F.col("eigenvalue").alias("eigenvalues"))
+        frames.append(wide(eigen, "statistical"))
+    if len(x.numeric) > 1:
+        pair = F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string"))
+        frames.append(wide(mf_cor_cov(x).select("fold", pair.alias("feature"), "cor", "cov"), "statistical"))
     if x.categorical:
-        frames.append(long_rows(mf_info(x), "info-theory", ["attr_ent", "joint_ent", "mut_inf"], attribute=True))
-    return reduce(DataFrame.unionByName, frames)
+        frames += [wide(mf_info(x).drop("class_ent"), "info-theory"), wide(mf_class_conc(x), "info-theory")]
+    if len(x.categorical) > 1:
+        conc = mf_attr_conc(x).select("fold", F.concat_ws("-", "given", "target").alias("feature"), "attr_conc")
+        frames.append(wide(conc, "info-theory"))
+    return frames
+
+
+def landmarks(x: Input) -> tuple[DataFrame, list[str]]:
+    """One row per fold with every landmark learner's balanced accuracy, and their names."""
+    names = ["naive_bayes", "best_node", "random_node", "worst_node", "linear_discr"]
+    return written(mf_naive_bayes(x).join(mf_nodes(x), "fold", "outer").join(mf_linear_discr(x), "fold", "outer").select("fold", *names), "landmarks"), names
 
 
 def featurise(x: Input) -> DataFrame:
-    """Long metafeatures (fold, grp, feature, summary, value) of every fold."""
+    """Long metafeatures (fold, grp, feature, summary, value) of every fold, all groups.
+
+    Scalars have no summary; vectors have every one of SUMMARIES, unless all of their values are null. Groups that need numeric columns, categories or pairs
+    of them are left out where the table has none. Each operator's rows are written before they meet, so that the plan
+    of the whole stays a union of small tables and a lost executor repeats one operator.
+    """
+    single = lambda df, group: long_rows(df, group, [c for c in df.columns if c != "fold"])
     general = mf_general(x)
-    scalars = [long_rows(general, "general", [c for c in general.columns if c != "fold"]),
-               long_rows(mf_ratios(general), "general", ["attr_to_inst", "inst_to_attr", "cat_to_num", "num_to_cat"]),
-               long_rows(mf_class_ent(x), "info-theory", ["class_ent"])]
-    flat = reduce(DataFrame.unionByName, scalars).select("fold", "grp", "feature", F.lit(None).cast("string").alias("summary"), "value")
-    return summarise(attribute_vectors(x)).unionByName(flat)
+    scalars = [single(general, "general"), single(mf_ratios(general), "general"), single(mf_class_ent(x), "info-theory")]
+    if x.numeric:
+        scalars += [single(f(x), "statistical") for f in (mf_outliers, mf_gravity, mf_nr_norm, mf_scatter)]
+        marks, names = landmarks(x)
+        scalars.append(single(marks, "landmarking"))
+        scalars.append(mf_relative(marks.withColumns({n: F.round(n, 9) for n in names}), names).select(
+            "fold", F.lit("relative").alias("grp"), "feature", F.lit(None).cast("string").alias("attribute"), F.col("rank").cast("double").alias("value")))
+    if len(x.numeric) > 1:
+        scalars.append(single(mf_nr_cor_attr(mf_cor_cov(x)), "statistical"))
+    if x.categorical:
+        scalars.append(single(mf_info_ratios(mf_info(x)), "info-theory"))
+    kept = lambda frames: reduce(DataFrame.unionByName, [written(f, "metafeatures") for f in frames])
+    flat = kept(scalars).select("fold", "grp", "feature", F.lit(None).cast("string").alias("summary"), "value")
+    return summarise(kept(attribute_vectors(x))).unionByName(flat)

@@ -327,6 +327,33 @@ def test_tail_split_with_ties(spark):
     assert sorted(r.row_id for r in got) == sorted(i for _, i in want)
 
 
+def test_featurise_has_every_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 10, float(abs(rng.normal()) + 1 + i % 3), float(rng.normal()), "ab"[i % 2], "xyz"[int(rng.integers(3))], f"c{i % 3}") for i in range(240)]
+    x = K.Input(spark.createDataFrame(rows, "row_id bigint, test_fold int, x double, z double, k string, m string, y string"), ["x", "z"], ["k", "m"], "y")
+    got = K.featurise(x).collect()
+    value = {(r.fold, r.grp, r.feature, r.summary): r.value for r in got}
+    assert len(value) == len(got)
+    scalars = {"nr_inst", "nr_attr", "nr_num", "nr_cat", "nr_bin", "nr_class", "attr_to_inst", "inst_to_attr", "cat_to_num", "num_to_cat", "class_ent",
+               "nr_outliers", "gravity", "nr_norm", "nr_cor_attr", *K.SCATTER, "naive_bayes", "best_node", "random_node", "worst_node", "linear_discr",
+               "eq_num_attr", "ns_ratio"}
+    assert {r.feature for r in got if r.summary is None} == scalars
+    vectors = {"freq_class", "mean", "sd", "var", "min", "max", "range", "median", "mad", "iq_range", "skewness", "kurtosis", "g_mean", "h_mean", "t_mean",
+               "sparsity", "eigenvalues", "cor", "cov", "attr_ent", "joint_ent", "mut_inf", "class_conc", "attr_conc"}
+    assert vectors <= {r.feature for r in got if r.summary is not None}
+    assert {r.feature for r in got if r.grp == "relative"} == {"naive_bayes", "best_node", "random_node", "worst_node", "linear_discr"}
+    for fold, name in itertools.product(range(10), ("gravity", "nr_norm", "nr_outliers")):
+        assert (fold, "statistical", name, None) in value
+    for r in K.mf_linear_discr(x).collect():
+        assert math.isclose(value[r.fold, "landmarking", "linear_discr", None], r.linear_discr)
+    conc = {}
+    for r in K.mf_attr_conc(x).collect():
+        conc.setdefault(r.fold, []).append(r.attr_conc)
+    assert all(math.isclose(value[f, "info-theory", "attr_conc", "mean"], np.mean(v), abs_tol=1e-12) for f, v in conc.items())
+    only = K.Input(x.df, [], ["k", "m"], "y")
+    assert {r.grp for r in K.featurise(only).collect()} == {"general", "info-theory"}
+
+
 def test_fold_moments_of_large_offset_keep_their_digits(spark):
     df = fold_frame(spark, [(i, i % 10, 1e9 + (i % 7), 0.0, "a") for i in range(700)])
     train = [1e9 + (i % 7) for i in range(700) if i % 10 not in (0, 1)]
