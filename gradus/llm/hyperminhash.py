@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradus.llm.components import components
-from gradus.llm.text import buffers, chunks, mix, shingle_sets
+from gradus.llm.text import buffers, chunks, grouped, mix, shingle_sets
 from gradus.session import written
 
 REGISTERS, ROWS, MANTISSA, VALUE_BITS = 256, 6, 9, 52
@@ -168,26 +168,6 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a bigint, b bigint")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """The rows of each key of a partition that is sorted by its first columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(i).to_numpy() for i in range(n_keys)])
-        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            now = tuple(keys[:, a])
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _linker(size: int, percent: int):
     """Links between components within each group of two sides; a link that joins nothing new is not looked for.
 
@@ -197,7 +177,7 @@ def _linker(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for group in _grouped(batches, 3):
+        for group in grouped(batches, 3):
             side, ids, component = (group.column(n).to_numpy() for n in ("side", "doc_id", "component"))
             seeds, more = (group.column(n).to_numpy() for n in ("seeds", "more_seeds"))
             reg, more_reg = (np.frombuffer(b"".join(group.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS) for n in ("sketch", "more_sketch"))

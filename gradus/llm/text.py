@@ -134,6 +134,26 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int, lower: bool = Tru
     return distinct_sets(s, d)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key of a partition that is sorted by its first columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(n_keys)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            now = tuple(keys[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """`name`, with underscores added until no column (in any case) has it."""
     taken = {c.lower() for c in columns}

@@ -1,9 +1,13 @@
 """Near-duplicate passages by compact windows.
 
-Under one hash function every passage of a text is represented by its smallest shingle hash. The Cartesian tree of the
-hashes groups passages by it: the node at position c stands for all passages within [l, r] that hold c, where l and r
-reach to the next smaller values. Only nodes that span a passage of the least length are kept, about 2 / 47 per word
-and hash function. Passages that are nearly equal share nodes' hashes under most functions.
+Every passage of blocks of words is represented by the smallest hash among its blocks. The Cartesian tree of the hashes
+groups passages by it: the node at position c stands for all passages within [l, r] that hold c, where l and r reach to
+the next smaller values. Only nodes that span a passage of the least length are kept, about 2 / 6 per word.
+
+A passage that is alike to another holds a stretch of RUN words that stands in both: at similarity 0.8 a change costs
+at least four shingles of one text, so at least four times as many are shared for each (the least is met by phrases of four
+words that are doubled in place; changed, new and lost words leave 24). Both texts keep the node of the smallest block of that
+stretch, so they meet in the group of its hash.
 """
 from __future__ import annotations
 
@@ -15,16 +19,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from gradus.llm.components import components
-from gradus.llm.text import buffers, chunks, fresh, lower_ascii, mix, shingles, word_hashes, words
+from gradus.llm.text import buffers, chunks, fresh, grouped, lower_ascii, mix, shingles, word_hashes, words
 from gradus.session import written
 
 SIZE = 5
 MIN_WORDS = 50
-HASHES = 6  # at most 16, four bits of a key
-ENOUGH = 2
+RUN, BLOCK = 16, 12  # words of the stretch that alike passages share, and of a block
 SIMILARITY = 0.8
 JOIN_GAP = 2 * SIZE
-APART = 2 * SIZE
+SMALL = 32  # members of a group whose pairs are rows
+CELL = 500
+AROUND = MIN_WORDS - SIZE
+FAR = 84  # 5 x the shingles of a shortest passage that one text has alone + 4 x the other's, near some node of alike passages; 82 at most, by one gap
 
 PAIR = "doc_id bigint, first_id bigint, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>"
 
@@ -70,55 +76,24 @@ def compact_windows(values: np.ndarray, doc: np.ndarray, least: int) -> tuple[np
     return c, l, r
 
 
-def _text_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _text_shingles(data: np.ndarray, off: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of every full shingle; position within the document is the first word's."""
     h, doc, _, _ = word_hashes(lower_ascii(data), off)
-    s, d, _ = shingles(h, doc, len(off) - 1, SIZE)
+    s, d, _ = shingles(h, doc, len(off) - 1, size)
     count = np.bincount(doc, minlength=len(off) - 1)
-    full = count[d] >= SIZE
+    full = count[d] >= size
     return s[full], d[full]
 
 
-def _windows(least: int, n_hashes: int, spans: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, off in chunks(batch):
-                s, d = _text_shingles(data, off)
-                first = np.searchsorted(d, np.arange(part.num_rows))
-                for k in range(n_hashes):
-                    v = mix(s, 300 + k)
-                    c, l, r = compact_windows(v, d, least)
-                    # the low bits of a key tell its hash function
-                    ids, key = part.column(0).take(pa.array(d[c])), pa.array((mix(v[c]) & ~np.uint64(15) | np.uint64(k)).view(np.int64))
-                    if not spans:
-                        yield pa.RecordBatch.from_arrays([key, ids], names=["key", "doc_id"])
-                        continue
-                    at = first[d[c]]
-                    yield pa.RecordBatch.from_arrays([key, ids, pa.array((c - at).astype(np.int32)), pa.array((l - at) << 32 | (r - at))], names=["key", "doc_id", "c", "span"])
-
-    return run
-
-
-def _regions(k: np.ndarray, l: np.ndarray, r: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches that the windows of at least ENOUGH hash functions cover."""
-    marks: list[tuple[int, int]] = []
-    for one in np.unique(k):
-        own = sorted(zip(l[k == one], r[k == one] + 1))
-        start, end = own[0]
-        for a, b in own[1:]:
-            if a > end:
-                marks += [(start, 1), (end, -1)]
-                start, end = a, b
-            end = max(end, b)
-        marks += [(start, 1), (end, -1)]
-    out, depth, began = [], 0, 0
-    for at, step in sorted(marks):
-        if depth < ENOUGH <= depth + step:
-            began = at
-        if depth >= ENOUGH > depth + step and at > began:
-            out.append((int(began), int(at)))
-        depth += step
-    return out
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, off in chunks(batch):
+            s, d = _text_shingles(data, off, BLOCK)
+            v = mix(s, 300)
+            c = compact_windows(v, d, RUN - BLOCK + 1)[0]
+            at = c - np.searchsorted(d, np.arange(part.num_rows))[d[c]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[c].view(np.int64)), part.column(0).take(pa.array(d[c])), pa.array(at.astype(np.int32))], names=["key", "doc_id", "c"])
 
 
 def passages(mine: np.ndarray, other: np.ndarray, regions: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -247,80 +222,16 @@ def _alike(mine: np.ndarray, other: np.ndarray, pos: np.ndarray, there: np.ndarr
     return a, b + SIZE - 1, c, d + SIZE - 1
 
 
-def _reaching(least: int):
-    """Pairs of documents with the regions that can hold a passage."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = [], []
-            for i in range(batch.num_rows):
-                k, span = (np.asarray(batch.column(j)[i].values) for j in (2, 3))
-                if got := [x for x in _regions(k, span >> 32, span & 0xFFFFFFFF) if x[1] - x[0] >= least]:
-                    rows.append(i)
-                    found.append(got)
-            ids = [batch.column(j).take(pa.array(rows, pa.int64())) for j in range(2)]
-            ends = [pa.array([[x[j] for x in got] for got in found], pa.list_(pa.int32())) for j in range(2)]
-            yield pa.RecordBatch.from_arrays(ids + ends, names=["doc_id", "first_id", "los", "his"])
-
-    return run
-
-
-def _combined(least: int):
-    """Windows of two functions that lie near each other in a document, one of them open, as one key.
-
-    The least positions of a shortest passage under two functions are less than `least` apart, and the windows have
-    most of a passage in common.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.combine_chunks()
-            doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-            flat = lists.flatten()
-            key, c, span, live = (np.asarray(flat.field(j)) for j in range(4))
-            order = np.lexsort((key, c, doc))
-            doc, key, c, span, live = (x[order] for x in (doc, key, c, span, live))
-            l, r = span >> 32, span & 0xFFFFFFFF
-            for step in range(1, len(doc)):
-                x = np.flatnonzero((doc[step:] == doc[:-step]) & (c[step:] - c[:-step] < least))
-                if not len(x):
-                    break
-                y = x + step
-                lo, hi = np.maximum(l[x], l[y]), np.minimum(r[x], r[y]) + 1
-                use = ((key[x] ^ key[y]) & 15 != 0) & ((live[x] | live[y]) != 0) & (hi - lo >= SIMILARITY * least)
-                x, y, lo, hi = x[use], y[use], lo[use], hi[use]
-                low = np.where(key[x] & 15 < key[y] & 15, key[x], key[y])
-                both = mix(mix(low.view(np.uint64)) ^ (key[x] ^ key[y]).view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both), batch.column(0).take(pa.array(doc[x])), *(pa.array(v.astype(np.int32)) for v in (c[x], c[y], lo, hi))],
-                    names=["key", "doc_id", "c", "d", "lo", "hi"])
-
-    return run
-
-
-def _joined(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted disjoint regions that cover the same positions."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(regions):
-        if out and lo <= out[-1][1]:
-            out[-1] = out[-1][0], max(hi, out[-1][1])
-        else:
-            out.append((lo, hi))
-    return out
-
-
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, off in chunks(batch):
             s, d = _text_shingles(data, off)
             other, other_doc = _text_shingles(*buffers(part.column(part.schema.get_field_index("first_text"))))
             mine_at, other_at = np.searchsorted(d, np.arange(part.num_rows + 1)), np.searchsorted(other_doc, np.arange(part.num_rows + 1))
-            lists = [part.column(part.schema.get_field_index(c)) for c in ("los", "his")]
             rows, spans = [], []
             for i in range(part.num_rows):
-                regions = _joined(list(zip(*(x[i].as_py() for x in lists))))
                 own, theirs = s[mine_at[i] : mine_at[i + 1]], other[other_at[i] : other_at[i + 1]]
-                if len(own) and len(theirs) and (got := passages(own, theirs, regions)):
+                if len(own) and len(theirs) and (got := passages(own, theirs, [(0, len(own))])):
                     rows.append(i)
                     spans.append(got)
             yield pa.RecordBatch.from_arrays(
@@ -330,9 +241,9 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The passages of pairs (doc_id, first_id, los, his), written."""
+    """The passages of pairs (doc_id, first_id), written."""
     joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
-    return written(joined.select("doc_id", "first_id", "los", "his", "text", "first_text").mapInArrow(_verifier, PAIR), "passages")
+    return written(joined.select("doc_id", "first_id", "text", "first_text").mapInArrow(_verifier, PAIR), "passages")
 
 
 def _spans_of(links: DataFrame) -> DataFrame:
@@ -340,49 +251,160 @@ def _spans_of(links: DataFrame) -> DataFrame:
     return links.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("p")).groupBy("doc_id").agg(F.collect_set("p").alias("ps"))
 
 
-def _covered(of: str) -> Column:
-    return F.coalesce(F.exists("ps", lambda p: (F.col(of) >= p["starts"]) & (F.col(of) < p["ends"])), F.lit(False))
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that equal an earlier one (doc_id, first_id, text) as passages."""
+    for batch in batches:
+        for part, data, off in chunks(batch):
+            n = np.bincount(words(data, off)[2], minlength=part.num_rows)
+            rows = np.flatnonzero(n >= MIN_WORDS)
+            ids = [part.column(j).take(pa.array(rows)) for j in (0, 1)]
+            none, all_ = ([[int(x)] for x in v] for v in (np.zeros(len(rows)), n[rows]))
+            spans = [pa.array(x, pa.list_(pa.int32())) for x in (none, all_, none, all_)]
+            yield pa.RecordBatch.from_arrays(ids + spans, names=["doc_id", "first_id", "starts", "ends", "first_starts", "first_ends"])
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id, c, around): the shingles next to each place c of a text (doc_id, w: its keys and places, text)."""
+    for batch in batches:
+        for part, data, off in chunks(batch):
+            s, d = _text_shingles(data, off)
+            first = np.searchsorted(d, np.arange(part.num_rows + 1))
+            lists = part.column(1)
+            row, flat = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths())), lists.flatten()
+            at = first[row] + flat.field(1).to_numpy()
+            lo, hi = np.maximum(at - AROUND, first[row]), np.minimum(at + AROUND + 1, first[row + 1])
+            around = pa.array([s[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pa.array(row)), flat.field(1), around], names=["key", "doc_id", "c", "around"])
 
 
-def passage_links(docs: DataFrame, n_hashes: int = HASHES) -> DataFrame:
+def _alone(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of a shortest passage the texts next to nodes, `a` and `b`, cannot share, for each pair: those of `a`, of `b`.
+
+    A shingle that a text repeats counts as shared.
+    """
+    sides, both = [], np.intersect1d(np.concatenate(a), np.concatenate(b))
+    for x in (a, b):
+        h, row = np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])
+        order = np.lexsort((h, row))
+        again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+        once = np.ones(len(h), bool)
+        once[order[1:][again]] = once[order[:-1][again]] = False
+        sides.append((h, row, once))
+    found = [np.bincount(sides[0][1][~sides[0][2]], minlength=len(a))[:, None] + np.zeros((len(a), len(b)), np.float32),
+             np.bincount(sides[1][1][~sides[1][2]], minlength=len(b))[None, :] + np.zeros((len(a), len(b)), np.float32)]
+    for at in range(0, len(both), 4096):
+        some = both[at : at + 4096]
+        single, held = [], []
+        for (h, row, once), x in zip(sides, (a, b)):
+            k = np.minimum(np.searchsorted(some, h), len(some) - 1)
+            hit = some[k] == h
+            single.append(np.zeros((len(x), len(some)), np.float32))
+            single[-1][row[hit & once], k[hit & once]] = 1
+            held.append(np.zeros((len(x), len(some)), np.float32))
+            held[-1][row[hit], k[hit]] = 1
+        found[0] += single[0] @ held[1].T
+        found[1] += held[0] @ single[1].T
+    return tuple(np.maximum(AROUND + 1 - x, 0) for x in found)
+
+
+def _near_there(best: bool):
+    """Open pairs of each cell that share enough around the node; `best`: of each text's, the nearest for either reason to be open."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in grouped(batches, 3):
+            side, ids, component, covered = (cell.column(n).to_numpy() for n in ("side", "doc_id", "component", "covered"))
+            around = [np.frombuffer(x, np.uint64) for x in cell.column("around").to_pylist()]
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
+            later = ids[left][:, None] > ids[right][None, :]
+            own, others = _alone([around[i] for i in left], [around[i] for i in right])
+            share = np.maximum(FAR + 1 - np.where(later, 5 * own + 4 * others, 4 * own + 5 * others), 0)
+            share[ids[left][:, None] == ids[right][None, :]] = 0
+            foreign = component[left][:, None] != component[right][None, :]
+            bare = np.where(later, ~covered[left][:, None], ~covered[right][None, :])
+            if best:
+                pairs = []
+                for x in (np.where(foreign, share, 0), np.where(bare, share, 0)):
+                    for axis in (0, 1):
+                        k, at = np.flatnonzero(x.any(axis=axis)), x.argmax(axis=axis)
+                        pairs.append((at[k], k) if axis == 0 else (k, at[k]))
+                x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+            else:
+                x, y = np.nonzero((share > 0) & (foreign | bare))
+            x, y = ids[left[x]], ids[right[y]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["doc_id", "first_id"])
+
+    return run
+
+
+def _open_members(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, doc_id, c, component, covered, n, main) of groups that their smallest id leaves open, written.
+
+    Two members need not be held against each other if they are of one component and the later one's window lies in a
+    passage that an earlier document holds. The smallest id has met all others, so it is no member.
+    """
+    parts = components(links.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))).toDF("doc_id", "component")
+    inside = F.coalesce(F.exists("ps", lambda p: (F.col("c") >= p["starts"]) & (F.col("c") + BLOCK <= p["ends"])), F.lit(False))
+    marked = shared.filter("doc_id > first_id").join(parts, "doc_id", "left").join(_spans_of(links), "doc_id", "left")
+    marked = marked.select("key", "doc_id", "c", F.coalesce("component", "doc_id").alias("component"), inside.alias("covered"))
+    seen = marked.groupBy("key").agg(
+        F.count("*").alias("n"), F.bool_and("covered").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main"))
+    return written(marked.join(seen.filter("n > 1 and not (all and low = high)").select("key", "n", "main"), "key"), "open")
+
+
+def _pairs_of_small(members: DataFrame) -> DataFrame:
+    one = members.select("key", "doc_id", F.col("component").alias("own"), "covered")
+    two = members.select("key", F.col("doc_id").alias("first_id"), "component")
+    return one.join(two, "key").filter("doc_id > first_id and (not covered or own <> component)").select("doc_id", "first_id")
+
+
+def _pairs_of_large(members: DataFrame, around: DataFrame, best: bool) -> DataFrame:
+    """Members that are not of their group's main component or not covered meet all others in cells."""
+    apart = ~F.col("covered") | (F.col("component") != F.col("main"))
+    sizes = members.groupBy("key").agg(F.ceil(F.count_if(apart) / CELL).cast("int").alias("of_apart"), F.ceil(F.count("*") / CELL).cast("int").alias("of_all"))
+    hash_, upto = F.xxhash64("doc_id"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = members.withColumn("apart", apart).join(sizes.filter("of_apart > 0"), "key").join(around, ["key", "doc_id", "c"])
+    left = dealt.filter("apart").withColumn("side", F.lit(0)).withColumn("i", F.pmod(hash_, "of_apart").cast("int")).withColumn("j", upto("of_all"))
+    right = dealt.withColumn("side", F.lit(1)).withColumn("i", upto("of_apart")).withColumn("j", F.pmod(hash_, "of_all").cast("int"))
+    cells = left.unionByName(right).select("key", "i", "j", "side", "doc_id", "component", "covered", "around")
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.mapInArrow(_near_there(best), "doc_id bigint, first_id bigint")
+
+
+def passage_links(docs: DataFrame) -> DataFrame:
     """Verified links (doc_id, first_id, spans in words of both): passages of doc_id that are near copies of first_id's.
 
-    All windows that share a hash are held against those of the group's smallest id, which costs one pair per window
-    however many documents share a passage; a pair of documents goes to verification on its shingles if the windows of
-    at least ENOUGH hash functions overlap. Windows that this leaves without a verified passage are grouped once more,
-    by the hashes of two functions whose windows overlap. These groups are held against their smallest id, then without
-    it against the next two, four and so on, until no group is left. After the smallest, only groups go on whose two
-    hashes stand at least APART from each other, so that texts which share a short phrase alone part before they meet
-    in numbers. A pair that meets in several rounds may have several rows.
+    A text that equals an earlier one is linked with the smallest such id as a whole and takes no further part. All
+    windows that share a hash are held against those of the group's smallest id, which costs one pair per window
+    however many documents share a passage. After that, the members of a group are held against each other unless that
+    can add neither a link between components nor a passage in words that none covers yet, so neither is lost. The
+    pairs of a small group are rows; in a large one, the shingles around the window tell which can hold a passage, and
+    each member first meets the nearest ones, which leaves few pairs.
     """
-    least = MIN_WORDS - SIZE + 1
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    slim = texts.mapInArrow(_windows(least, n_hashes, False), "key bigint, doc_id bigint")
-    keys = slim.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last")).filter("first_id < last").drop("last")
-    wide = texts.mapInArrow(_windows(least, n_hashes, True), "key bigint, doc_id bigint, c int, span bigint")
-    shared = written(wide.join(keys, "key"), "windows")
-    k = F.expr("cast(key & 15 AS int)")
-    ones = shared.filter("doc_id > first_id").groupBy("doc_id", "first_id").agg(
-        F.bit_count(F.bit_or(F.expr("shiftleft(1, cast(key & 15 AS int))"))).alias("hashes"), F.collect_list(F.struct(k.alias("k"), "span")).alias("w"))
-    pairs = ones.filter(F.col("hashes") >= ENOUGH).select("doc_id", "first_id", "w.k", "w.span")
-    found = links = _verified(pairs.mapInArrow(_reaching(least), "doc_id bigint, first_id bigint, los array<int>, his array<int>"), texts)
-    marked = shared.join(_spans_of(links), "doc_id", "left").withColumn("live", ((F.col("doc_id") > F.col("first_id")) & ~_covered("c")).cast("int"))
-    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c", "span", "live")).alias("w"), F.max("live").alias("any")).filter("any = 1").drop("any")
-    rest, leaders = lists.mapInArrow(_combined(least), "key bigint, doc_id bigint, c int, d int, lo int, hi int"), 1
-    while True:
-        several = rest.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("last")).filter("low < last").select("key")
-        rest = written(rest.join(several, "key"), "open")
-        if rest.isEmpty():
-            return found
-        ranked = rest.select("key", "doc_id").withColumn("place", F.dense_rank().over(Window.partitionBy("key").orderBy("doc_id")))
-        firsts = written(ranked.filter(F.col("place") <= leaders).select("key", F.col("doc_id").alias("first_id")).distinct(), "leaders")
-        met = rest.join(firsts, "key").filter("doc_id > first_id").groupBy("doc_id", "first_id").agg(F.collect_set(F.struct("lo", "hi")).alias("w"))
-        links = _verified(met.select("doc_id", "first_id", F.col("w.lo").alias("los"), F.col("w.hi").alias("his")), texts)
-        found = found.unionByName(links)
-        tops = firsts.groupBy("key").agg(F.max("first_id").alias("top"))
-        left = rest.join(tops, "key").filter("doc_id > top").drop("top").join(_spans_of(links), "doc_id", "left")
-        rest = left.filter(~(_covered("c") & _covered("d")) & (F.col("d") - F.col("c") >= APART)).drop("ps")
-        leaders *= 2
+    named = texts.select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last")).filter("first_id < last").drop("last")
+    equal = written(named.join(firsts, "digest").filter("doc_id > first_id").distinct(), "equal")
+    same = texts.withColumn("digest", F.unhex(F.md5("text"))).join(equal, ["doc_id", "digest"])
+    copies = written(same.select("doc_id", "first_id", "text").mapInArrow(_copies, PAIR), "copies")
+    texts = texts.join(equal.withColumnRenamed("doc_id", "copy"), (F.col("doc_id") == F.col("copy")) & (F.unhex(F.md5("text")) == F.col("digest")), "left_anti")
+    group = Window.partitionBy("key")
+    wide = texts.mapInArrow(_windows, "key bigint, doc_id bigint, c int")
+    wide = wide.withColumn("first_id", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group))
+    shared = written(wide.filter("first_id < last").drop("last"), "windows")
+    links = _verified(shared.filter("doc_id > first_id").select("doc_id", "first_id").distinct(), texts)
+    met = shared.filter("doc_id > first_id").select("doc_id", "first_id").distinct()
+    members = _open_members(shared, links)
+    large = members.filter(F.col("n") > SMALL)
+    places = large.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c")).alias("w")).join(texts, "doc_id").select("doc_id", "w", "text")
+    around = written(places.mapInArrow(_surroundings, "key bigint, doc_id bigint, c int, around binary"), "around")
+    pairs = _pairs_of_small(members.filter(F.col("n") <= SMALL)).union(_pairs_of_large(large, around, True)).distinct()
+    pairs = written(pairs.join(met, ["doc_id", "first_id"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(pairs, texts))
+    members = _open_members(shared.join(large.select("key").distinct(), "key", "left_semi"), links)
+    rest = _pairs_of_large(members, around, False).distinct()
+    rest = written(rest.join(met.union(pairs), ["doc_id", "first_id"], "left_anti"), "pairs")
+    return copies.unionByName(links).unionByName(_verified(rest, texts))
 
 
 def removal_spans(links: DataFrame) -> DataFrame:

@@ -224,6 +224,43 @@ def test_passages_in_a_chain_are_one_class(spark):
     assert got[2].first_id == 1
 
 
+def test_passages_alike_to_a_copy_alone_are_linked(spark):
+    """The third text of each family is alike to the second alone, whose passage the first holds; earlier texts hold most of it."""
+    texts, families = [], [prose(2800 + i, 60) for i in range(8)]
+    for part in (slice(0, 42), slice(18, 60), slice(0, 42), slice(18, 60)):
+        for x in families:
+            texts.append(" ".join(prose(28_200 + len(texts), 30) + x[part] + prose(28_600 + len(texts), 30)))
+    for change in (15, None, 44):
+        for x in families:
+            x = [w if k != change else f"new{len(texts)}" for k, w in enumerate(x)]
+            texts.append(" ".join(prose(2910 + len(texts), 40) + x + prose(2980 + len(texts), 40)))
+    got = {r.doc_id: (r.class_id, [(s.s, s.e) for s in r.spans]) for r in windows.near_passages(frame(spark, texts)).collect()}
+    assert got == {32 + 8 * k + i: (32 + i, [(40, 100)] if k else []) for k in range(3) for i in range(8)}
+
+
+def test_passages_of_many_families_that_share_a_line(spark):
+    """More texts than a small group holds; a third text of each family is alike to the second alone."""
+    line, texts = prose(2900, 24), []
+    copied = [prose(3100 + i, 18) + line + prose(3200 + i, 18) for i in range(16)]
+    for change in (4, None, 55):
+        for i, x in enumerate(copied):
+            x = [w if k != change else f"new{i}" for k, w in enumerate(x)]
+            x = x if change is None else [w if k != 30 + (change > 30) * 8 else f"inner{i}" for k, w in enumerate(x)] if i % 2 else x
+            texts.append(" ".join(prose(3300 + len(texts), 60) + x + prose(3400 + len(texts), 60)))
+    got = {r.doc_id: r for r in windows.near_passages(frame(spark, texts)).collect()}
+    assert len(texts) > 32 + 1  # windows.SMALL
+    assert all(got[i].class_id == got[16 + i].class_id == i for i in range(0, 16, 2))
+    assert all(got[32 + i].class_id == i for i in range(0, 16, 2))
+
+
+def test_equal_texts_with_passages(spark):
+    shared = " ".join(prose(2950, 70))
+    texts = [" ".join(prose(2960, 30)) + " " + shared, "short text", shared, "short text", shared, " ".join(prose(2970, 30)) + " " + shared]
+    got = {r.doc_id: r for r in windows.near_passages(frame(spark, texts)).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {0: 0, 2: 0, 4: 0, 5: 0}
+    assert [(s.s, s.e) for s in got[4].spans] == [(0, 70)] and [(s.s, s.e) for s in got[5].spans] == [(30, 100)]
+
+
 def test_passages_are_alike_in_both_directions():
     mine = np.arange(50, dtype=np.uint64)
     other = np.concatenate([mine, np.tile(mine[10:15], 30), mine])
