@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from gradus.llm.components import components
-from gradus.llm.text import buffers, chunks, fresh, grouped, lower_ascii, mix, shingles, word_hashes, words
+from gradus.llm.text import CHUNK_BYTES, buffers, chunks, fresh, grouped, lower_ascii, mix, shingles, word_hashes, words
 from gradus.session import written
 
 SIZE = 5
@@ -28,8 +28,11 @@ RUN, BLOCK = 16, 12  # words of the stretch that alike passages share, and of a
 SIMILARITY = 0.8
 JOIN_GAP = 2 * SIZE
 SMALL = 32  # members of a group whose pairs are rows
-CELL = 500
+CELL = 1000
 AROUND = MIN_WORDS - SIZE
+LEAST = MIN_WORDS - SIZE + 1  # shingles of a shortest passage
+DENSE = -int(-SIMILARITY * LEAST // 1)  # of them shared
+LOOPED = 256  # different shingles, at most, of a text that takes them along into the cells
 FAR = 84  # 5 x the shingles of a shortest passage that one text has alone + 4 x the other's, near some node of alike passages; 82 at most, by one gap
 
 PAIR = "doc_id bigint, first_id bigint, starts array<int>, ends array<int>, first_starts array<int>, first_ends array<int>"
@@ -96,37 +99,63 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(v[c].view(np.int64)), part.column(0).take(pa.array(d[c])), pa.array(at.astype(np.int32))], names=["key", "doc_id", "c"])
 
 
-def passages(mine: np.ndarray, other: np.ndarray, regions: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+def fewest(s: np.ndarray) -> int:
+    """A bound from below of how many different shingles a passage of this text holds: of any LEAST, those not repeated that close."""
+    if len(s) < LEAST:
+        return LEAST
+    order = np.argsort(s, kind="stable")
+    again = (s[order][1:] == s[order][:-1]) & (np.diff(order) < LEAST)
+    near = np.zeros(len(s) + 1, np.int64)
+    near[order[1:][again] + 1] = 1
+    near = np.cumsum(near)
+    return LEAST - int((near[LEAST:] - near[:-LEAST]).max())
+
+
+def passages(
+    mine: np.ndarray, other: np.ndarray, regions: list[tuple[int, int]], order: np.ndarray | None = None, fewest: int = 0, distinct: bool = False
+) -> list[tuple[int, int, int, int]]:
     """Word spans [start, end) in a text and in the other that are alike: at least MIN_WORDS words, Jaccard of their shingles at least SIMILARITY.
 
     Shared shingles are chained along a diagonal over gaps that a changed word or two leave; a chain that is not alike
     enough is cut at its gaps. Beyond that, stretches over any gap are taken that are alike as a whole.
+
+    `order` sorts `other`; `fewest` is that of `mine`. A passage shares SIMILARITY of so many different shingles at
+    least. If `mine` repeats none (`distinct`), it falls into parts of LEAST to 2 * LEAST - 1 of which one shares that much.
     """
-    order = np.argsort(other, kind="stable")
+    order = np.argsort(other, kind="stable") if order is None else order
     ranked = other[order]
     found: list[tuple[int, int, int, int]] = []
     for lo, hi in regions:
         part = mine[lo:hi]
         at = np.minimum(np.searchsorted(ranked, part), len(ranked) - 1)
         hit = np.flatnonzero(ranked[at] == part)
-        if len(hit) < 2:
+        if len(hit) < 2 or len(hit if distinct else np.unique(part[hit])) < SIMILARITY * fewest:
+            continue
+        if distinct and not (hit[DENSE - 1 :] - hit[: max(len(hit) - DENSE + 1, 0)] < 2 * LEAST - 1).any():
             continue
         pos, there = hit + lo, _partners(hit + lo, at[hit], np.searchsorted(ranked, part[hit], "right"), order)
         turn = (np.diff(pos) > JOIN_GAP + 1) | (np.abs(np.diff(there - pos)) > JOIN_GAP)
         exact = (np.diff(pos) > 1) | (np.diff(there - pos) != 0)
-        for chain in np.split(np.arange(len(pos)), np.flatnonzero(turn) + 1):
-            whole = _alike(mine, other, pos[chain], there[chain])
+        for a, b in _long_parts(pos, np.flatnonzero(turn) + 1, 0, len(pos)):
+            whole = _alike(mine, other, pos[a:b], there[a:b])
             if whole:
                 found.append(whole)
                 continue
-            for run in np.split(chain, np.flatnonzero(exact[chain[:-1]]) + 1):
-                found += [x for x in [_alike(mine, other, pos[run], there[run])] if x]
+            for x, y in _long_parts(pos, np.flatnonzero(exact[a : b - 1]) + a + 1, a, b):
+                found += [run for run in [_alike(mine, other, pos[x:y], there[x:y])] if run]
         steady = _steady(pos, there)
         for keep in (slice(None), steady) if not steady.all() else (slice(None),):
             found += _stretches(mine, other, pos[keep], there[keep])
     return sorted(set(found))
 
 
+def _long_parts(pos: np.ndarray, cuts: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
+    """The parts of [first, end) between cuts that span a shortest passage."""
+    start, stop = np.append(first, cuts), np.append(cuts, end)
+    long = pos[stop - 1] - pos[start] + 1 >= LEAST
+    return list(zip(start[long].tolist(), stop[long].tolist()))
+
+
 def _steady(pos: np.ndarray, there: np.ndarray) -> np.ndarray:
     """Shared shingles but those of short runs that leave the diagonal to which the text around them returns."""
     shift = there - pos
@@ -222,16 +251,37 @@ def _alike(mine: np.ndarray, other: np.ndarray, pos: np.ndarray, there: np.ndarr
     return a, b + SIZE - 1, c, d + SIZE - 1
 
 
+def _pair_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of pairs whose texts together have about `limit` bytes; a first text in successive rows counts once."""
+    texts = [batch.column(batch.schema.get_field_index(n)) for n in ("text", "first_text")]
+    own, first = (np.diff(buffers(x)[1]) for x in texts)
+    code = texts[1].dictionary_encode().indices.to_numpy()
+    first[1:][code[1:] == code[:-1]] = 0
+    to = np.append(0, np.cumsum(own + first))
+    row = 0
+    while row < batch.num_rows:
+        end = max(row + 1, int(np.searchsorted(to, to[row] + limit, "right")) - 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def _shingles_of(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+    """Which text each row has, and the shingles of each different text."""
+    coded = column.dictionary_encode()
+    s, d = _text_shingles(*buffers(coded.dictionary))
+    return coded.indices.to_pylist(), np.split(s, np.searchsorted(d, np.arange(1, len(coded.dictionary))))
+
+
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, off in chunks(batch):
-            s, d = _text_shingles(data, off)
-            other, other_doc = _text_shingles(*buffers(part.column(part.schema.get_field_index("first_text"))))
-            mine_at, other_at = np.searchsorted(d, np.arange(part.num_rows + 1)), np.searchsorted(other_doc, np.arange(part.num_rows + 1))
+        for part in _pair_chunks(batch):
+            (mine, owns), (firsts, others) = (_shingles_of(part.column(part.schema.get_field_index(n))) for n in ("text", "first_text"))
+            orders = [np.argsort(x, kind="stable") for x in others]
+            least, distinct = [fewest(x) for x in owns], [len(np.unique(x)) == len(x) for x in owns]
             rows, spans = [], []
-            for i in range(part.num_rows):
-                own, theirs = s[mine_at[i] : mine_at[i + 1]], other[other_at[i] : other_at[i + 1]]
-                if len(own) and len(theirs) and (got := passages(own, theirs, [(0, len(own))])):
+            for i, (x, y) in enumerate(zip(mine, firsts)):
+                own, theirs = owns[x], others[y]
+                if len(own) >= LEAST and len(theirs) and (got := passages(own, theirs, [(0, len(own))], orders[y], least[x], distinct[x])):
                     rows.append(i)
                     spans.append(got)
             yield pa.RecordBatch.from_arrays(
@@ -264,17 +314,69 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, c, around): the shingles next to each place c of a text (doc_id, w: its keys and places, text)."""
+    """(key, doc_id, c, around, whole, least): the shingles next to each place c of a text (doc_id, w: its keys and places, text).
+
+    Texts that repeat few shingles take all of them along and the fewest that a passage holds. 16 bits of each suffice: different shingles that agree in them only count as shared, which loses no pair.
+    """
     for batch in batches:
         for part, data, off in chunks(batch):
             s, d = _text_shingles(data, off)
             first = np.searchsorted(d, np.arange(part.num_rows + 1))
+            whole, least = [], []
+            for x, y in zip(first[:-1], first[1:]):
+                all_ = np.unique(s[x:y])
+                looped = len(all_) <= min(LOOPED, (y - x) // 2)
+                whole.append(all_.astype(np.uint16).tobytes() if looped else None)
+                least.append(fewest(s[x:y]) if looped else 0)
+            s = s.astype(np.uint16)
             lists = part.column(1)
             row, flat = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths())), lists.flatten()
             at = first[row] + flat.field(1).to_numpy()
             lo, hi = np.maximum(at - AROUND, first[row]), np.minimum(at + AROUND + 1, first[row + 1])
             around = pa.array([s[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([flat.field(0), part.column(0).take(pa.array(row)), flat.field(1), around], names=["key", "doc_id", "c", "around"])
+            of_text = [x.take(pa.array(row)) for x in (part.column(0), pa.array(whole, pa.binary()), pa.array(least, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([flat.field(0), of_text[0], flat.field(1), around, *of_text[1:]], names=["key", "doc_id", "c", "around", "whole", "least"])
+
+
+def _coded(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each value of 16 bits that an array holds, the array's number and how often."""
+    code, times = np.unique(np.repeat(np.arange(len(x)) << 16, [len(y) for y in x]) | np.concatenate(x), return_counts=True)
+    return code & 0xFFFF, code >> 16, times
+
+
+def _met(of: tuple[np.ndarray, np.ndarray, np.ndarray], by: tuple[np.ndarray, np.ndarray, np.ndarray], shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of two sides' arrays (value, number, weight), the weight of the values that the other holds as well, of either.
+
+    Values that many arrays hold are counted by a matrix product, the others by the pairs that hold them.
+    """
+    found = [np.zeros(shape, np.float32) for _ in range(2)]
+    both = np.intersect1d(of[0], by[0])
+    place = np.full(1 << 16, -1, np.int32)
+    place[both] = np.arange(len(both))
+    of, by = ([x[place[side[0]] >= 0] for x in (place[side[0]], *side[1:])] for side in (of, by))
+    n, m = (np.bincount(h, minlength=len(both)) for h, _, _ in (of, by))
+    many = np.flatnonzero(n * m * 100 > shape[0] * shape[1])
+    for at in range(0, len(many), 4096):
+        some = np.full(len(both), -1)
+        some[many[at : at + 4096]] = np.arange(len(many[at : at + 4096]))
+        held, weight = [], []
+        for (h, row, w), size in zip((of, by), shape):
+            hit = some[h] >= 0
+            for table, value in ((held, 1), (weight, w[hit])):
+                table.append(np.zeros((size, len(many[at : at + 4096])), np.float32))
+                table[-1][row[hit], some[h[hit]]] = value
+        found[0] += weight[0] @ held[1].T
+        found[1] += held[0] @ weight[1].T
+    m[many] = 0
+    order = np.argsort(by[0], kind="stable")
+    begin = np.searchsorted(by[0][order], np.arange(len(both)))
+    times = m[of[0]]
+    left = np.repeat(np.arange(len(times)), times)
+    right = order[np.arange(len(left)) + np.repeat(begin[of[0]] - (np.cumsum(times) - times), times)]
+    pair = of[1][left] * shape[1] + by[1][right]
+    for x, w in zip(found, (of[2][left], by[2][right])):
+        x += np.bincount(pair, w, shape[0] * shape[1]).reshape(shape)
+    return found[0], found[1]
 
 
 def _alone(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -282,29 +384,24 @@ def _alone(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
     A shingle that a text repeats counts as shared.
     """
-    sides, both = [], np.intersect1d(np.concatenate(a), np.concatenate(b))
-    for x in (a, b):
-        h, row = np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])
-        order = np.lexsort((h, row))
-        again = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
-        once = np.ones(len(h), bool)
-        once[order[1:][again]] = once[order[:-1][again]] = False
-        sides.append((h, row, once))
-    found = [np.bincount(sides[0][1][~sides[0][2]], minlength=len(a))[:, None] + np.zeros((len(a), len(b)), np.float32),
-             np.bincount(sides[1][1][~sides[1][2]], minlength=len(b))[None, :] + np.zeros((len(a), len(b)), np.float32)]
-    for at in range(0, len(both), 4096):
-        some = both[at : at + 4096]
-        single, held = [], []
-        for (h, row, once), x in zip(sides, (a, b)):
-            k = np.minimum(np.searchsorted(some, h), len(some) - 1)
-            hit = some[k] == h
-            single.append(np.zeros((len(x), len(some)), np.float32))
-            single[-1][row[hit & once], k[hit & once]] = 1
-            held.append(np.zeros((len(x), len(some)), np.float32))
-            held[-1][row[hit], k[hit]] = 1
-        found[0] += single[0] @ held[1].T
-        found[1] += held[0] @ single[1].T
-    return tuple(np.maximum(AROUND + 1 - x, 0) for x in found)
+    sides = [_coded(x) for x in (a, b)]
+    again = [np.bincount(row[times > 1], times[times > 1], len(x)) for (_, row, times), x in zip(sides, (a, b))]
+    own, others = _met(*((h, row, times == 1) for h, row, times in sides), (len(a), len(b)))
+    return np.maximum(AROUND + 1 - own - again[0][:, None], 0), np.maximum(AROUND + 1 - others - again[1][None, :], 0)
+
+
+def _too_few(left: pa.Table, right: pa.Table, later: np.ndarray) -> np.ndarray:
+    """Pairs of texts that take all of their shingles along, which share fewer than a passage of the later one's does."""
+    few = np.zeros(later.shape, bool)
+    rows, whole, least = [], [], []
+    for side in (left, right):
+        rows.append(np.flatnonzero(side.column("whole").is_valid().to_numpy()))
+        whole.append([np.frombuffer(x, np.uint16) for x in side.column("whole").to_pylist() if x is not None])
+        least.append(SIMILARITY * side.column("least").to_numpy()[rows[-1]] - 1e-6)
+    if len(rows[0]) and len(rows[1]):
+        own, others = _met(_coded(whole[0]), _coded(whole[1]), (len(rows[0]), len(rows[1])))
+        few[np.ix_(*rows)] = np.where(later[np.ix_(*rows)], own < least[0][:, None], others < least[1][None, :])
+    return few
 
 
 def _near_there(best: bool):
@@ -312,14 +409,14 @@ def _near_there(best: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in grouped(batches, 3):
             side, ids, component, covered = (cell.column(n).to_numpy() for n in ("side", "doc_id", "component", "covered"))
-            around = [np.frombuffer(x, np.uint64) for x in cell.column("around").to_pylist()]
+            around = [np.frombuffer(x, np.uint16) for x in cell.column("around").to_pylist()]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
             later = ids[left][:, None] > ids[right][None, :]
             own, others = _alone([around[i] for i in left], [around[i] for i in right])
             share = np.maximum(FAR + 1 - np.where(later, 5 * own + 4 * others, 4 * own + 5 * others), 0)
-            share[ids[left][:, None] == ids[right][None, :]] = 0
+            share[(ids[left][:, None] == ids[right][None, :]) | _too_few(cell.take(left), cell.take(right), later)] = 0
             foreign = component[left][:, None] != component[right][None, :]
             bare = np.where(later, ~covered[left][:, None], ~covered[right][None, :])
             if best:
@@ -331,8 +428,13 @@ def _near_there(best: bool):
                 x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
             else:
                 x, y = np.nonzero((share > 0) & (foreign | bare))
-            x, y = ids[left[x]], ids[right[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["doc_id", "first_id"])
+            (own, of_own), (others, of_others) = (np.unique(ids[k], return_inverse=True) for k in (left, right))
+            meet = np.zeros((len(own), len(others)), bool)  # texts meet at many places
+            meet[of_own[x], of_others[y]] = True
+            x, y = np.nonzero(meet)
+            x, y = own[x], others[y]
+            x, y = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["doc_id", "first_id"])
 
     return run
 
@@ -366,7 +468,7 @@ def _pairs_of_large(members: DataFrame, around: DataFrame, best: bool) -> DataFr
     dealt = members.withColumn("apart", apart).join(sizes.filter("of_apart > 0"), "key").join(around, ["key", "doc_id", "c"])
     left = dealt.filter("apart").withColumn("side", F.lit(0)).withColumn("i", F.pmod(hash_, "of_apart").cast("int")).withColumn("j", upto("of_all"))
     right = dealt.withColumn("side", F.lit(1)).withColumn("i", upto("of_apart")).withColumn("j", F.pmod(hash_, "of_all").cast("int"))
-    cells = left.unionByName(right).select("key", "i", "j", "side", "doc_id", "component", "covered", "around")
+    cells = left.unionByName(right).select("key", "i", "j", "side", "doc_id", "component", "covered", "around", "whole", "least")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return cells.mapInArrow(_near_there(best), "doc_id bigint, first_id bigint")
 
@@ -397,7 +499,7 @@ def passage_links(docs: DataFrame) -> DataFrame:
     members = _open_members(shared, links)
     large = members.filter(F.col("n") > SMALL)
     places = large.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c")).alias("w")).join(texts, "doc_id").select("doc_id", "w", "text")
-    around = written(places.mapInArrow(_surroundings, "key bigint, doc_id bigint, c int, around binary"), "around")
+    around = written(places.mapInArrow(_surroundings, "key bigint, doc_id bigint, c int, around binary, whole binary, least int"), "around")
     pairs = _pairs_of_small(members.filter(F.col("n") <= SMALL)).union(_pairs_of_large(large, around, True)).distinct()
     pairs = written(pairs.join(met, ["doc_id", "first_id"], "left_anti"), "pairs")
     links = links.unionByName(_verified(pairs, texts))

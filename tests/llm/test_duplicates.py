@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gradus.llm import hyperminhash, suffix, windows
@@ -361,3 +362,40 @@ def test_a_stray_shingle_does_not_stretch_a_passage():
     new = old[:150] + prose(7, 20, 10**9) + old[180:185] + prose(8, 20, 10**9)
     mine, other = shingle_numbers(new, old)
     assert windows.passages(mine, other, [(0, len(mine))]) == [(0, 150, 0, 150)]
+
+
+def test_pairs_are_cut_by_the_bytes_of_both_texts():
+    rows = [{"doc_id": i + 1, "first_id": 0, "text": "a b", "first_text": f"{i // 4} " + "word " * 10_000} for i in range(40)]
+    parts = list(windows._pair_chunks(pa.RecordBatch.from_pylist(rows), 1 << 17))
+    assert [x.num_rows for x in parts] == [8] * 5
+    assert sum(x.num_rows for x in windows._verifier(iter([pa.RecordBatch.from_pylist(rows)]))) == 0
+
+
+def test_a_cell_gives_each_open_pair_once_and_no_hopeless_one():
+    """Two texts meet at many places; texts of short loops share one loop, which is no passage."""
+    def looped(*names, times):
+        return np.concatenate([np.full(times, x, np.uint64) for x in names])
+
+    texts = {1: np.arange(91, dtype=np.uint64), 2: np.arange(91, dtype=np.uint64), 3: looped(500, 501, 502, 503, 504, 505, times=16), 4: looped(600, 500, 601, 602, 603, 604, times=16), 5: looped(500, 700, times=60)}
+    rows = []
+    for side in (0, 1):
+        for i, s in texts.items():
+            whole = np.unique(s).astype(np.uint16).tobytes() if i > 2 else None
+            rows += 6 * [{"key": 7, "i": 0, "j": 0, "side": side, "doc_id": i, "component": i, "covered": False, "around": s[:91].astype(np.uint16).tobytes(), "whole": whole, "least": windows.fewest(s) if i > 2 else 0}]
+    got = [(r["doc_id"], r["first_id"]) for b in windows._near_there(False)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert sorted(x for x in got if x[0] < 3) == [(2, 1)]
+    assert len(set(got)) == len(got) and (4, 3) not in got and (5, 3) in got and (5, 4) in got
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_hopeless_pairs_hold_no_passage(seed):
+    """What is set aside unsearched, for texts with and without repeated shingles."""
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(0, 400, rng.integers(30, 70)).astype(np.uint64)
+    if seed % 2:
+        shared = np.repeat(shared[:8], rng.integers(1, 30, 8))
+    mine, other = (np.concatenate([rng.permutation(1000)[:40].astype(np.uint64) + 1000 * k, shared[rng.integers(0, 12) :], rng.permutation(1000)[:40].astype(np.uint64) + 1000 * k + 10_000]) for k in (1, 3))
+    distinct = len(np.unique(mine)) == len(mine)
+    least = windows.fewest(mine)
+    assert least <= min(len(np.unique(mine[i : i + 46])) for i in range(len(mine) - 45))
+    assert windows.passages(mine, other, [(0, len(mine))], None, least, distinct) == windows.passages(mine, other, [(0, len(mine))])
