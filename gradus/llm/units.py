@@ -122,31 +122,36 @@ class UnitEncoder:
         self.young.add(hashes[missing[older]], self.old.ids[_ragged(self.old.begin[at[older]], size)], size)
         new = missing[~older]
         if len(new):
-            self.young.add(hashes[new], *self._encoded([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())]))
+            self.young.add(hashes[new], *self._encoded(raw, start[new], end[new]))
         return self.young.find(hashes)[0]
 
-    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units in a row, and how many each has.
+    def _encoded(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units raw[start:end] in a row, and how many each has.
 
         ASCII letters with at most a space before them are one piece of the tokenizer's split, which its model takes as
         it is; other words are encoded many to a string, a line end before each.
         """
-        out: list = [None] * len(units)
-        merge = self.tokenizer.model.tokenize
-        words = []
-        for i, u in enumerate(units):
-            if u.isascii() and (u[1:] if u[0] == " " else u).isalpha():
-                out[i] = [t.id for t in merge(u.replace(" ", SPACE))]
-            elif not u.isspace() and not self.whole.search(u.encode()):
-                words.append(i)
+        data = np.frombuffer(raw, np.uint8)
+        letters = np.append(0, np.cumsum((data | np.uint8(0x20)) - np.uint8(0x61) < 26))
+        first = start + (data[start] == 0x20)
+        plain = (first < end) & (letters[end] - letters[first] == end - first)
+        out: list = [None] * len(start)
+        merge, signs = self.tokenizer.model.tokenize, raw.decode("latin-1")
+        at = np.flatnonzero(plain)
+        for i, a, f, b in zip(at.tolist(), start[at].tolist(), first[at].tolist(), end[at].tolist()):
+            out[i] = [t.id for t in merge(signs[a:b] if a == f else SPACE + signs[f:b])]
+        at = np.flatnonzero(~plain)
+        units = {i: raw[a:b] for i, a, b in zip(at.tolist(), start[at].tolist(), end[at].tolist())}
+        texts = {i: u.decode() for i, u in units.items()}
+        words = [i for i, u in units.items() if not texts[i].isspace() and not self.whole.search(u)]
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        texts = ["".join(["\n" + units[i] for i in g]) for g in groups]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.line)
-            for i, x in zip(g, np.split(ids, cut[1:])):
-                out[i] = x[1:].tolist()
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+        joined = ["".join(["\n" + texts[i] for i in g]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = e.ids
+            cut = [k for k, x in enumerate(ids) if x == self.line]
+            for i, a, b in zip(g, cut, [*cut[1:], len(ids)]):
+                out[i] = ids[a + 1 : b]
+        rest = [i for i in units if out[i] is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = e.ids
         return np.fromiter(chain.from_iterable(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out))

@@ -301,3 +301,13 @@ def test_run_edges(spark):
     small = {str(g) for g in got if g[0] not in (7, 9)}
     assert small == {str(brute_digest(x.doc_id, x.text)) for x in rows.collect() if x.doc_id not in (7, 9)}
     assert periodic.periodic_runs(rows.limit(0)).count() == 0
+
+
+def test_new_units_encode_from_spans(tokenizer):
+    encoder = units.UnitEncoder(open(BPE, encoding="utf-8").read())
+    texts = ["word", " Word", "é", " né", "   ", "\n", " 12", "don", "'t", " x", "a\xc1", " ", "<|endoftext|>", "Z"]
+    raw = [t.encode() for t in texts]
+    end = np.cumsum([len(x) for x in raw])
+    ids, size = encoder._encoded(b"".join(raw), end - [len(x) for x in raw], end)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
