@@ -314,9 +314,9 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, c, around, whole, least): the shingles next to each place c of a text (doc_id, w: its keys and places, text).
+    """(key, doc_id, around, whole, least): the shingles next to the places that a key has in a text (doc_id, w: its keys and their places, text).
 
-    Texts that repeat few shingles take all of them along and the fewest that a passage holds. 16 bits of each suffice: different shingles that agree in them only count as shared, which loses no pair.
+    Places whose surroundings meet have one stretch in common, so a line that a text repeats is taken once. Texts that repeat few shingles take all of them along and the fewest that a passage holds. 16 bits of each suffice: different shingles that agree in them only count as shared, which loses no pair.
     """
     for batch in batches:
         for part, data, off in chunks(batch):
@@ -331,11 +331,17 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             s = s.astype(np.uint16)
             lists = part.column(1)
             row, flat = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths())), lists.flatten()
-            at = first[row] + flat.field(1).to_numpy()
-            lo, hi = np.maximum(at - AROUND, first[row]), np.minimum(at + AROUND + 1, first[row + 1])
-            around = pa.array([s[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())
+            n = np.asarray(flat.field(1).value_lengths())
+            text, at = np.repeat(row, n), flat.field(1).flatten().to_numpy()
+            order = np.lexsort((at, np.repeat(np.arange(len(n)), n)))
+            at = first[text] + at[order]
+            lo, hi = np.maximum(at - AROUND, first[text]), np.minimum(at + AROUND + 1, first[text + 1])
+            around, end = [], np.cumsum(n)
+            for x, y in zip((end - n).tolist(), end.tolist()):
+                cuts = (np.flatnonzero(lo[x + 1 : y] > hi[x : y - 1]) + x + 1).tolist()
+                around.append(b"".join(s[lo[p] : hi[q - 1]].tobytes() for p, q in zip([x, *cuts], [*cuts, y])))
             of_text = [x.take(pa.array(row)) for x in (part.column(0), pa.array(whole, pa.binary()), pa.array(least, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([flat.field(0), of_text[0], flat.field(1), around, *of_text[1:]], names=["key", "doc_id", "c", "around", "whole", "least"])
+            yield pa.RecordBatch.from_arrays([flat.field(0), of_text[0], pa.array(around, pa.binary()), *of_text[1:]], names=["key", "doc_id", "around", "whole", "least"])
 
 
 def _coded(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -390,6 +396,35 @@ def _alone(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return np.maximum(AROUND + 1 - own - again[0][:, None], 0), np.maximum(AROUND + 1 - others - again[1][None, :], 0)
 
 
+def _repeats(x: np.ndarray) -> bool:
+    """Whether a shingle stands in x again, close enough for one node's surroundings to hold both."""
+    order = np.argsort(x, kind="stable")
+    return bool(((x[order][1:] == x[order][:-1]) & (np.diff(order) <= 2 * AROUND)).any())
+
+
+def _alone_in_a_row(a: list[np.ndarray], b: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of LEAST successive shingles in a[x], how many b[y] lacks at least, for each pair (x, y)."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    place = np.zeros(1 << 16, np.int32)
+    place[both] = np.arange(1, len(both) + 1)
+    holds = np.zeros((len(b), len(both) + 1), bool)
+    for k, v in enumerate(b):
+        holds[k, place[v]] = True
+    holds[:, 0] = False
+    least = np.zeros(len(x), np.int64)
+    order = np.argsort(x, kind="stable")
+    own, begin = np.unique(x[order], return_index=True)
+    for k, rows in zip(own.tolist(), np.split(order, begin[1:])):
+        v = a[k]
+        at, step = place[v], max(1, (1 << 21) // max(len(v), 1))
+        for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+            shared = np.zeros((len(some), len(v) + 1), np.int32)
+            np.cumsum(holds[np.ix_(y[some], at)], axis=1, out=shared[:, 1:])
+            width = min(LEAST, len(v))
+            least[some] = LEAST - (shared[:, width:] - shared[:, : len(v) - width + 1]).max(axis=1)
+    return least
+
+
 def _too_few(left: pa.Table, right: pa.Table, later: np.ndarray) -> np.ndarray:
     """Pairs of texts that take all of their shingles along, which share fewer than a passage of the later one's does."""
     few = np.zeros(later.shape, bool)
@@ -405,7 +440,10 @@ def _too_few(left: pa.Table, right: pa.Table, later: np.ndarray) -> np.ndarray:
 
 
 def _near_there(best: bool):
-    """Open pairs of each cell that share enough around the node; `best`: of each text's, the nearest for either reason to be open."""
+    """Open pairs of each cell that share enough around the node; `best`: of each text's, the nearest for either reason to be open.
+
+    With `best`, a row (doc_id, null, key) tells of each text that more than these pairs are open for it in its group.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in grouped(batches, 3):
             side, ids, component, covered = (cell.column(n).to_numpy() for n in ("side", "doc_id", "component", "covered"))
@@ -419,36 +457,46 @@ def _near_there(best: bool):
             share[(ids[left][:, None] == ids[right][None, :]) | _too_few(cell.take(left), cell.take(right), later)] = 0
             foreign = component[left][:, None] != component[right][None, :]
             bare = np.where(later, ~covered[left][:, None], ~covered[right][None, :])
+            share[~(foreign | bare)] = 0
+            near = [[around[i] for i in side] for side in (left, right)]
+            plain = [np.array([not _repeats(z) for z in side]) for side in near]  # else a passage may be shorter than a surrounding tells
+            x, y = np.nonzero((share > 0) & plain[0][:, None] & plain[1][None, :])
+            own, others = _alone_in_a_row(*near, x, y), _alone_in_a_row(*near[::-1], y, x)
+            share[x, y] = np.maximum(FAR + 1 - np.where(later[x, y], 5 * own + 4 * others, 4 * own + 5 * others), 0)
+            taken = share > 0
             if best:
-                pairs = []
-                for x in (np.where(foreign, share, 0), np.where(bare, share, 0)):
+                taken = np.zeros(share.shape, bool)
+                for reason in (np.where(foreign, share, 0), np.where(bare, share, 0)):
                     for axis in (0, 1):
-                        k, at = np.flatnonzero(x.any(axis=axis)), x.argmax(axis=axis)
-                        pairs.append((at[k], k) if axis == 0 else (k, at[k]))
-                x, y = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-            else:
-                x, y = np.nonzero((share > 0) & (foreign | bare))
+                        k, at = np.flatnonzero(reason.any(axis=axis)), reason.argmax(axis=axis)
+                        taken[(at[k], k) if axis == 0 else (k, at[k])] = True
+            x, y = np.nonzero(taken)
             (own, of_own), (others, of_others) = (np.unique(ids[k], return_inverse=True) for k in (left, right))
             meet = np.zeros((len(own), len(others)), bool)  # texts meet at many places
             meet[of_own[x], of_others[y]] = True
             x, y = np.nonzero(meet)
             x, y = own[x], others[y]
             x, y = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["doc_id", "first_id"])
+            rest = (share > 0) & ~taken
+            more = np.unique(np.concatenate([ids[left][rest.any(axis=1)], ids[right][rest.any(axis=0)]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(x, more)), pa.array([*y.tolist(), *[None] * len(more)], pa.int64()),
+                 pa.array([*[None] * len(x), *[cell.column("key")[0].as_py()] * len(more)], pa.int64())], names=["doc_id", "first_id", "key"])
 
     return run
 
 
 def _open_members(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, doc_id, c, component, covered, n, main) of groups that their smallest id leaves open, written.
+    """Members (key, doc_id, at: its places, component, covered, n, main) of groups that their smallest id leaves open, written.
 
-    Two members need not be held against each other if they are of one component and the later one's window lies in a
-    passage that an earlier document holds. The smallest id has met all others, so it is no member.
+    Two members need not be held against each other if they are of one component and the later one's windows lie in
+    passages that an earlier document holds. The smallest id has met all others, so it is no member.
     """
     parts = components(links.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))).toDF("doc_id", "component")
-    inside = F.coalesce(F.exists("ps", lambda p: (F.col("c") >= p["starts"]) & (F.col("c") + BLOCK <= p["ends"])), F.lit(False))
-    marked = shared.filter("doc_id > first_id").join(parts, "doc_id", "left").join(_spans_of(links), "doc_id", "left")
-    marked = marked.select("key", "doc_id", "c", F.coalesce("component", "doc_id").alias("component"), inside.alias("covered"))
+    inside = F.coalesce(F.forall("at", lambda c: F.exists("ps", lambda p: (c >= p["starts"]) & (c + BLOCK <= p["ends"]))), F.lit(False))
+    texts = shared.filter("doc_id > first_id").groupBy("doc_id", "key").agg(F.collect_list("c").alias("at"))
+    marked = texts.join(parts, "doc_id", "left").join(_spans_of(links), "doc_id", "left")
+    marked = marked.select("key", "doc_id", "at", F.coalesce("component", "doc_id").alias("component"), inside.alias("covered"))
     seen = marked.groupBy("key").agg(
         F.count("*").alias("n"), F.bool_and("covered").alias("all"), F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main"))
     return written(marked.join(seen.filter("n > 1 and not (all and low = high)").select("key", "n", "main"), "key"), "open")
@@ -465,12 +513,12 @@ def _pairs_of_large(members: DataFrame, around: DataFrame, best: bool) -> DataFr
     apart = ~F.col("covered") | (F.col("component") != F.col("main"))
     sizes = members.groupBy("key").agg(F.ceil(F.count_if(apart) / CELL).cast("int").alias("of_apart"), F.ceil(F.count("*") / CELL).cast("int").alias("of_all"))
     hash_, upto = F.xxhash64("doc_id"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = members.withColumn("apart", apart).join(sizes.filter("of_apart > 0"), "key").join(around, ["key", "doc_id", "c"])
+    dealt = members.withColumn("apart", apart).join(sizes.filter("of_apart > 0"), "key").join(around, ["key", "doc_id"])
     left = dealt.filter("apart").withColumn("side", F.lit(0)).withColumn("i", F.pmod(hash_, "of_apart").cast("int")).withColumn("j", upto("of_all"))
     right = dealt.withColumn("side", F.lit(1)).withColumn("i", upto("of_apart")).withColumn("j", F.pmod(hash_, "of_all").cast("int"))
     cells = left.unionByName(right).select("key", "i", "j", "side", "doc_id", "component", "covered", "around", "whole", "least")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return cells.mapInArrow(_near_there(best), "doc_id bigint, first_id bigint")
+    return cells.mapInArrow(_near_there(best), "doc_id bigint, first_id bigint, key bigint")
 
 
 def passage_links(docs: DataFrame) -> DataFrame:
@@ -498,13 +546,15 @@ def passage_links(docs: DataFrame) -> DataFrame:
     met = shared.filter("doc_id > first_id").select("doc_id", "first_id").distinct()
     members = _open_members(shared, links)
     large = members.filter(F.col("n") > SMALL)
-    places = large.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c")).alias("w")).join(texts, "doc_id").select("doc_id", "w", "text")
-    around = written(places.mapInArrow(_surroundings, "key bigint, doc_id bigint, c int, around binary, whole binary, least int"), "around")
-    pairs = _pairs_of_small(members.filter(F.col("n") <= SMALL)).union(_pairs_of_large(large, around, True)).distinct()
+    places = large.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("w")).join(texts, "doc_id").select("doc_id", "w", "text")
+    around = written(places.mapInArrow(_surroundings, "key bigint, doc_id bigint, around binary, whole binary, least int"), "around")
+    nearest = written(_pairs_of_large(large, around, True), "nearest")
+    pairs = _pairs_of_small(members.filter(F.col("n") <= SMALL)).union(nearest.filter("first_id is not null").select("doc_id", "first_id")).distinct()
     pairs = written(pairs.join(met, ["doc_id", "first_id"], "left_anti"), "pairs")
     links = links.unionByName(_verified(pairs, texts))
-    members = _open_members(shared.join(large.select("key").distinct(), "key", "left_semi"), links)
-    rest = _pairs_of_large(members, around, False).distinct()
+    more = nearest.filter("first_id is null").select("key", "doc_id").distinct()
+    members = _open_members(shared.join(more, ["key", "doc_id"], "left_semi"), links)
+    rest = _pairs_of_large(members, around, False).select("doc_id", "first_id").distinct()
     rest = written(rest.join(met.union(pairs), ["doc_id", "first_id"], "left_anti"), "pairs")
     return copies.unionByName(links).unionByName(_verified(rest, texts))
 

@@ -4,9 +4,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.llm import hyperminhash, suffix, windows
 from gradus.llm.components import components
+from gradus.llm.text import buffers
 from tests.llm.common import KINDS, WORD, changed, edge_rows, frame, prose
 
 
@@ -399,3 +401,46 @@ def test_hopeless_pairs_hold_no_passage(seed):
     least = windows.fewest(mine)
     assert least <= min(len(np.unique(mine[i : i + 46])) for i in range(len(mine) - 45))
     assert windows.passages(mine, other, [(0, len(mine))], None, least, distinct) == windows.passages(mine, other, [(0, len(mine))])
+
+
+def cell(texts, **more):
+    """A cell in which all `texts` (id to shingles near its node) meet, of components of their own."""
+    row = {"key": 7, "i": 0, "j": 0, "covered": False, "whole": None, "least": 0}
+    return pa.RecordBatch.from_pylist([row | {"side": side, "doc_id": i, "component": i, "around": s.astype(np.uint16).tobytes()} for side in (0, 1) for i, s in texts.items()])
+
+
+def test_a_cell_leaves_out_texts_that_share_much_but_nothing_long():
+    """Of 91 shingles, 61 are shared by both pairs: 1 to 46 but one word's five in a row, 3 to 4 of each three successive ones two."""
+    old = np.arange(1, 92, dtype=np.uint64)
+    near, spread = old.copy(), old.copy()
+    near[[*range(20, 25), *range(66, 91)]] += 1000
+    spread[::3] += 2000
+    for other, pairs in ((near, [(2, 1)]), (spread, [])):
+        assert 60 <= (old == other).sum() <= 61
+        for best in (False, True):
+            got = [r for b in windows._near_there(best)(iter([cell({1: old, 2: other})])) for r in b.to_pylist()]
+            assert [(r["doc_id"], r["first_id"]) for r in got if r["first_id"]] == pairs and all(r["first_id"] for r in got)
+
+
+def test_a_cell_tells_which_texts_have_more_open_pairs():
+    texts = {i: np.arange(91, dtype=np.uint64) + np.uint64(1000 * (i == 9)) for i in range(1, 10)}
+    got = [r for b in windows._near_there(True)(iter([cell(texts)])) for r in b.to_pylist()]
+    met = {(r["doc_id"], r["first_id"]) for r in got if r["first_id"] is not None}
+    more = {r["doc_id"] for r in got if r["first_id"] is None}
+    assert all(r["key"] == 7 for r in got if r["first_id"] is None)
+    assert len(met) < 28 and all({a, b} <= more for a in range(2, 9) for b in range(1, a) if (a, b) not in met) and 9 not in more
+
+
+def test_a_repeated_line_is_one_member(spark):
+    """Each of 40 texts repeats one line 30 times: a key is one place of a text, whatever its number of places."""
+    line = prose(5100, 20)
+    texts = frame(spark, [" ".join(prose(5200 + i, 60) + line * 30 + prose(5300 + i, 60)) for i in range(40)]).select("doc_id", "text")
+    places = texts.mapInArrow(windows._windows, "key bigint, doc_id bigint, c int").groupBy("doc_id", "key").agg({"c": "collect_list"}).toDF("doc_id", "key", "at")
+    lists = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("w")).join(texts, "doc_id").select("doc_id", "w", "text")
+    rows = lists.mapInArrow(windows._surroundings, "key bigint, doc_id bigint, around binary, whole binary, least int").collect()
+    assert len(rows) == places.count() and places.selectExpr("max(size(at))").first()[0] >= 29
+    text = {r.doc_id: windows._text_shingles(*buffers(pa.array([r.text])))[0].astype(np.uint16) for r in texts.collect()}
+    at = {(r.doc_id, r.key): sorted(r.at) for r in places.collect()}
+    for r in rows:
+        s, near = text[r.doc_id], [range(max(c - 45, 0), min(c + 46, len(text[r.doc_id]))) for c in at[r.doc_id, r.key]]
+        assert r.around == s[sorted({i for x in near for i in x})].tobytes()
