@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradus.llm import apportion, hyperminhash, robust, unigram, windows
 from gradus.llm.text import fresh
-from gradus.session import written
+from gradus.session import written, written_keys
 
 PIECES = "piece_bpe_32k.model"
 
@@ -18,7 +18,7 @@ ORACLE_SQL = None
 def _matching(docs: DataFrame, keys: DataFrame, of: Column, how: str) -> DataFrame:
     """`docs` semi- or anti-joined with the one column of `keys` on the expression `of`, whatever the columns' names."""
     name = fresh(docs.columns, "_key")
-    return docs.join(keys.toDF(name), of == F.col(name), how)
+    return docs.join(written_keys(keys.toDF(name), "keys"), of == F.col(name), how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradus.llm.components import components
 from gradus.llm.text import buffers, chunks, grouped, mix, shingle_sets
-from gradus.session import written
+from gradus.session import written, written_keys
 
 REGISTERS, ROWS, MANTISSA, VALUE_BITS = 256, 6, 9, 52
 BANDS = REGISTERS // ROWS
@@ -163,6 +163,8 @@ def _verifier(size: int, percent: int):
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets reach the threshold."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("id is not null and text is not null")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    texts = texts.join(written_keys(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), "id", "left_semi")
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a bigint, b bigint")
@@ -277,7 +279,7 @@ def classes(docs: DataFrame, sketch: DataFrame, size: int, percent: int) -> Data
     groups = written(_open_groups(near.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), labels), "open")
     if groups.isEmpty():
         return labels
-    ids = groups.select("doc_id").distinct()
+    ids = written_keys(groups.select("doc_id").distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     one = F.struct("seeds", "sketch")
     tops = heads.groupBy("doc_id").agg(F.max(F.when(F.col("own"), one)).alias("s"), F.max(F.when(~F.col("own"), one)).alias("t"))

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from gradus.llm.components import components
 from gradus.llm.text import CHUNK_BYTES, buffers, chunks, fresh, grouped, lower_ascii, mix, shingles, word_hashes, words
-from gradus.session import written
+from gradus.session import written, written_keys
 
 SIZE = 5
 MIN_WORDS = 50
@@ -292,6 +292,8 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The passages of pairs (doc_id, first_id), written."""
+    ids = pairs.select("doc_id").union(pairs.select("first_id")).distinct()
+    texts = texts.join(written_keys(ids, "ids"), "doc_id", "left_semi")
     joined = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
     return written(joined.select("doc_id", "first_id", "text", "first_text").mapInArrow(_verifier, PAIR), "passages")
 
@@ -542,11 +544,12 @@ def passage_links(docs: DataFrame) -> DataFrame:
     wide = texts.mapInArrow(_windows, "key bigint, doc_id bigint, c int")
     wide = wide.withColumn("first_id", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group))
     shared = written(wide.filter("first_id < last").drop("last"), "windows")
-    links = _verified(shared.filter("doc_id > first_id").select("doc_id", "first_id").distinct(), texts)
-    met = shared.filter("doc_id > first_id").select("doc_id", "first_id").distinct()
+    met = written(shared.filter("doc_id > first_id").select("doc_id", "first_id").distinct(), "pairs")
+    links = _verified(met, texts)
     members = _open_members(shared, links)
     large = members.filter(F.col("n") > SMALL)
-    places = large.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("w")).join(texts, "doc_id").select("doc_id", "w", "text")
+    places = large.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("w")).join(
+        texts.join(written_keys(large.select("doc_id").distinct(), "ids"), "doc_id", "left_semi"), "doc_id").select("doc_id", "w", "text")
     around = written(places.mapInArrow(_surroundings, "key bigint, doc_id bigint, around binary, whole binary, least int"), "around")
     nearest = written(_pairs_of_large(large, around, True), "nearest")
     pairs = _pairs_of_small(members.filter(F.col("n") <= SMALL)).union(nearest.filter("first_id is not null").select("doc_id", "first_id")).distinct()
@@ -623,7 +626,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     names = docs.columns
     holder, mark = fresh(names, "_holder"), fresh(names, "_spans")
     spans = written(removal_spans(passage_links(docs)).select(F.col("doc_id").alias(holder), F.col("spans").alias(mark)), "spans")
-    same = F.col("doc_id") == F.col(holder)
+    same, ids = F.col("doc_id") == F.col(holder), written_keys(spans.select(holder), "ids")
     fields = [docs.schema[n] for n in names if n != "text"] + [docs.schema["text"]]
-    cut = docs.filter("text is not null").join(spans, same).select(*names, mark).mapInArrow(_cut(mark), StructType(fields)).select(*names)
-    return docs.join(spans.select(holder), same & F.col("text").isNotNull(), "left_anti").unionByName(cut)
+    cut = docs.filter("text is not null").join(ids, same, "left_semi").join(spans, same).select(*names, mark).mapInArrow(_cut(mark), StructType(fields)).select(*names)
+    return docs.join(ids, same & F.col("text").isNotNull(), "left_anti").unionByName(cut)

@@ -1,6 +1,9 @@
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.common import KINDS, WORD, edge_rows, frame, prose
+from pyspark.sql import functions as F
+
+from gradus import session
 from gradus.session import written
 
 
@@ -44,3 +47,19 @@ def test_pipeline_edges(spark):
 def test_pipeline_on_the_small_table(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and all(r.round_trip for r in rows) and all(len(r.ids) == r.n_tokens for r in rows)
+
+
+def test_few_keys_leave_the_texts_where_they_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id bigint, text string")
+    keys = docs.filter("doc_id % 5 = 0").select("doc_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows, joined in ((10, "BroadcastHashJoin"), (9, "SortMergeJoin")):
+            monkeypatch.setattr(session, "BROADCAST_ROWS", rows)
+            for how, n in (("left_anti", 40), ("left_semi", 10)):
+                got = corpus_pipeline._matching(docs, keys, F.col("doc_id"), how)
+                assert joined in got._jdf.queryExecution().executedPlan().toString()
+                assert len({r.doc_id for r in got.collect()}) == got.count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
