@@ -29,9 +29,13 @@ REFRESH = 10
 MOST_CELLS = 1 << 22
 MARGIN_LIMIT = 1e6
 
-HIST = "deal bigint, slot int, feature int, bin int, g bigint, h bigint, n bigint"
+HIST = "deal bigint, cells binary"  # (slot, feature, bin, g, h, n) of cells, whole numbers
 SPLIT = "slot int, feature int, bin int, worth double, gain double, gl bigint, hl bigint, nl bigint, ga bigint, ha bigint, na bigint"
-STATE = "row_id bigint, fold int, part string, label double, bins binary, margins binary"
+STATE = "fold int, part binary, label binary, bins binary, margins binary"  # up to BLOCK rows of a fold, as bytes
+KINDS = (np.uint8, np.float64, np.uint8, np.float64)
+TRAIN, VAL = 1, 2
+BLOCK = 1 << 12
+CHUNK = 1 << 18
 
 
 @dataclass
@@ -80,15 +84,15 @@ class Tree:
         return sum(f < 0 for f in self.feature)
 
     def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, bin_, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        feature, bin_, left, right = (np.array(x, np.int64) for x in (self.feature, self.bin, self.left, self.right))
+        leaf, own = feature < 0, np.arange(len(feature))
+        feature[leaf] = 0
+        down = np.stack([np.where(leaf, own, left), np.where(leaf, own, right)], axis=1).reshape(-1)  # a leaf leads to itself
+        node, cells = np.zeros(len(bins), np.int64), np.ascontiguousarray(bins).reshape(-1)
+        first = np.arange(len(bins)) * bins.shape[1]
         for _ in range(max(self.depth)):
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            low = bins[rows, np.maximum(f, 0)] <= bin_[node]
-            node = np.where(inner, np.where(low, left[node], right[node]), node)
+            high = cells.take(first + feature.take(node)) > bin_.take(node)
+            node = down.take(2 * node + high)
         return node
 
 
@@ -115,20 +119,63 @@ def gradients(objective: str, margins: np.ndarray, label: np.ndarray) -> tuple[n
     return p - hot, p * (1 - p), -np.log(np.maximum((p * hot).sum(axis=1), 1e-15))
 
 
-def _unpacked(batch: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fold, label, bins, margins) of a batch of STATE."""
-    n = batch.num_rows
-    bins, margins = (b"".join(batch.column(i).to_pylist()) for i in (4, 5))
-    return (batch.column(1).to_numpy(), batch.column(3).to_numpy(), np.frombuffer(bins, np.uint8).reshape(n, -1), np.frombuffer(margins, np.float64).reshape(n, classes).copy())
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of `data`, cut at its rows `ends`, the first of which is 0."""
+    data = np.ascontiguousarray(data)
+    size = data.itemsize * int(np.prod(data.shape[1:]))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(data.tobytes())])
+
+
+def _bytes_of(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of a _binary column, one row after another, without a Python object each."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    if not len(at) or at[-1] == at[0]:
+        return np.zeros(0, kind)
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // np.dtype(kind).itemsize, at[0])
+
+
+def _blocks(fold: np.ndarray, part: np.ndarray, label: np.ndarray, bins: np.ndarray, margins: np.ndarray) -> pa.RecordBatch:
+    """STATE of rows."""
+    order = np.argsort(fold, kind="stable")
+    ends, own = [0], []
+    for f, n in zip(*np.unique(fold, return_counts=True)):
+        cuts = [*range(BLOCK, n, BLOCK), n]
+        own += [f] * len(cuts)
+        ends += (ends[-1] + np.array(cuts)).tolist()
+    columns = [_binary(c[order], np.array(ends)) for c in (part.astype(np.uint8), label, bins, margins)]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *columns], names=["fold", "part", "label", "bins", "margins"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(fold, part, label, bins, margins) of the rows of STATE, about CHUNK of them together; margins may be changed."""
+    held, n = [], 0
+    for block in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+        part, label, bins, margins = (_bytes_of(block.column(i), kind) for i, kind in enumerate(KINDS, 1))
+        size = len(part)
+        held.append((np.full(size, block.column(0)[0].as_py()), part, label, bins.reshape(size, -1), margins.reshape(size, classes)))
+        n += size
+        if n >= CHUNK:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _of_folds(fold: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """Each fold and its rows; a slice where all are of one."""
+    found = np.unique(fold).tolist()
+    for f in found:
+        yield f, slice(None) if len(found) == 1 else np.flatnonzero(fold == f)
 
 
 def _advance(fold: np.ndarray, bins: np.ndarray, margins: np.ndarray, rounds: list[dict[int, list[Tree]]]) -> None:
     """Adds the values of whole rounds of trees to the margins."""
-    for f in np.unique(fold).tolist():
-        rows = np.flatnonzero(fold == f)
+    for f, rows in _of_folds(fold) if rounds else ():
+        mine = bins[rows]
         for trees in rounds:
             for k, tree in enumerate(trees.get(f, ())):
-                margins[rows, k] += np.array(tree.value)[tree.nodes_of(bins[rows])]
+                margins[rows, k] += np.array(tree.value)[tree.nodes_of(mine)]
     np.clip(margins, -MARGIN_LIMIT, MARGIN_LIMIT, out=margins)
 
 
@@ -139,39 +186,46 @@ def _histograms(shared):
         n_slots = len(deal)
         total = np.zeros((3, n_slots, width, bins_at))
         loss: dict[int, list[int]] = {}
-        for batch in batches:
-            fold, label, bins, margins = _unpacked(batch, classes)
-            part = batch.column(2).to_numpy(zero_copy_only=False)
+        for fold, part, label, bins, margins in _chunks(batches, classes):
             _advance(fold, bins, margins, rounds)
             g, h, row_loss = gradients(objective, margins, label)
-            place = np.full((batch.num_rows, classes), -1)
-            for f in np.unique(fold).tolist():
-                mine = fold == f
+            place = np.full((len(fold), classes), -1)
+            for f, mine in _of_folds(fold):
                 if losses:
-                    val = mine & (part == "val")
+                    val = part[mine] == VAL
                     one = loss.setdefault(f, [0, 0])
-                    one[0] += int(np.rint(np.minimum(row_loss[val], 1e9) * SCALE).sum())
+                    one[0] += int(np.rint(np.minimum(row_loss[mine][val], 1e9) * SCALE).sum())
                     one[1] += int(val.sum())
-                rows = np.flatnonzero(mine & (part == "train"))
-                for k, tree in enumerate(growing.get(f, ())):
-                    place[rows, k] = slots[f][k][tree.nodes_of(bins[rows])]
+                if f in growing:
+                    train, cells = part[mine] == TRAIN, bins[mine]
+                    for k, tree in enumerate(growing[f]):
+                        place[mine, k] = np.where(train, slots[f][k][tree.nodes_of(cells)], -1)
             for k in range(classes):
                 at = np.flatnonzero(place[:, k] >= 0)
-                weights = (np.rint(g[at, k] * SCALE), np.rint(h[at, k] * SCALE), None)
-                for j in range(width if len(at) else 0):
-                    cell = place[at, k] * bins_at + bins[at, j]
+                if not len(at):
+                    continue
+                first, cells = place[at, k] * bins_at, bins[at]
+                # a square's second derivative is 1 in every row, so its sums are the counts
+                weights = (np.rint(g[at, k] * SCALE), None if objective == "regression" else np.rint(h[at, k] * SCALE), None)
+                for j in range(width):
+                    cell = first + cells[:, j]
                     for i, w in enumerate(weights):
-                        total[i, :, j] += np.bincount(cell, w, n_slots * bins_at).reshape(n_slots, bins_at)
+                        if i != 1 or w is not None:
+                            total[i, :, j] += np.bincount(cell, w, n_slots * bins_at).reshape(n_slots, bins_at)
+        if objective == "regression":
+            total[1] = total[2] * SCALE
         total = total.reshape(3, -1)
-        cells = np.arange(total.shape[1]) if dense else np.flatnonzero(total[2])
-        columns = [cells // (width * bins_at), cells // bins_at % width, cells % bins_at]
-        names = ["deal", "slot", "feature", "bin", "g", "h", "n"]
-        dealt = deal[columns[0]] * width + columns[1] if n_slots else columns[0]
-        ints = [pa.array(dealt.astype(np.int64)), *[pa.array(c.astype(np.int32)) for c in columns], *[pa.array(total[i, cells].astype(np.int64)) for i in range(3)]]
-        yield pa.RecordBatch.from_arrays(ints, names=names)
+        # densely, a slot with rows here has all its cells
+        cells = np.flatnonzero(np.repeat(total[2].reshape(n_slots, width * bins_at).any(axis=1), width * bins_at) if dense else total[2])
+        table = np.stack([cells // (width * bins_at), cells // bins_at % width, cells % bins_at, *total[:, cells].astype(np.int64)], axis=1)
+        dealt = deal[table[:, 0]] * width + table[:, 1] if n_slots else table[:, 0]
+        first = np.flatnonzero(np.diff(cells // bins_at, prepend=-1))
         if loss:
-            rows = [(-1 - f, -1 - f, -1, 0, s, 0, n) for f, (s, n) in loss.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, a.type) for c, a in zip(zip(*rows), ints)], names=names)
+            rows = np.array([(-1 - f, -1, 0, s, 0, n) for f, (s, n) in loss.items()], np.int64)
+            first = np.append(first, len(table) + np.arange(len(rows)))
+            table, dealt = np.concatenate([table, rows]), np.append(dealt, rows[:, 0])
+        if len(table):
+            yield pa.RecordBatch.from_arrays([pa.array(dealt[first]), _binary(table, np.append(first, len(table)))], names=["deal", "cells"])
 
     return run
 
@@ -195,10 +249,10 @@ def _splits(shared):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, tree_of = shared.value
-        rows = [np.stack([b.column(i).to_numpy() for i in range(1, 7)]).astype(np.int64) for b in batches if b.num_rows]
+        rows = [_bytes_of(b.column(1), np.int64).copy() for b in batches if b.num_rows]
         if not rows:
             return
-        cells = np.concatenate(rows, axis=1)
+        cells = np.ascontiguousarray(np.concatenate(rows).reshape(-1, 6).T)
         cells = cells[:, np.lexsort(cells[2::-1])]
         new = np.flatnonzero(np.append(True, (np.diff(cells[:3]) != 0).any(axis=0)))
         slot, feature, bin_ = cells[:3, new]
@@ -247,6 +301,10 @@ def best_splits(hist: DataFrame, p: Params, tree_of: np.ndarray | None = None) -
         group = r.slot if tree_of is None or r.slot < 0 else int(tree_of[r.slot])
         if best[group] == (-r.worth, r.feature, r.bin):
             out[r.slot] = r.asDict() | ({} if tree_of is None else {"gain": (r.gain or 0.0) if r.worth > 0 else None})
+    for slot, group in enumerate(() if tree_of is None else tree_of.tolist()):
+        if slot not in out and group in best:  # a leaf without rows, split as its tree's others are
+            worth, feature, bin_ = best[group]
+            out[slot] = dict.fromkeys(("gl", "hl", "nl", "ga", "ha", "na"), 0) | {"slot": slot, "feature": feature, "bin": bin_, "worth": -worth, "gain": 0.0 if worth < 0 else None}
     return out
 
 
@@ -275,7 +333,7 @@ class Booster:
                 _advance(fold, bins, margins, trees)
                 proba = None
                 if objective == "regression":
-                    mean, sd = (np.array([scale[f][i] for f in fold.tolist()]) for i in (0, 1))
+                    mean, sd = _scales(fold, scale)
                     prediction = margins[:, 0] * sd + mean
                 elif objective == "binary":
                     p = 1 / (1 + np.exp(-np.clip(margins[:, 0], -40, 40)))
@@ -284,13 +342,20 @@ class Booster:
                     p = np.exp(margins - margins.max(axis=1, keepdims=True))
                     proba = p / p.sum(axis=1, keepdims=True)
                     prediction = proba.argmax(axis=1).astype(float)
-                arrays = pa.nulls(len(fold), pa.list_(pa.float64())) if proba is None else pa.array(list(proba), pa.list_(pa.float64()))
+                arrays = pa.nulls(len(fold), pa.list_(pa.float64())) if proba is None else pa.ListArray.from_arrays(np.arange(len(fold) + 1, dtype=np.int32) * np.int32(proba.shape[1]), proba.reshape(-1))
                 columns = [batch.column(i) for i in range(4)] + [pa.array(prediction), arrays]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_id", "fold", "part", "label", "prediction", "proba"])
 
         return _slim(rows).mapInArrow(run, out)
 
 
+def _scales(fold: np.ndarray, scale: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each row's fold."""
+    at = np.unique(fold, return_inverse=True)
+    mean, sd = (np.array([scale[f][i] for f in at[0].tolist()]) for i in (0, 1))
+    return mean[at[1]], sd[at[1]]
+
+
 def _slim(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("fold").cast("int").alias("fold"), "part", F.col("label").cast("double").alias("label"), vector_to_array("features").alias("x"))
 
@@ -346,7 +411,7 @@ def fit(rows: DataFrame, objective: str, params: Params) -> Booster:
     width = max((len(c) for c in model.edges.values()), default=0)
     for f in model.scale:
         model.edges.setdefault(f, [np.zeros(0)] * width)
-    _grow(model, _state(slim.filter("part <> 'test'"), model), width)
+    _grow(model, _state(slim.filter("part <> 'test'").drop("row_id"), model), width)
     return model
 
 
@@ -359,11 +424,12 @@ def _state(slim: DataFrame, model: Booster) -> DataFrame:
             fold, bins, margins = _binned(batch, edges, start)
             label = batch.column(3).to_numpy()
             if objective == "regression":
-                label = (label - [scale[f][0] for f in fold.tolist()]) / [scale[f][1] for f in fold.tolist()]
-            columns = [*[batch.column(i) for i in range(3)], pa.array(label), pa.array([b.tobytes() for b in bins]), pa.array([m.tobytes() for m in margins])]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "fold", "part", "label", "bins", "margins"])
+                mean, sd = _scales(fold, scale)
+                label = (label - mean) / sd
+            yield _blocks(fold, batch.column(2).to_numpy(), label, bins, margins)
 
-    return written(slim.mapInArrow(run, STATE), "boosting")
+    part = F.when(F.col("part") == "train", TRAIN).when(F.col("part") == "val", VAL).otherwise(0)
+    return written(slim.select(F.lit(0), "fold", part.alias("part"), "label", "x").mapInArrow(run, STATE), "boosting", "fold")
 
 
 def _refreshed(state: DataFrame, model: Booster, rounds: list) -> DataFrame:
@@ -371,12 +437,11 @@ def _refreshed(state: DataFrame, model: Booster, rounds: list) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, classes = shared.value
-        for batch in batches:
-            fold, _, bins, margins = _unpacked(batch, classes)
+        for fold, part, label, bins, margins in _chunks(batches, classes):
             _advance(fold, bins, margins, trees)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([m.tobytes() for m in margins])], names=batch.schema.names)
+            yield _blocks(fold, part, label, bins, margins)
 
-    return written(state.mapInArrow(run, STATE), "boosting")
+    return written(state.mapInArrow(run, STATE), "boosting", "fold")
 
 
 def _grow(model: Booster, state: DataFrame, width: int) -> None:
@@ -395,7 +460,7 @@ def _grow(model: Booster, state: DataFrame, width: int) -> None:
         trees = np.array([f * model.classes + k for f, k, _ in open_], np.int64)
         deal = trees if p.growth == "symmetric" else np.arange(len(open_))
         shared = state.sparkSession.sparkContext.broadcast((model.objective, model.classes, width, bins_at, pending, growing, slots, deal, losses, p.growth == "symmetric"))
-        hist = state.mapInArrow(_histograms(shared), HIST)
+        hist = state.filter(F.col("fold").isin(*live)).mapInArrow(_histograms(shared), HIST)
         found = best_splits(hist, p, trees if p.growth == "symmetric" and open_ else None)
         shared.unpersist()
         return found
@@ -425,7 +490,7 @@ def _grow(model: Booster, state: DataFrame, width: int) -> None:
         model.rounds.append(growing)
         pending.append(growing)
         if len(pending) == REFRESH:
-            state, pending = _refreshed(state, model, pending), []
+            state, pending = _refreshed(state.filter(F.col("fold").isin(*live)), model, pending), []
 
 
 def _split_leaves(p: Params, growing: dict, open_: list, found: dict) -> list[tuple[int, int, int]]:

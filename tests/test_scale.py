@@ -42,3 +42,42 @@ def test_written_by_a_column_keeps_rows_and_settings(spark, values):
     assert out.schema.simpleString() == df.schema.simpleString()
     assert sorted(out.collect()) == sorted(df.collect())
     assert spark.conf.get(key, "0") == (before or "0")
+
+
+def test_boosting_state_is_few_wide_rows(spark, monkeypatch):
+    """Passes move blocks of rows, in folders of their fold, and leave out folds that have stopped."""
+    import numpy as np
+
+    from gradus.operators import boosting as B
+    from tests.test_boosting import rows_of
+
+    rows, out = rows_of(spark, 3000, lambda x, r: x[0] + r.gauss(0, 0.1))
+    states = []
+    monkeypatch.setattr(B, "written", lambda *a: states.append(written(*a)) or states[-1])
+    B.fit(rows.coalesce(1), "regression", B.Params(max_depth=1, rounds=1))
+    assert states[-1].count() <= 2 * 2 * (1 + 6000 // 10000)
+    fold, part, label, bins, margins = (np.concatenate(c) for c in zip(*B._chunks(iter(states[-1].toArrow().to_batches()), 1)))
+    kept = [r for r in out if r[2] != "test"]
+    assert len(fold) == len(label) == len(bins) == len(margins) == len(kept) and bins.shape[1] == 3
+    assert {(f, p): int(((fold == f) & (part == p)).sum()) for f in (0, 1) for p in (B.TRAIN, B.VAL)} == {
+        (f, p): sum(r[1] == f and r[2] == name for r in kept) for f in (0, 1) for p, name in ((B.TRAIN, "train"), (B.VAL, "val"))}
+    assert "PartitionFilters: [" in plan(states[-1].filter("fold IN (1)")) and "fold#" in plan(states[-1].filter("fold IN (1)"))
+
+
+def test_cells_come_packed_by_leaf_and_feature(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from gradus.operators import boosting as B
+
+    bins = np.array([[0, 1], [1, 1], [2, 0], [2, 2]], np.uint8)
+    block = B._blocks(np.zeros(4, np.int64), np.array([B.TRAIN] * 3 + [B.VAL]), np.array([1.0, -1.0, 2.0, 3.0]), bins, np.zeros((4, 1)))
+    shared = SimpleNamespace(value=("regression", 1, 2, 4, [], {0: [B.Tree()]}, {0: [np.array([0])]}, np.arange(1), True, False))
+    got = pa.Table.from_batches(list(B._histograms(shared)(iter([block]))))
+    assert got.column("deal").to_pylist() == [0, 1, -1]
+    cells = [np.frombuffer(c, np.int64).reshape(-1, 6).tolist() for c in got.column("cells").to_pylist()]
+    one = B.SCALE
+    assert cells == [
+        [[0, 0, 0, -one, one, 1], [0, 0, 1, one, one, 1], [0, 0, 2, -2 * one, one, 1]],
+        [[0, 1, 0, -2 * one, one, 1], [0, 1, 1, 0, 2 * one, 2]],
+        [[-1, -1, 0, 9 * one, 0, 1]]]
