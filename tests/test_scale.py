@@ -81,3 +81,38 @@ def test_cells_come_packed_by_leaf_and_feature(spark):
         [[0, 0, 0, -one, one, 1], [0, 0, 1, one, one, 1], [0, 0, 2, -2 * one, one, 1]],
         [[0, 1, 0, -2 * one, one, 1], [0, 1, 1, 0, 2 * one, 2]],
         [[-1, -1, 0, 9 * one, 0, 1]]]
+
+
+@pytest.mark.parametrize("width, exclude_self", [(2, False), (3, True)])
+def test_neighbours_over_many_areas_and_equal_rows(spark, monkeypatch, width, exclude_self):
+    """Small areas and blocks, many copies of a vector, and whole-number distances that tie."""
+    import numpy as np
+
+    from gradus.operators import neighbors as N
+
+    monkeypatch.setattr(N, "AREA_ROWS", 40)
+    r = random.Random(width)
+    x = [[float(r.randrange(6)) if i % 3 else 2.0 for _ in range(width)] for i in range(400)]
+    df = spark.createDataFrame([(i, v, i % 4) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {(g.vec_id, g["rank"]): (g.neighbor, g.label) for g in N.knn_join(df, df, 3, block=10, exclude_self=exclude_self).collect()}
+    a = np.array(x)
+    d = np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=2))
+    for q in range(400):
+        order = [t for t in np.lexsort((np.arange(400), d[q])).tolist() if t != q or not exclude_self][:3]
+        assert [got[q, k] for k in (1, 2, 3)] == [(t, t % 4) for t in order]
+
+
+def test_cells_grow_in_number_and_areas_are_bounded():
+    import numpy as np
+
+    from gradus.operators import neighbors as N
+
+    rng = np.random.default_rng(1)
+    centres, rows = rng.normal(size=(500, 3)), rng.integers(1, 60, 500)
+    rows[7] = 5000  # a cell of its own
+    area = N._areas(centres, rows, 1000)
+    held = np.bincount(area, rows)
+    assert held.min() > 0 and sorted(held)[-2] <= 1000 and (area == area[7]).sum() == 1
+    assert len(held) < 4 * rows.sum() / 1000
+    v = np.array([[1.0], [1.0], [2.0], [1.0], [1.0]])
+    assert sorted(N._first_copies(v, np.array([5, 3, 9, 4, 1]), np.array([0, 0, 0, 0, 1]), 2).tolist()) == [1, 2, 3, 4]
